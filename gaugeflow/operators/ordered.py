@@ -59,28 +59,29 @@ def _running_segmented(
     cut = range_segments(df, by, order, segments)
     local = _running_small(cut, [*by, SEGMENT], [*order, _TIE], totals)
     before = Window.partitionBy(*by).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    offset = {name: f"__before_{name}" for name in totals}
     # Only the first group of a segment continues from the segment before: at most one row per segment.
     carried = (
         cut.groupBy(*by, SEGMENT)
         .agg(*[F.sum(value).alias(name) for name, value in totals.items()])
         .withColumn("__first", F.min(SEGMENT).over(Window.partitionBy(*by)))
-        .withColumns({offset[name]: F.sum(name).over(before) for name in totals})
+        .withColumns({f"__before_{name}": F.sum(name).over(before) for name in totals})
         .where(F.col(SEGMENT) > F.col("__first"))
-        .select(*by, SEGMENT, *offset.values())
+        .select(
+            F.col(SEGMENT).alias("__at"),
+            *[F.col(name).alias(f"__of_{name}") for name in by],
+            *[f"__before_{name}" for name in totals],
+        )
     )
-    joined = local.join(
-        F.broadcast(carried),
-        same_group(local, carried, by) & (local[SEGMENT] == carried[SEGMENT]),
-        "left",
-    )
-    result = {
-        name: F.coalesce(local[name] + carried[offset[name]], local[name], carried[offset[name]])
-        for name in totals
-    }
+    same = F.col(SEGMENT) == F.col("__at")
+    for name in by:
+        same = same & F.col(name).eqNullSafe(F.col(f"__of_{name}"))
+    joined = local.join(F.broadcast(carried), same, "left")
     return joined.select(
-        *[local[c] for c in df.columns],
-        *[value.alias(name) for name, value in result.items()],
+        *df.columns,
+        *[
+            F.coalesce(F.col(name) + F.col(f"__before_{name}"), name, f"__before_{name}").alias(name)
+            for name in totals
+        ],
     )
 
 

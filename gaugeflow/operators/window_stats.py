@@ -18,7 +18,7 @@ def window_starts(pane: Column, size_ms: int, slide_ms: int) -> Column:
     """Starts of all windows that hold the pane, earliest first."""
     last = floor_to(pane, slide_ms)
     # Slides back from the last window while the window still ends after the pane.
-    back = F.floor((pane - last - size_ms + 1) / F.lit(-slide_ms)).cast("long") * slide_ms
+    back = F.floor((last - pane + size_ms - 1) / slide_ms).cast("long") * slide_ms
     return F.sequence(last - back, last, F.lit(slide_ms).cast("long"))
 
 
