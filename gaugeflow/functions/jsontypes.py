@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Strict JSON: no single quotes, no NaN.
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def json_documents(text: Column, fields: tuple[str, ...]) -> Column:
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters do not evaluate again.
+
+    A filter on a projected column is pushed below the projection with the expression copied into it, once per
+    use. It is not pushed below a generator, so the value comes from one: an explode of a single element.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def json_documents(text: Column, fields: Sequence[str]) -> Column:
     """Array of the top-level objects in ``text``, each declared field a variant; null when malformed.
 
     The text is parsed inside brackets: a plain parse stops after the first document and would accept
@@ -41,8 +53,41 @@ def as_number(value: Column) -> Column:
     return F.try_variant_get(value, "$", "double")
 
 
-def is_finite_number(value: Column) -> Column:
-    """True for a JSON number that a double holds as a finite value."""
-    return F.coalesce(
-        (json_kind(value) == "number") & (F.abs(as_number(value)) < F.lit(float("inf"))), F.lit(False)
+class JsonField(NamedTuple):
+    """A JSON field: its kind, and its text and number if it has one."""
+
+    kind: Column
+    text: Column
+    number: Column
+
+    @staticmethod
+    def of(value: Column) -> JsonField:
+        return JsonField(json_kind(value), as_text(value), as_number(value))
+
+    def is_finite_number(self) -> Column:
+        """A JSON number that a double holds as a finite value."""
+        return F.coalesce(
+            (self.kind == "number") & (F.abs(self.number) < F.lit(float("inf"))), F.lit(False)
+        )
+
+    def is_whole_number(self) -> Column:
+        return self.is_finite_number() & F.coalesce(self.number == F.floor(self.number), F.lit(False))
+
+
+def field_values(doc: Column, fields: Sequence[str]) -> Column:
+    """Struct of kind, text and number per field of a document."""
+    return F.struct(
+        *[
+            F.struct(
+                json_kind(doc[name]).alias("kind"),
+                as_text(doc[name]).alias("text"),
+                as_number(doc[name]).alias("number"),
+            ).alias(name)
+            for name in fields
+        ]
     )
+
+
+def read_field(values: Column, name: str) -> JsonField:
+    """The field from a ``field_values`` struct."""
+    return JsonField(values[name]["kind"], values[name]["text"], values[name]["number"])

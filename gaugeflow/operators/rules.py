@@ -17,13 +17,15 @@ from gaugeflow.constants import (
     UNMEASURED_ROUTES,
 )
 from gaugeflow.functions.jsontypes import (
-    as_number,
-    as_text,
-    is_finite_number,
+    JsonField,
+    computed_once,
+    field_values,
     json_documents,
     json_kind,
+    read_field,
 )
 from gaugeflow.functions.text import is_uuid, utf16_length
+from gaugeflow.schemas import ISSUES
 
 BODY_FIELDS = ("deviceId", "eventType", "value", "timestamp", "metadata")
 TYPE_LENGTH = (2, 50)
@@ -77,96 +79,92 @@ def is_measured_route(route: Column) -> Column:
     return ~_never_null(route.isin(*UNMEASURED_ROUTES))
 
 
-# --- body fields (variants) --------------------------------------------------------------------------------
+# --- body fields -------------------------------------------------------------------------------------------
 
 
-def is_device_id(value: Column) -> Column:
-    return _never_null((json_kind(value) == "string") & is_uuid(as_text(value)))
+def is_device_id(field: JsonField) -> Column:
+    return _never_null((field.kind == "string") & is_uuid(field.text))
 
 
-def is_event_type(value: Column) -> Column:
-    return _never_null((json_kind(value) == "string") & utf16_length(as_text(value)).between(*TYPE_LENGTH))
+def is_event_type(field: JsonField) -> Column:
+    return _never_null((field.kind == "string") & utf16_length(field.text).between(*TYPE_LENGTH))
 
 
-def is_value(value: Column) -> Column:
-    return is_finite_number(value)
+def is_value(field: JsonField) -> Column:
+    return field.is_finite_number()
 
 
-def is_whole_number(value: Column) -> Column:
-    number = as_number(value)
-    return is_finite_number(value) & _never_null(
-        (number == F.floor(number)) & (F.abs(number) <= float(MAX_SAFE_INTEGER))
-    )
+def is_integer(field: JsonField) -> Column:
+    return field.is_whole_number() & _never_null(F.abs(field.number) <= float(MAX_SAFE_INTEGER))
 
 
-def is_positive_whole_number(value: Column) -> Column:
-    return is_whole_number(value) & _never_null(as_number(value) > 0)
+def is_timestamp(field: JsonField) -> Column:
+    return is_integer(field) & _never_null(field.number > 0)
 
 
-def is_within_drift(value: Column, now_ms: Column, drift_ms: int = CLOCK_DRIFT_MS) -> Column:
-    return _never_null(as_number(value).between(now_ms - drift_ms, now_ms + drift_ms))
+def is_within_drift(field: JsonField, now_ms: Column, drift_ms: int = CLOCK_DRIFT_MS) -> Column:
+    return _never_null(field.number.between(now_ms - drift_ms, now_ms + drift_ms))
 
 
-def metadata_entries(value: Column) -> Column:
-    """Entries ``{key, value variant}`` of a metadata object; null for anything else."""
-    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+def bad_metadata_keys(value: Column) -> Column:
+    """Keys of a metadata object whose value is no string, number or boolean; null for anything else."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
 
+    def is_bad(entry: Column) -> Column:
+        field = JsonField.of(entry["value"])
+        return ~_never_null(field.kind.isin("string", "boolean") | field.is_finite_number())
 
-def is_metadata_scalar(value: Column) -> Column:
-    return _never_null(json_kind(value).isin("string", "boolean") | is_finite_number(value))
+    return F.transform(F.filter(entries, is_bad), lambda entry: entry["key"])
 
 
 def is_metadata(value: Column) -> Column:
-    entries = metadata_entries(value)
-    return value.isNull() | _never_null(
-        (json_kind(value) == "object") & F.forall(entries, lambda entry: is_metadata_scalar(entry["value"]))
-    )
+    """An absent field, or an object of strings, numbers and booleans."""
+    return value.isNull() | _never_null((json_kind(value) == "object") & (F.size(bad_metadata_keys(value)) == 0))
 
 
 # --- collect every violation -------------------------------------------------------------------------------
 
 
-def _issue(field: Column | str, message: Column | str) -> Column:
-    as_col = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(as_col(field).alias("field"), as_col(message).alias("message"))
+def _issue(field: str | Column, message: str | Column) -> Column:
+    return F.struct(
+        (F.lit(field) if isinstance(field, str) else field).alias("field"),
+        (F.lit(message) if isinstance(message, str) else message).alias("message"),
+    )
 
 
-def _expected(kind: str, value: Column) -> Column:
-    return F.concat(F.lit(f"Invalid input: expected {kind}, received "), json_kind(value))
+def _expected(kind: str, received: Column) -> Column:
+    return F.concat(F.lit(f"Invalid input: expected {kind}, received "), received)
 
 
-def _field_issues(doc: Column, now_ms: Column) -> Column:
-    device, event_type, value, ts, metadata = (doc[name] for name in BODY_FIELDS)
+def _field_issues(values: Column, bad_keys: Column, now_ms: Column) -> Column:
+    device, event_type, value, stamp, metadata = (read_field(values, name) for name in BODY_FIELDS)
     low, high = TYPE_LENGTH
-    type_length = utf16_length(as_text(event_type))
-    stamp = as_number(ts)
+    length = utf16_length(event_type.text)
+    whole = is_integer(stamp)
     flat = F.array(
-        F.when(json_kind(device) != "string", _issue("deviceId", _expected("string", device))).when(
+        F.when(device.kind != "string", _issue("deviceId", _expected("string", device.kind))).when(
             ~is_device_id(device), _issue("deviceId", DEVICE_ID_MESSAGE)
         ),
-        F.when(json_kind(event_type) != "string", _issue("eventType", _expected("string", event_type)))
-        .when(type_length < low, _issue("eventType", f"Too small: expected string to have >={low} characters"))
-        .when(type_length > high, _issue("eventType", f"Too big: expected string to have <={high} characters")),
-        F.when(json_kind(value) != "number", _issue("value", _expected("number", value))).when(
+        F.when(event_type.kind != "string", _issue("eventType", _expected("string", event_type.kind)))
+        .when(length < low, _issue("eventType", f"Too small: expected string to have >={low} characters"))
+        .when(length > high, _issue("eventType", f"Too big: expected string to have <={high} characters")),
+        F.when(value.kind != "number", _issue("value", _expected("number", value.kind))).when(
             ~is_value(value), _issue("value", "Invalid input: expected number, received Infinity")
         ),
-        F.when(json_kind(ts) != "number", _issue("timestamp", _expected("number", ts))).when(
-            ~is_whole_number(ts), _issue("timestamp", "Invalid input: expected int, received number")
+        F.when(stamp.kind != "number", _issue("timestamp", _expected("number", stamp.kind))).when(
+            ~whole, _issue("timestamp", "Invalid input: expected int, received number")
         ),
         # The next two are both reported, but only for whole numbers.
-        F.when(is_whole_number(ts) & (stamp <= 0), _issue("timestamp", "Too small: expected number to be >0")),
-        F.when(is_whole_number(ts) & ~is_within_drift(ts, now_ms), _issue("timestamp", DRIFT_MESSAGE)),
+        F.when(whole & (stamp.number <= 0), _issue("timestamp", "Too small: expected number to be >0")),
+        F.when(whole & ~is_within_drift(stamp, now_ms), _issue("timestamp", DRIFT_MESSAGE)),
         F.when(
-            metadata.isNotNull() & (json_kind(metadata) != "object"),
-            _issue("metadata", _expected("record", metadata)),
+            ~metadata.kind.isin("undefined", "object"), _issue("metadata", _expected("record", metadata.kind))
         ),
     )
-    bad_entries = F.filter(metadata_entries(metadata), lambda entry: ~is_metadata_scalar(entry["value"]))
-    nested = F.transform(
-        bad_entries, lambda entry: _issue(F.concat(F.lit("metadata."), entry["key"]), "Invalid input")
+    nested = F.transform(bad_keys, lambda key: _issue(F.concat(F.lit("metadata."), key), "Invalid input"))
+    return F.concat(
+        F.filter(flat, lambda issue: issue.isNotNull()), F.coalesce(nested, F.array().cast(ISSUES))
     )
-    none = F.array().cast("array<struct<field:string,message:string>>")
-    return F.concat(F.filter(flat, lambda issue: issue.isNotNull()), F.coalesce(nested, none))
 
 
 def validate(df: DataFrame, now_col: str = "received_at_ms", body_col: str = "body") -> DataFrame:
@@ -175,22 +173,28 @@ def validate(df: DataFrame, now_col: str = "received_at_ms", body_col: str = "bo
     ``now_col`` is the receive time, so that a rerun gives the same verdict. A malformed body has null
     ``errors``: it is refused before validation.
     """
-    body, kind = F.col(body_col), F.col("body_kind")
-    root = F.concat(
-        F.lit("Invalid input: expected object, received "),
-        F.when(kind == "array", "array").otherwise("undefined"),
-    )
+    body, kind = F.col(body_col), F.col("__seen.kind")
+    root = _expected("object", F.when(kind == "array", "array").otherwise("undefined"))
     issues = (
         F.when(kind == "malformed", F.lit(None))
         .when(kind.isin("absent", "array"), F.array(_issue("", root)))
-        .otherwise(_field_issues(F.col("__doc"), F.col(now_col)))
+        .otherwise(_field_issues(F.col("__seen.values"), F.col("__seen.bad_keys"), F.col(now_col)))
+    )
+    parsed = computed_once(df, "__docs", json_documents(body, BODY_FIELDS))
+    doc = F.try_element_at("__docs", F.lit(1))
+    seen = computed_once(
+        parsed.withColumn("__doc", doc),
+        "__seen",
+        F.struct(
+            body_kind(body, F.col("__docs")).alias("kind"),
+            field_values(F.col("__doc"), BODY_FIELDS).alias("values"),
+            bad_metadata_keys(F.col("__doc")["metadata"]).alias("bad_keys"),
+        ),
     )
     return (
-        df.withColumn("__docs", json_documents(body, BODY_FIELDS))
-        .withColumn("body_kind", body_kind(body, F.col("__docs")))
-        .withColumn("__doc", F.try_element_at("__docs", F.lit(1)))
-        .withColumn("errors", issues)
-        .drop("__docs", "__doc")
+        computed_once(seen, "errors", issues)
+        .withColumn("body_kind", kind)
+        .drop("__docs", "__doc", "__seen")
     )
 
 

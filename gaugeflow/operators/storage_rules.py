@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.jsontypes import as_number, as_text, json_documents, json_kind
+from gaugeflow.functions.jsontypes import JsonField, as_text, computed_once, json_documents, json_kind, read_field
 from gaugeflow.functions.text import canonical_uuid, is_storable_uuid
 
 MESSAGE_FIELDS = ("id", "deviceId", "eventType", "value", "timestamp")
@@ -20,62 +20,66 @@ _SPECIAL = r"(?i)^\s*([+-]?(inf|infinity)|nan)\s*\z"
 _INTEGER = r"^\s*[+-]?\d+\s*\z"
 
 
-def _parameter(value: Column) -> Column:
-    """The text in which a JSON field reaches the table; null for a missing or null field."""
-    kind = json_kind(value)
-    return F.when(kind.isin("string", "boolean", "number"), as_text(value)).when(
-        kind.isin("object", "array"), F.to_json(value)
+def _parameters(doc: Column) -> Column:
+    """Kind, text and number of each field, the text being what reaches the table; null for a null field."""
+    fields = []
+    for name in MESSAGE_FIELDS:
+        value, kind = doc[name], json_kind(doc[name])
+        text = F.when(kind.isin("object", "array"), F.to_json(value)).otherwise(as_text(value))
+        fields.append(
+            F.struct(
+                kind.alias("kind"), text.alias("text"), F.try_variant_get(value, "$", "double").alias("number")
+            ).alias(name)
+        )
+    return F.struct(*fields)
+
+
+def _double(field: JsonField) -> Column:
+    """A number, or a text numeral that a double can hold."""
+    text = F.when(field.kind == "string", F.lower(F.trim(field.text)))
+    numeral = F.when(text.rlike(_NUMERAL), text.try_cast("double"))
+    return (
+        F.when(field.kind == "number", field.number)
+        .when(text.rlike(_SPECIAL), text.try_cast("double"))
+        .when(F.abs(numeral) < F.lit(float("inf")), numeral)
     )
 
 
-def _double(value: Column) -> Column:
-    text = _parameter(value)
-    special = F.lower(F.trim(text))
-    finite = F.when(text.rlike(_NUMERAL), F.trim(text).try_cast("double"))
-    # A text numeral beyond the range of a double is refused; a bare number is already infinite by then.
-    in_range = F.when((json_kind(value) == "number") | (F.abs(finite) < F.lit(float("inf"))), finite)
-    return F.when(text.rlike(_SPECIAL), special.try_cast("double")).otherwise(in_range)
-
-
-def _bigint(value: Column) -> Column:
-    text = _parameter(value)
-    number = as_number(value)
-    whole = (json_kind(value) == "number") & (number == F.floor(number)) & (F.abs(number) < 2.0**63)
-    return F.when(whole, number.cast("long")).when(
-        (json_kind(value) == "string") & text.rlike(_INTEGER), F.trim(text).try_cast("bigint")
+def _bigint(field: JsonField) -> Column:
+    whole = field.is_whole_number() & (F.abs(field.number) < 2.0**63)
+    return F.when(whole, field.number.cast("long")).when(
+        (field.kind == "string") & field.text.rlike(_INTEGER), F.trim(field.text).try_cast("bigint")
     )
 
 
 def with_stored_columns(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """Add ``reason`` (null for a storable message) and ``event``, its typed columns."""
-    doc = F.col("__doc")
-    raw_id, device, event_type, value, ts = (doc[name] for name in MESSAGE_FIELDS)
-    type_text = _parameter(event_type)
     text = F.col(value_col).cast("string")
+    raw_id, device, event_type, value, stamp = (read_field(F.col("__fields"), name) for name in MESSAGE_FIELDS)
+    event = F.struct(
+        F.when(is_storable_uuid(raw_id.text), canonical_uuid(raw_id.text)).alias("id"),
+        F.when(is_storable_uuid(device.text), canonical_uuid(device.text)).alias("device_id"),
+        event_type.text.alias("event_type"),
+        _double(value).alias("value"),
+        _bigint(stamp).alias("timestamp"),
+    )
+    column = lambda name: F.col("event")[name]
     reason = (
         F.when(F.coalesce(text, F.lit("")) == "", "empty message")
         .when(F.coalesce(F.size("__docs") != 1, F.lit(True)), "not a JSON object")
-        .when(~is_storable_uuid(_parameter(raw_id)), "id is not a UUID")
-        .when(~is_storable_uuid(_parameter(device)), "device_id is not a UUID")
-        .when(type_text.isNull(), "event_type is null")
-        .when(F.char_length(type_text) > MAX_TYPE_LENGTH, "event_type is too long")
-        .when(_double(value).isNull(), "value is not a double")
-        .when(_bigint(ts).isNull(), "timestamp is not a bigint")
+        .when(F.col("__doc").isNull(), "not a JSON object")
+        .when(column("id").isNull(), "id is not a UUID")
+        .when(column("device_id").isNull(), "device_id is not a UUID")
+        .when(column("event_type").isNull(), "event_type is null")
+        .when(F.char_length(column("event_type")) > MAX_TYPE_LENGTH, "event_type is too long")
+        .when(column("value").isNull(), "value is not a double")
+        .when(column("timestamp").isNull(), "timestamp is not a bigint")
     )
-    event = F.struct(
-        canonical_uuid(_parameter(raw_id)).alias("id"),
-        canonical_uuid(_parameter(device)).alias("device_id"),
-        type_text.alias("event_type"),
-        _double(value).alias("value"),
-        _bigint(ts).alias("timestamp"),
-    )
-    return (
-        messages.withColumn("__docs", json_documents(text, MESSAGE_FIELDS))
-        .withColumn("__doc", F.try_element_at("__docs", F.lit(1)))
-        .withColumn("reason", reason)
-        .withColumn("event", F.when(F.col("reason").isNull(), event))
-        .drop("__docs", "__doc")
+    parsed = computed_once(messages, "__docs", json_documents(text, MESSAGE_FIELDS)).withColumn(
+        "__doc", F.try_element_at("__docs", F.lit(1))
     )
+    typed = computed_once(computed_once(parsed, "__fields", _parameters(F.col("__doc"))), "event", event)
+    return typed.withColumn("reason", reason).drop("__docs", "__doc", "__fields")
 
 
 def split_dlq(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
