@@ -16,9 +16,11 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later filters do not evaluate again.
 
     A filter on a projected column is pushed below the projection with the expression copied into it, once per
-    use. It is not pushed below a generator, so the value comes from one: an explode of a single element.
+    use. It is not pushed below a generator, so the projected value passes through one: an explode of a single
+    element.
     """
-    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+    projected = df.withColumn("__value", value)
+    return projected.select(*df.columns, F.explode_outer(F.array("__value")).alias(name))
 
 
 def json_documents(text: Column, fields: Sequence[str]) -> Column:
@@ -31,11 +33,10 @@ def json_documents(text: Column, fields: Sequence[str]) -> Column:
     return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{layout}>>", STRICT_JSON)
 
 
-def json_kind(value: Column) -> Column:
-    """``undefined``, ``null``, ``boolean``, ``number``, ``string``, ``array`` or ``object``."""
-    tag = F.schema_of_variant(value)
+def kind_of_tag(tag: Column) -> Column:
+    """JSON kind for a ``schema_of_variant`` text (null for an absent field)."""
     return (
-        F.when(value.isNull(), "undefined")
+        F.when(tag.isNull(), "undefined")
         .when(tag == "STRING", "string")
         .when(tag.isin("BIGINT", "DOUBLE", "FLOAT") | tag.startswith("DECIMAL"), "number")
         .when(tag == "BOOLEAN", "boolean")
@@ -45,6 +46,11 @@ def json_kind(value: Column) -> Column:
     )
 
 
+def json_kind(value: Column) -> Column:
+    """``undefined``, ``null``, ``boolean``, ``number``, ``string``, ``array`` or ``object``."""
+    return kind_of_tag(F.schema_of_variant(value))
+
+
 def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
@@ -62,7 +68,8 @@ class JsonField(NamedTuple):
 
     @staticmethod
     def of(value: Column) -> JsonField:
-        return JsonField(json_kind(value), as_text(value), as_number(value))
+        kind = json_kind(value)
+        return JsonField(kind, as_text(value), F.when(kind == "number", as_number(value)))
 
     def is_finite_number(self) -> Column:
         """A JSON number that a double holds as a finite value."""
@@ -74,20 +81,22 @@ class JsonField(NamedTuple):
         return self.is_finite_number() & F.coalesce(self.number == F.floor(self.number), F.lit(False))
 
 
-def field_values(doc: Column, fields: Sequence[str]) -> Column:
-    """Struct of kind, text and number per field of a document."""
-    return F.struct(
-        *[
-            F.struct(
-                json_kind(doc[name]).alias("kind"),
-                as_text(doc[name]).alias("text"),
-                as_number(doc[name]).alias("number"),
-            ).alias(name)
-            for name in fields
-        ]
-    )
+def with_fields(df: DataFrame, doc: str, fields: Sequence[str], name: str) -> DataFrame:
+    """Add struct ``name``: kind, text and number of each field of the document column ``doc``."""
+    tags = F.struct(*[F.schema_of_variant(F.col(doc)[f]).alias(f) for f in fields])
+    tagged = computed_once(df, "__tags", tags)
+
+    def field(f: str) -> Column:
+        value, kind = F.col(doc)[f], kind_of_tag(F.col("__tags")[f])
+        return F.struct(
+            kind.alias("kind"),
+            F.when(kind.isin("object", "array"), F.to_json(value)).otherwise(as_text(value)).alias("text"),
+            F.when(kind == "number", as_number(value)).alias("number"),
+        ).alias(f)
+
+    return computed_once(tagged, name, F.struct(*[field(f) for f in fields])).drop("__tags")
 
 
 def read_field(values: Column, name: str) -> JsonField:
-    """The field from a ``field_values`` struct."""
+    """The field from a struct that ``with_fields`` added."""
     return JsonField(values[name]["kind"], values[name]["text"], values[name]["number"])

@@ -19,10 +19,10 @@ from gaugeflow.constants import (
 from gaugeflow.functions.jsontypes import (
     JsonField,
     computed_once,
-    field_values,
     json_documents,
     json_kind,
     read_field,
+    with_fields,
 )
 from gaugeflow.functions.text import is_uuid, utf16_length
 from gaugeflow.schemas import ISSUES
@@ -136,35 +136,46 @@ def _expected(kind: str, received: Column) -> Column:
     return F.concat(F.lit(f"Invalid input: expected {kind}, received "), received)
 
 
-def _field_issues(values: Column, bad_keys: Column, now_ms: Column) -> Column:
+def _when(condition: Column, field: str | Column, message: str | Column) -> Column:
+    """One issue, or none."""
+    return F.when(condition, F.array(_issue(field, message))).otherwise(F.array().cast(ISSUES))
+
+
+def _field_issues(values: Column, now_ms: Column) -> Column:
     device, event_type, value, stamp, metadata = (read_field(values, name) for name in BODY_FIELDS)
     low, high = TYPE_LENGTH
-    length = utf16_length(event_type.text)
+    is_text, length = event_type.kind == "string", utf16_length(event_type.text)
     whole = is_integer(stamp)
-    flat = F.array(
-        F.when(device.kind != "string", _issue("deviceId", _expected("string", device.kind))).when(
-            ~is_device_id(device), _issue("deviceId", DEVICE_ID_MESSAGE)
-        ),
-        F.when(event_type.kind != "string", _issue("eventType", _expected("string", event_type.kind)))
-        .when(length < low, _issue("eventType", f"Too small: expected string to have >={low} characters"))
-        .when(length > high, _issue("eventType", f"Too big: expected string to have <={high} characters")),
-        F.when(value.kind != "number", _issue("value", _expected("number", value.kind))).when(
-            ~is_value(value), _issue("value", "Invalid input: expected number, received Infinity")
+    return F.concat(
+        _when(device.kind != "string", "deviceId", _expected("string", device.kind)),
+        _when((device.kind == "string") & ~is_device_id(device), "deviceId", DEVICE_ID_MESSAGE),
+        _when(~is_text, "eventType", _expected("string", event_type.kind)),
+        _when(is_text & (length < low), "eventType", f"Too small: expected string to have >={low} characters"),
+        _when(is_text & (length > high), "eventType", f"Too big: expected string to have <={high} characters"),
+        _when(value.kind != "number", "value", _expected("number", value.kind)),
+        _when(
+            (value.kind == "number") & ~is_value(value),
+            "value",
+            "Invalid input: expected number, received Infinity",
         ),
-        F.when(stamp.kind != "number", _issue("timestamp", _expected("number", stamp.kind))).when(
-            ~whole, _issue("timestamp", "Invalid input: expected int, received number")
+        _when(stamp.kind != "number", "timestamp", _expected("number", stamp.kind)),
+        _when(
+            (stamp.kind == "number") & ~whole, "timestamp", "Invalid input: expected int, received number"
         ),
         # The next two are both reported, but only for whole numbers.
-        F.when(whole & (stamp.number <= 0), _issue("timestamp", "Too small: expected number to be >0")),
-        F.when(whole & ~is_within_drift(stamp, now_ms), _issue("timestamp", DRIFT_MESSAGE)),
-        F.when(
-            ~metadata.kind.isin("undefined", "object"), _issue("metadata", _expected("record", metadata.kind))
+        _when(whole & (stamp.number <= 0), "timestamp", "Too small: expected number to be >0"),
+        _when(whole & ~is_within_drift(stamp, now_ms), "timestamp", DRIFT_MESSAGE),
+        _when(
+            ~metadata.kind.isin("undefined", "object"), "metadata", _expected("record", metadata.kind)
         ),
     )
-    nested = F.transform(bad_keys, lambda key: _issue(F.concat(F.lit("metadata."), key), "Invalid input"))
-    return F.concat(
-        F.filter(flat, lambda issue: issue.isNotNull()), F.coalesce(nested, F.array().cast(ISSUES))
+
+
+def _metadata_issues(value: Column) -> Column:
+    issues = F.transform(
+        bad_metadata_keys(value), lambda key: _issue(F.concat(F.lit("metadata."), key), "Invalid input")
     )
+    return F.coalesce(issues, F.array().cast(ISSUES))
 
 
 def validate(df: DataFrame, now_col: str = "received_at_ms", body_col: str = "body") -> DataFrame:
@@ -173,29 +184,20 @@ def validate(df: DataFrame, now_col: str = "received_at_ms", body_col: str = "bo
     ``now_col`` is the receive time, so that a rerun gives the same verdict. A malformed body has null
     ``errors``: it is refused before validation.
     """
-    body, kind = F.col(body_col), F.col("__seen.kind")
+    body, kind = F.col(body_col), F.col("body_kind")
     root = _expected("object", F.when(kind == "array", "array").otherwise("undefined"))
+    parsed = computed_once(df, "__docs", json_documents(body, BODY_FIELDS))
+    seen = computed_once(parsed, "body_kind", body_kind(body, F.col("__docs"))).withColumn(
+        "__doc", F.try_element_at("__docs", F.lit(1))
+    )
+    fields = with_fields(seen, "__doc", BODY_FIELDS, "__values")
+    nested = computed_once(fields, "__nested", _metadata_issues(F.col("__doc")["metadata"]))
     issues = (
         F.when(kind == "malformed", F.lit(None))
         .when(kind.isin("absent", "array"), F.array(_issue("", root)))
-        .otherwise(_field_issues(F.col("__seen.values"), F.col("__seen.bad_keys"), F.col(now_col)))
-    )
-    parsed = computed_once(df, "__docs", json_documents(body, BODY_FIELDS))
-    doc = F.try_element_at("__docs", F.lit(1))
-    seen = computed_once(
-        parsed.withColumn("__doc", doc),
-        "__seen",
-        F.struct(
-            body_kind(body, F.col("__docs")).alias("kind"),
-            field_values(F.col("__doc"), BODY_FIELDS).alias("values"),
-            bad_metadata_keys(F.col("__doc")["metadata"]).alias("bad_keys"),
-        ),
-    )
-    return (
-        computed_once(seen, "errors", issues)
-        .withColumn("body_kind", kind)
-        .drop("__docs", "__doc", "__seen")
+        .otherwise(F.concat(_field_issues(F.col("__values"), F.col(now_col)), F.col("__nested")))
     )
+    return computed_once(nested, "errors", issues).drop("__docs", "__doc", "__values", "__nested")
 
 
 def validation_errors(df: DataFrame, id_col: str = "request_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.jsontypes import JsonField, as_text, computed_once, json_documents, json_kind, read_field
+from gaugeflow.functions.jsontypes import JsonField, computed_once, json_documents, read_field, with_fields
 from gaugeflow.functions.text import canonical_uuid, is_storable_uuid
 
 MESSAGE_FIELDS = ("id", "deviceId", "eventType", "value", "timestamp")
@@ -20,20 +20,6 @@ _SPECIAL = r"(?i)^\s*([+-]?(inf|infinity)|nan)\s*\z"
 _INTEGER = r"^\s*[+-]?\d+\s*\z"
 
 
-def _parameters(doc: Column) -> Column:
-    """Kind, text and number of each field, the text being what reaches the table; null for a null field."""
-    fields = []
-    for name in MESSAGE_FIELDS:
-        value, kind = doc[name], json_kind(doc[name])
-        text = F.when(kind.isin("object", "array"), F.to_json(value)).otherwise(as_text(value))
-        fields.append(
-            F.struct(
-                kind.alias("kind"), text.alias("text"), F.try_variant_get(value, "$", "double").alias("number")
-            ).alias(name)
-        )
-    return F.struct(*fields)
-
-
 def _double(field: JsonField) -> Column:
     """A number, or a text numeral that a double can hold."""
     text = F.when(field.kind == "string", F.lower(F.trim(field.text)))
@@ -78,7 +64,7 @@ def with_stored_columns(messages: DataFrame, value_col: str = "value") -> DataFr
     parsed = computed_once(messages, "__docs", json_documents(text, MESSAGE_FIELDS)).withColumn(
         "__doc", F.try_element_at("__docs", F.lit(1))
     )
-    typed = computed_once(computed_once(parsed, "__fields", _parameters(F.col("__doc"))), "event", event)
+    typed = computed_once(with_fields(parsed, "__doc", MESSAGE_FIELDS, "__fields"), "event", event)
     return typed.withColumn("reason", reason).drop("__docs", "__doc", "__fields")
 
 

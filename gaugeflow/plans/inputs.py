@@ -27,6 +27,13 @@ def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before JSON work: a small test table is one file that one task would read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df if files >= cores else df.repartition(cores)
+
+
 def _milliseconds() -> Column:
     return F.unix_millis(F.col("ts").cast("timestamp"))
 
@@ -69,7 +76,7 @@ def _value_variant(value: Column) -> Column:
 def topic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOPIC rows: one message per event, some bad, and later redeliveries with another value."""
     copies = F.when(_e() % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    sent = source_events(spark, sf_dir).withColumn("copy", F.explode(copies))
+    sent = spread(source_events(spark, sf_dir)).withColumn("copy", F.explode(copies))
     value = F.variant_get(_value_variant(F.col("value") + F.col("copy")), "$[0]", "variant")
     kind = F.when(_e() % 37 == 0, F.repeat(F.lit("x"), 51)).otherwise(F.col("event_type"))
     text = F.when(_e() % 47 == 0, F.lit("not json")).otherwise(
@@ -126,7 +133,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 13 == 0, send(RETRIES["after finish"], duration + 5_000)).otherwise(none),
         F.when(e % 19 == 0, send(RETRIES["at expiry"], duration + 86_400_000)).otherwise(none),
     )
-    sent = source_events(spark, sf_dir).withColumn("send", F.explode(F.array_compact(sends)))
+    sent = spread(source_events(spark, sf_dir)).withColumn("send", F.explode(F.array_compact(sends)))
     value = F.variant_get(_value_variant(F.col("value")), "$[0]", "variant")
     kind = F.when(e % 37 == 0, F.lit("x")).otherwise(F.col("event_type"))
     body = F.when(e % 47 == 0, F.lit('{"deviceId":')).otherwise(
