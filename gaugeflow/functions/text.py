@@ -42,6 +42,6 @@ def to_fixed(value: Column, digits: int) -> Column:
     number = value.cast("double")
     # A double lies exactly between two results only as an odd multiple of 2^-(digits+1).
     is_tie = (F.abs(number) * 2.0 ** (digits + 1)) % 2 == 1
-    nudged = F.when(is_tie, number + F.signum(number) * 2.0 ** -(digits + 2)).otherwise(number)
+    nudged = F.when(is_tie, number * (1 + 2.0**-40)).otherwise(number)
     pattern = "0." + "0" * digits if digits else "0"
     return F.call_function("format_number", nudged, F.lit(pattern))

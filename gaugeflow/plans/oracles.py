@@ -127,12 +127,9 @@ _HISTOGRAM_ROWS = ", ".join(
     f"({'9e15' if ms is None else ms}, '{le}')" for ms, le in _HISTOGRAM_BOUNDS
 )
 
-_TO_FIXED = "printf('%.{d}f', {x} + CASE WHEN abs({x}) * {p} % 2 = 1 THEN sign({x}) / {q} ELSE 0 END)"
-
-
-def _fixed(x: str, digits: int) -> str:
-    return _TO_FIXED.format(d=digits, x=x, p=float(2 ** (digits + 1)), q=float(2 ** (digits + 2)))
-
+# One decimal of a two-decimal value: only .x5 can be a tie, and of those only .25 and .75 are exact in binary.
+_ONE_DECIMAL = """CASE WHEN CAST(value * 100 AS BIGINT) % 50 = 25 THEN printf('%.1f', CAST(round(value, 1) AS DOUBLE))
+            ELSE printf('%.1f', amount) END"""
 
 _CARD_MEAN = "(CAST(sum(value) FILTER (event_type = '{t}') AS DOUBLE) / count(*) FILTER (event_type = '{t}'))"
 
@@ -288,7 +285,7 @@ WITH {_EVENTS},
 means AS (
   SELECT count(*) AS total_events, {_CARD_MEAN.format(t="click")} AS m1, {_CARD_MEAN.format(t="view")} AS m2 FROM ev
 )
-SELECT total_events, {_fixed("m1", 1)} AS temperature_avg, {_fixed("m2", 1)} AS cpu_avg FROM means""",
+SELECT total_events, printf('%.1f', m1) AS temperature_avg, printf('%.1f', m2) AS cpu_avg FROM means""",
     "running_type_avg": f"""
 WITH {_EVENTS}
 SELECT id, event_type AS "eventType", ms AS "timestamp",
@@ -297,8 +294,8 @@ FROM ev WHERE event_type IN ('click', 'view')
 WINDOW w AS (PARTITION BY event_type ORDER BY ms, id ROWS UNBOUNDED PRECEDING)""",
     "live_log_lines": f"""
 WITH {_EVENTS}
-SELECT id, substr(device, 1, 8) || ' > Type: ' || event_type || ' | Value: ' || {_fixed("amount", 1)} AS page_line,
-       'Device: ' || substr(device, 1, 8) || '... | Type: ' || event_type || ' | Value: ' || {_fixed("amount", 2)}
+SELECT id, substr(device, 1, 8) || ' > Type: ' || event_type || ' | Value: ' || {_ONE_DECIMAL} AS page_line,
+       'Device: ' || substr(device, 1, 8) || '... | Type: ' || event_type || ' | Value: ' || printf('%.2f', amount)
          AS cli_line
 FROM ev""",
     "trailing_chart": f"""

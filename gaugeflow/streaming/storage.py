@@ -53,12 +53,12 @@ def store_events(
         firsts.unpersist()
 
 
-def store_batch(messages: DataFrame, batch_id: int, path: str, dlq_path: str, horizon: str | None = None) -> None:
-    """One micro-batch: good rows to the table, bad rows to the dead letters."""
-    order = [c for c in ("partition", "offset") if c in messages.columns]
+def store_checked(checked: DataFrame, batch_id: int, path: str, dlq_path: str, horizon: str | None = None) -> None:
+    """One checked micro-batch: good rows to the table, bad rows to the dead letters."""
+    order = [c for c in ("partition", "offset") if c in checked.columns]
     if not order:
-        messages, order = messages.withColumn("__arrival", F.monotonically_increasing_id()), ["__arrival"]
-    checked = with_stored_columns(messages).persist()
+        checked, order = checked.withColumn("__arrival", F.monotonically_increasing_id()), ["__arrival"]
+    checked = checked.persist()
     try:
         good = stored_events(checked.where(F.col("reason").isNull()), *order)
         write_dlq(checked.where(F.col("reason").isNotNull()), f"{dlq_path}/batch_id={batch_id}", mode="overwrite")
@@ -67,6 +67,11 @@ def store_batch(messages: DataFrame, batch_id: int, path: str, dlq_path: str, ho
         checked.unpersist()
 
 
+def store_batch(messages: DataFrame, batch_id: int, path: str, dlq_path: str, horizon: str | None = None) -> None:
+    """Check and store one batch of topic messages."""
+    store_checked(with_stored_columns(messages), batch_id, path, dlq_path, horizon)
+
+
 def run_storage(
     stream: DataFrame,
     path: str,
@@ -75,9 +80,17 @@ def run_storage(
     trigger: dict | None = None,
     horizon: str | None = None,
 ) -> StreamingQuery:
-    """Start the consumer. Offsets are committed after both writes; a failure before that replays the batch."""
-    writer = (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, path, dlq_path, horizon))
+    """Start the consumer. Offsets are committed after both writes; a failure before that replays the batch.
+
+    ``processed`` (duplicates included) and ``failed`` messages of each batch are in the query progress, as
+    the observed metric ``storage``.
+    """
+    checked = with_stored_columns(stream).observe(
+        "storage",
+        F.count_if(F.col("reason").isNull()).alias("processed"),
+        F.count_if(F.col("reason").isNotNull()).alias("failed"),
+    )
+    writer = checked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: store_checked(batch, batch_id, path, dlq_path, horizon)
     )
     return (writer.trigger(**trigger) if trigger else writer).start()
