@@ -62,11 +62,10 @@ def _batch(events: DataFrame, size: str, slide: str) -> DataFrame:
     )
 
 
-def _streaming(events: DataFrame, size: str, slide: str, watermark: str) -> DataFrame:
+def aggregate_windows(timed: DataFrame, size: str, slide: str) -> DataFrame:
+    """Aggregates of a stream whose ``event_time`` carries the watermark."""
     return (
-        with_event_time(events)
-        .withWatermark("event_time", watermark)
-        .groupBy(F.window("event_time", size, slide), "eventType")
+        timed.groupBy(F.window("event_time", size, slide), "eventType")
         .agg(
             F.avg("value").alias("avg_value"),
             F.min("value").alias("min_value"),
@@ -91,8 +90,10 @@ def window_stats(
     an event only from windows that end at or before the watermark; a batch has no late events.
     A decimal ``value`` is summed exactly.
     """
+    if duration_ms(slide) > duration_ms(size):
+        raise ValueError("the slide must not be longer than the window")
     if events.isStreaming:
-        return _streaming(events, size, slide, watermark)
+        return aggregate_windows(with_event_time(events).withWatermark("event_time", watermark), size, slide)
     return _batch(events, size, slide)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeflow.constants import CARD_TYPES, WATERMARK, WINDOW_SIZE, WINDOW_SLIDE
 from gaugeflow.operators.live import live_totals
 from gaugeflow.operators.parse import parse_events
-from gaugeflow.operators.window_stats import window_stats
+from gaugeflow.operators.window_stats import aggregate_windows, window_stats
 from gaugeflow.schemas import WINDOW_EVENT
 from gaugeflow.sources.writers import start_stream
 from gaugeflow.streaming.dedup import dedup_stream
@@ -27,9 +27,9 @@ def stream_window_stats(
     Redelivered messages count again unless ``dedup`` is set, which drops repeated ids within the watermark.
     """
     events = parse_events(raw, WINDOW_EVENT)
-    if dedup:
-        events = dedup_stream(events, "id", watermark)
-    return window_stats(events, size, slide, watermark)
+    if not dedup:
+        return window_stats(events, size, slide, watermark)
+    return aggregate_windows(dedup_stream(events, "id", watermark), size, slide)
 
 
 def write_window_stats(

@@ -9,15 +9,14 @@ from gaugeflow.operators.parse import with_event_time
 
 
 def dedup_stream(df: DataFrame, key: str = "id", horizon: str = "24 hours", ms_col: str = "timestamp") -> DataFrame:
-    """The first delivery of each key within ``horizon``; rows without key or time are left out.
+    """The first delivery of each key within ``horizon``, with its ``event_time``.
+
+    Rows without key or time are left out: they would all be kept as duplicates of nothing.
 
     State holds the keys of the last ``horizon`` only. For an unbounded horizon the stored table itself is
     asked (``storage.store_events``).
     """
     known = df.where(F.col(key).isNotNull() & F.col(ms_col).isNotNull())
     return (
-        with_event_time(known, ms_col, "__event_time")
-        .withWatermark("__event_time", horizon)
-        .dropDuplicatesWithinWatermark([key])
-        .drop("__event_time")
+        with_event_time(known, ms_col).withWatermark("event_time", horizon).dropDuplicatesWithinWatermark([key])
     )

@@ -1,0 +1,169 @@
+"""Streams on files: late data, restarts, storage, dedup, idempotency and live sinks."""
+
+import json
+import os
+import random
+
+import pytest
+from gaugeflow.operators.admission import publish_payload, to_topic_records
+from gaugeflow.operators.idempotency import idempotency_outcomes
+from gaugeflow.operators.parse import parse_events
+from gaugeflow.operators.window_stats import window_stats
+from gaugeflow.sources.readers import read_events, read_raw_stream, read_requests
+from gaugeflow.sources.writers import start_stream, write_topic, write_topic_stream
+from gaugeflow.streaming.aggregate import live_feed, start_live_totals, stream_window_stats, write_window_stats
+from gaugeflow.streaming.dedup import dedup_stream
+from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
+from gaugeflow.streaming.storage import run_storage
+from gaugeflow.schemas import REQUEST_LOG, WINDOW_STATS
+from pyspark.sql import functions as F
+from telemetry import MINUTE, T, U, message, request
+from test_idempotency import brute, random_requests, result
+
+ONCE = {"availableNow": True}
+
+
+def put(folder, name, texts):
+    """One file, one micro-batch; the file stream takes files by age."""
+    folder.mkdir(exist_ok=True)
+    file, age = folder / f"{name}.txt", len(list(folder.iterdir()))
+    file.write_text("".join(t + "\n" for t in texts))
+    os.utime(file, (1_700_000_000 + age, 1_700_000_000 + age))
+
+
+def event(n, minute, **fields):
+    return message(id=U(n), eventType="t", value=float(n), timestamp=T + int(minute * MINUTE), **fields)
+
+
+def windows(df):
+    return {
+        ((r.s - T) // MINUTE, r.eventType): (r.avg_value, r.event_count)
+        for r in df.withColumn("s", F.unix_millis("window_start")).collect()
+    }
+
+
+def run_windows(spark, source, out, checkpoint, **options):
+    raw = read_raw_stream(spark, "json", str(source), maxFilesPerTrigger="1")
+    query = write_window_stats(stream_window_stats(raw, **options), str(out), str(checkpoint), trigger=ONCE)
+    query.awaitTermination()
+    return spark.read.schema(WINDOW_STATS).parquet(str(out))
+
+
+LATE = {
+    **{(m, "t"): (1.0, 1) for m in range(-4, 1)},
+    (16, "t"): (3.5, 2),
+    **{(m, "t"): (3.0, 1) for m in (17, 18, 19)},
+    (26, "t"): (2.0, 1),
+    **{(m, "t"): (4.0, 2) for m in (27, 28, 29, 30)},
+    (31, "t"): (6.0, 1),
+}
+
+
+FILES = [[event(1, 0), event(2, 30)], [event(3, 19), event(4, 16.5), event(5, 10), event(6, 31)], [event(7, 60)]]
+
+
+def test_late_data(spark, tmp_path):
+    put(tmp_path / "in", "empty", [])
+    raw = read_raw_stream(spark, "json", str(tmp_path / "in"), maxFilesPerTrigger="1")
+    query = write_window_stats(stream_window_stats(raw), str(tmp_path / "out"), str(tmp_path / "cp"))
+    for i, texts in enumerate(FILES):
+        put(tmp_path / "in", f"f{i}", texts)
+        query.processAllAvailable()
+    query.stop()
+    got = spark.read.schema(WINDOW_STATS).parquet(str(tmp_path / "out"))
+    assert got.count() == 15 and windows(got) == LATE
+
+
+def test_restart_from_the_checkpoint(spark, tmp_path):
+    for i, texts in enumerate(FILES):
+        put(tmp_path / "in", f"f{i}", texts)
+        got = run_windows(spark, tmp_path / "in", tmp_path / "out", tmp_path / "cp")
+    assert got.count() == 15 and windows(got) == LATE
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [
+        message(id=U(i), eventType=rng.choice(["a", "b"]), value=float(rng.randrange(64)), timestamp=T + rng.randrange(40 * MINUTE))
+        for i in range(300)
+    ] + ["not json", message(drop=("timestamp",)), message(drop=("id",))]
+    put(tmp_path / "in", "f0", texts)
+    put(tmp_path / "in", "f1", [message(id=U(999), eventType="end", timestamp=T + 600 * MINUTE)])
+    streamed = run_windows(spark, tmp_path / "in", tmp_path / "out", tmp_path / "cp")
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, window_stats(parse_events(raw)).collect()))
+
+
+def test_redeliveries_count_again_unless_deduplicated(spark, tmp_path):
+    put(tmp_path / "in", "f0", [event(1, 0), event(1, 0), event(2, 0), "bad"])
+    put(tmp_path / "in", "f1", [event(1, 0)])
+    put(tmp_path / "in", "f2", [event(9, 100)])
+    plain = windows(run_windows(spark, tmp_path / "in", tmp_path / "o1", tmp_path / "c1"))
+    once = windows(run_windows(spark, tmp_path / "in", tmp_path / "o2", tmp_path / "c2", dedup=True))
+    assert plain[(0, "t")] == (1.25, 4) and once[(0, "t")] == (1.5, 2)
+
+
+def test_dedup_stream(spark, tmp_path):
+    put(tmp_path / "in", "f0", [event(1, 0), event(1, 1), event(2, 0), "bad", message(drop=("id",))])
+    put(tmp_path / "in", "f1", [event(2, 3), event(3, 3)])
+    events = parse_events(read_raw_stream(spark, "json", str(tmp_path / "in"), maxFilesPerTrigger="1"))
+    start_stream(dedup_stream(events), str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [U(1), U(2), U(3)]
+
+
+def test_storage_stream(spark, tmp_path):
+    source, path, dlq = tmp_path / "in", str(tmp_path / "events"), str(tmp_path / "dlq")
+    put(source, "f0", [event(1, 0), event(1, 5), "poison", event(2, 0)])
+    put(source, "f1", [event(2, 7), event(3, 0), message(deviceId="xyz")])
+
+    def run():
+        raw = read_raw_stream(spark, "json", str(source), maxFilesPerTrigger="1")
+        query = run_storage(raw, path, dlq, str(tmp_path / "cp"), trigger=ONCE)
+        query.awaitTermination()
+        return [(p.observedMetrics["storage"].processed, p.observedMetrics["storage"].failed)
+                for p in query.recentProgress if p.numInputRows]
+
+    counts = run()
+    stored = {(r.id, r.timestamp) for r in read_events(spark, path).collect()}
+    assert len(stored) == read_events(spark, path).count() == 3
+    assert {i for i, _ in stored} == {U(1), U(2), U(3)}
+    assert sorted(counts) == [(2, 1), (3, 1)]
+    assert {r.value for r in spark.read.parquet(dlq).collect()} == {"poison", message(deviceId="xyz")}
+    # A restart goes on where it stopped.
+    put(source, "f2", [event(3, 9), event(4, 0)])
+    assert run() == [(2, 0)]
+    assert {r.id for r in read_events(spark, path).collect()} == {U(1), U(2), U(3), U(4)}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_idempotency_stream_equals_table(spark, tmp_path, files):
+    layout = "request_id long, idempotency_key string, received_at_ms long, duration_ms long, handler_status int"
+    rows = sorted(random_requests(21, 400, 6, 3 * 86_400_000), key=lambda r: (r[2], r[0]))
+    step = -(-len(rows) // files)
+    for i in range(files):
+        part = spark.createDataFrame(rows[i * step:(i + 1) * step], layout)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    out = stream_idempotency_outcomes(stream)
+    start_stream(out, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
+    got = result(spark.read.schema(out.schema).parquet(str(tmp_path / "out")))
+    assert got == brute(rows)
+    assert got == result(idempotency_outcomes(spark.createDataFrame(rows, layout)))
+
+
+def test_requests_topic_and_live_feed(spark, tmp_path):
+    log, topic, feed = (str(tmp_path / n) for n in ("log", "topic", "feed"))
+    spark.createDataFrame([request(i) for i in range(5)], REQUEST_LOG).write.parquet(log)
+    requests = read_requests(spark, log, streaming=True)
+    assert requests.isStreaming and read_requests(spark, log).count() == 5
+    accepted = requests.withColumn("reason", F.lit("accepted"))
+    payload = publish_payload(accepted)
+    write_topic_stream(to_topic_records(payload), topic, str(tmp_path / "c1"), "parquet", ONCE).awaitTermination()
+    start_stream(live_feed(payload), feed, str(tmp_path / "c2"), "text", ONCE).awaitTermination()
+    values = {json.loads(r.value)["id"] for r in spark.read.parquet(topic).collect()}
+    assert values == {json.loads(r.value)["id"] for r in spark.read.text(feed).collect()} == {U(i) for i in range(5)}
+    write_topic(spark.read.parquet(topic), str(tmp_path / "copy"), "parquet")
+    raw = read_raw_stream(spark, "parquet", str(tmp_path / "copy"))
+    query = start_live_totals(parse_events(raw), "cards", trigger=ONCE)
+    query.awaitTermination()
+    assert tuple(spark.table("cards").first()) == (5, "24.5", None)
