@@ -22,25 +22,27 @@ def _uuid(block: str, number: Column) -> Column:
     return F.concat(F.lit(f"00000000-0000-4000-{block}-"), F.lpad(number.cast("string"), 12, "0"))
 
 
-def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if not streaming:
+        return table
+    return spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before JSON work: a small test table is one file that one task would read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df if files >= cores else df.repartition(cores)
+    return df.repartition(cores) if df.isStreaming or len(df.inputFiles()) < cores else df
 
 
 def _milliseconds() -> Column:
     return F.unix_millis(F.col("ts").cast("timestamp"))
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """RAW_EVENT rows. The values have two decimals and are kept as decimals: their sums are exact."""
-    return source_events(spark, sf_dir).select(
+    return source_events(spark, sf_dir, streaming).select(
         _uuid("8000", _e()).alias("id"),
         _uuid("8001", F.col("user_id")).alias("deviceId"),
         F.col("event_type").alias("eventType"),
@@ -73,10 +75,10 @@ def _value_variant(value: Column) -> Column:
     )
 
 
-def topic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_messages(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """TOPIC rows: one message per event, some bad, and later redeliveries with another value."""
     copies = F.when(_e() % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    sent = spread(source_events(spark, sf_dir)).withColumn("copy", F.explode(copies))
+    sent = spread(source_events(spark, sf_dir, streaming)).withColumn("copy", F.explode(copies))
     value = F.variant_get(_value_variant(F.col("value") + F.col("copy")), "$[0]", "variant")
     kind = F.when(_e() % 37 == 0, F.repeat(F.lit("x"), 51)).otherwise(F.col("event_type"))
     text = F.when(_e() % 47 == 0, F.lit("not json")).otherwise(
@@ -114,7 +116,7 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """REQUEST_LOG rows: one request per event and its retries."""
     e = _e()
     drift = (
@@ -133,7 +135,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 13 == 0, send(RETRIES["after finish"], duration + 5_000)).otherwise(none),
         F.when(e % 19 == 0, send(RETRIES["at expiry"], duration + 86_400_000)).otherwise(none),
     )
-    sent = spread(source_events(spark, sf_dir)).withColumn("send", F.explode(F.array_compact(sends)))
+    sent = spread(source_events(spark, sf_dir, streaming)).withColumn("send", F.explode(F.array_compact(sends)))
     value = F.variant_get(_value_variant(F.col("value")), "$[0]", "variant")
     kind = F.when(e % 37 == 0, F.lit("x")).otherwise(F.col("event_type"))
     body = F.when(e % 47 == 0, F.lit('{"deviceId":')).otherwise(

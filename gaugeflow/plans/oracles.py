@@ -320,3 +320,22 @@ SELECT device AS device_id, topic_offset AS "offset",
        row_number() OVER (PARTITION BY device ORDER BY topic_offset) AS seq_no
 FROM messages""",
 }
+
+STREAM_ORACLES: dict[str, str] = {
+    # A window is emitted once the watermark, ten minutes behind the latest event, has passed its end.
+    "stream_window_stats": f"""
+{_WINDOWS}
+SELECT * FROM stats WHERE window_end <= (SELECT make_timestamp(max(ms) * 1000) FROM ev) - INTERVAL 10 MINUTE""",
+    "stream_store_events": f"""
+{_FIRST}
+SELECT id, device AS device_id, event_type, amount AS value, ms AS "timestamp" FROM firsts""",
+    "stream_dlq": BATCH_ORACLES["dlq_records"],
+    "stream_dedup": f"{_MESSAGES} SELECT DISTINCT id FROM messages WHERE e % 47 <> 0",
+    "stream_idempotency": f"""
+WITH RECURSIVE {_LOG},
+keyed AS (SELECT *, handler_status AS run_status FROM log WHERE run_key IS NOT NULL),
+{_RUNS.format(rows="keyed")}
+SELECT request_id, outcome, x_id AS source_request_id, CASE WHEN outcome = 'REPLAY' THEN x_status END AS replay_status
+FROM state""",
+    "stream_live_cards": BATCH_ORACLES["live_cards"],
+}

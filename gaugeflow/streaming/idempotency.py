@@ -33,31 +33,33 @@ def _decide(run: tuple | None, at_ms: int, lock_ms: int, ttl_ms: int) -> str:
     return REPLAY if status is not None and 200 <= status <= 499 and at_ms - end < ttl_ms else EXECUTE
 
 
-def _int(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+def _whole(value: float | None) -> int | None:
+    return None if value is None or value != value else int(value)
 
 
 def _on_requests(lock_ms: int, ttl_ms: int):
+    names = ("start", "request_id", "end", "status", "response")
+
     def on_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        requests = pd.concat(list(batches), ignore_index=True).sort_values(["start", "request_id"])
+        # Plain lists: most keys have one request, where pandas operations would cost more than the decision.
+        requests = [row for pdf in batches for row in zip(*(pdf[name].tolist() for name in names), strict=True)]
+        requests.sort(key=lambda row: row[:2])
         run = state.get if state.exists else None
         rows = []
-        for request in requests.itertuples(index=False):
-            outcome = _decide(run, request.start, lock_ms, ttl_ms)
+        for start, request_id, end, status, response in requests:
+            outcome = _decide(run, start, lock_ms, ttl_ms)
             if outcome == EXECUTE:
-                response = None if pd.isna(request.response) else request.response
-                run = (int(request.request_id), int(request.start), _int(request.end), _int(request.status), response)
+                run = (request_id, start, _whole(end), _whole(status), response)
             replay = outcome == REPLAY
-            rows.append((request.request_id, outcome, run[0], run[3] if replay else None, run[4] if replay else None))
+            rows.append((request_id, outcome, run[0], run[3] if replay else None, run[4] if replay else None))
         state.update(run)
         # The run can matter until its response or its lock has expired.
         until = max(run[1] + lock_ms, (run[2] or 0) + ttl_ms)
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(rows, columns=[f.name for f in OUTCOME])
-        yield out.astype({"replay_status": "Int32"})
+        yield pd.DataFrame(rows, columns=OUTCOME.fieldNames(), dtype=object)
 
     return on_requests
 
