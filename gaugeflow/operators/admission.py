@@ -93,7 +93,7 @@ def admit(
         status_col="run_status",
         response_col="run_errors",
         eligible=F.col("refusal").isNull(),
-        large=large_keys(requests, max_key_rows),
+        large=large_keys(requests.where(is_uuid(key)), max_key_rows),
         segment_rows=segment_rows,
     )
     outcome, status, finished = F.col("outcome"), F.col("run_status"), F.col("duration_ms").isNotNull()

@@ -292,7 +292,10 @@ def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_m
 
 
 def large_keys(requests: DataFrame, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
-    """Keys with more than ``max_key_rows`` requests; reads the key column only."""
+    """Keys with more than ``max_key_rows`` requests; reads the key column only.
+
+    Pass only requests whose key can count: a text such as "undefined", sent by many, is no key to fold.
+    """
     keys = requests.select(F.col("idempotency_key").alias("__key")).where(F.col("__key").isNotNull())
     return large_groups(keys, ["__key"], max_key_rows)
 
@@ -331,7 +334,8 @@ def idempotency_outcomes(
     prepared = requests.withColumns(
         {"__run": run, "__eligible": allowed, "__key": F.when(allowed, F.col("idempotency_key"))}
     )
-    large = large_keys(requests, max_key_rows) if large is None else large
+    if large is None:
+        large = large_keys(requests.where(allowed), max_key_rows)
     rows = large.agg(F.sum("__rows")).first()[0]
     if rows is None:
         return _fold_small_keys(prepared, lock_ms, ttl_ms)
