@@ -19,8 +19,8 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     use. It is not pushed below a generator, so the projected value passes through one: an explode of a single
     element.
     """
-    projected = df.withColumn("__value", value)
-    return projected.select(*df.columns, F.explode_outer(F.array("__value")).alias(name))
+    projected = df.select("*", value.alias("__value"))
+    return projected.select("*", F.expr(f"explode_outer(array(__value)) AS {name}")).drop("__value")
 
 
 def json_documents(text: Column, fields: Sequence[str]) -> Column:
@@ -33,8 +33,17 @@ def json_documents(text: Column, fields: Sequence[str]) -> Column:
     return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{layout}>>", STRICT_JSON)
 
 
-def kind_of_tag(tag: Column) -> Column:
+def _kind_sql(tag: str) -> str:
     """JSON kind for a ``schema_of_variant`` text (null for an absent field)."""
+    return f"""CASE WHEN {tag} IS NULL THEN 'undefined' WHEN {tag} = 'STRING' THEN 'string'
+        WHEN {tag} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({tag}, 'DECIMAL') THEN 'number'
+        WHEN {tag} = 'BOOLEAN' THEN 'boolean' WHEN {tag} = 'VOID' THEN 'null'
+        WHEN startswith({tag}, 'OBJECT<') THEN 'object' ELSE 'array' END"""
+
+
+def json_kind(value: Column) -> Column:
+    """``undefined``, ``null``, ``boolean``, ``number``, ``string``, ``array`` or ``object``."""
+    tag = F.schema_of_variant(value)
     return (
         F.when(tag.isNull(), "undefined")
         .when(tag == "STRING", "string")
@@ -46,11 +55,6 @@ def kind_of_tag(tag: Column) -> Column:
     )
 
 
-def json_kind(value: Column) -> Column:
-    """``undefined``, ``null``, ``boolean``, ``number``, ``string``, ``array`` or ``object``."""
-    return kind_of_tag(F.schema_of_variant(value))
-
-
 def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
@@ -82,19 +86,22 @@ class JsonField(NamedTuple):
 
 
 def with_fields(df: DataFrame, doc: str, fields: Sequence[str], name: str) -> DataFrame:
-    """Add struct ``name``: kind, text and number of each field of the document column ``doc``."""
-    tags = F.struct(*[F.schema_of_variant(F.col(doc)[f]).alias(f) for f in fields])
-    tagged = computed_once(df, "__tags", tags)
-
-    def field(f: str) -> Column:
-        value, kind = F.col(doc)[f], kind_of_tag(F.col("__tags")[f])
-        return F.struct(
-            kind.alias("kind"),
-            F.when(kind.isin("object", "array"), F.to_json(value)).otherwise(as_text(value)).alias("text"),
-            F.when(kind == "number", as_number(value)).alias("number"),
-        ).alias(f)
-
-    return computed_once(tagged, name, F.struct(*[field(f) for f in fields])).drop("__tags")
+    """Add struct ``name``: kind, text and number of each field of the document column ``doc``.
+
+    In steps, so that each later one reads a finished column: type tags, kinds, then the values by kind.
+    """
+    tags = ", ".join(f"schema_of_variant({doc}.{f}) AS {f}" for f in fields)
+    kinds = ", ".join(f"{_kind_sql(f'__tags.{f}')} AS {f}" for f in fields)
+    values = ", ".join(
+        f"""struct(__kinds.{f} AS kind,
+            CASE WHEN __kinds.{f} IN ('object', 'array') THEN to_json({doc}.{f})
+                 ELSE try_variant_get({doc}.{f}, '$', 'string') END AS text,
+            CASE WHEN __kinds.{f} = 'number' THEN try_variant_get({doc}.{f}, '$', 'double') END AS number) AS {f}"""
+        for f in fields
+    )
+    tagged = computed_once(df, "__tags", F.expr(f"struct({tags})"))
+    with_kinds = computed_once(tagged, "__kinds", F.expr(f"struct({kinds})"))
+    return computed_once(with_kinds, name, F.expr(f"struct({values})")).drop("__tags", "__kinds")
 
 
 def read_field(values: Column, name: str) -> JsonField:

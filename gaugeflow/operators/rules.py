@@ -125,57 +125,46 @@ def is_metadata(value: Column) -> Column:
 # --- collect every violation -------------------------------------------------------------------------------
 
 
-def _issue(field: str | Column, message: str | Column) -> Column:
-    return F.struct(
-        (F.lit(field) if isinstance(field, str) else field).alias("field"),
-        (F.lit(message) if isinstance(message, str) else message).alias("message"),
-    )
+def _issue(field: str, message: str | Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
 def _expected(kind: str, received: Column) -> Column:
     return F.concat(F.lit(f"Invalid input: expected {kind}, received "), received)
 
 
-def _when(condition: Column, field: str | Column, message: str | Column) -> Column:
-    """One issue, or none."""
-    return F.when(condition, F.array(_issue(field, message))).otherwise(F.array().cast(ISSUES))
-
-
 def _field_issues(values: Column, now_ms: Column) -> Column:
     device, event_type, value, stamp, metadata = (read_field(values, name) for name in BODY_FIELDS)
     low, high = TYPE_LENGTH
     is_text, length = event_type.kind == "string", utf16_length(event_type.text)
-    whole = is_integer(stamp)
+    value_is_number, stamp_is_number, whole = value.kind == "number", stamp.kind == "number", is_integer(stamp)
+    none = F.expr("CAST(array() AS array<struct<field: string, message: string>>)")
+
+    def when(condition: Column, field: str, message: str | Column) -> Column:
+        return F.when(condition, F.array(_issue(field, message))).otherwise(none)
+
     return F.concat(
-        _when(device.kind != "string", "deviceId", _expected("string", device.kind)),
-        _when((device.kind == "string") & ~is_device_id(device), "deviceId", DEVICE_ID_MESSAGE),
-        _when(~is_text, "eventType", _expected("string", event_type.kind)),
-        _when(is_text & (length < low), "eventType", f"Too small: expected string to have >={low} characters"),
-        _when(is_text & (length > high), "eventType", f"Too big: expected string to have <={high} characters"),
-        _when(value.kind != "number", "value", _expected("number", value.kind)),
-        _when(
-            (value.kind == "number") & ~is_value(value),
-            "value",
-            "Invalid input: expected number, received Infinity",
-        ),
-        _when(stamp.kind != "number", "timestamp", _expected("number", stamp.kind)),
-        _when(
-            (stamp.kind == "number") & ~whole, "timestamp", "Invalid input: expected int, received number"
-        ),
+        when(device.kind != "string", "deviceId", _expected("string", device.kind)),
+        when((device.kind == "string") & ~is_device_id(device), "deviceId", DEVICE_ID_MESSAGE),
+        when(~is_text, "eventType", _expected("string", event_type.kind)),
+        when(is_text & (length < low), "eventType", f"Too small: expected string to have >={low} characters"),
+        when(is_text & (length > high), "eventType", f"Too big: expected string to have <={high} characters"),
+        when(~value_is_number, "value", _expected("number", value.kind)),
+        when(value_is_number & ~is_value(value), "value", "Invalid input: expected number, received Infinity"),
+        when(~stamp_is_number, "timestamp", _expected("number", stamp.kind)),
+        when(stamp_is_number & ~whole, "timestamp", "Invalid input: expected int, received number"),
         # The next two are both reported, but only for whole numbers.
-        _when(whole & (stamp.number <= 0), "timestamp", "Too small: expected number to be >0"),
-        _when(whole & ~is_within_drift(stamp, now_ms), "timestamp", DRIFT_MESSAGE),
-        _when(
-            ~metadata.kind.isin("undefined", "object"), "metadata", _expected("record", metadata.kind)
-        ),
+        when(whole & (stamp.number <= 0), "timestamp", "Too small: expected number to be >0"),
+        when(whole & ~is_within_drift(stamp, now_ms), "timestamp", DRIFT_MESSAGE),
+        when(~metadata.kind.isin("undefined", "object"), "metadata", _expected("record", metadata.kind)),
     )
 
 
 def _metadata_issues(value: Column) -> Column:
-    issues = F.transform(
-        bad_metadata_keys(value), lambda key: _issue(F.concat(F.lit("metadata."), key), "Invalid input")
-    )
-    return F.coalesce(issues, F.array().cast(ISSUES))
+    def issue(key: Column) -> Column:
+        return F.struct(F.concat(F.lit("metadata."), key).alias("field"), F.lit("Invalid input").alias("message"))
+
+    return F.coalesce(F.transform(bad_metadata_keys(value), issue), F.array().cast(ISSUES))
 
 
 def validate(df: DataFrame, now_col: str = "received_at_ms", body_col: str = "body") -> DataFrame:

@@ -52,45 +52,37 @@ def raw_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
     )
 
 
-def _json_message(device: Column, kind: Column, value: Column, stamp: Column, event_id: Column | None) -> Column:
-    fields = [
-        device.alias("deviceId"),
-        kind.alias("eventType"),
-        value.alias("value"),
-        stamp.alias("timestamp"),
-        F.try_parse_json("props").alias("metadata"),
-    ]
-    return F.to_json(F.struct(*([event_id.alias("id")] if event_id is not None else []), *fields))
-
-
-def _device() -> Column:
-    device = _uuid("8001", F.col("user_id"))
-    return F.when(_e() % 43 == 0, F.concat(F.substring(device, 1, 33), F.lit("xyz"))).otherwise(device)
-
-
-def _value_variant(value: Column) -> Column:
-    """The value as a JSON number, or as JSON text for some events."""
-    return F.when(_e() % 41 == 0, F.to_variant_object(F.array(value.cast("string")))).otherwise(
-        F.to_variant_object(F.array(value))
-    )
+_MS = "unix_millis(CAST(ts AS TIMESTAMP))"
+_DEVICE = "concat('00000000-0000-4000-8001-', lpad(CAST(user_id AS STRING), 12, '0'))"
+_ID = "concat('00000000-0000-4000-8000-', lpad(CAST(event_id AS STRING), 12, '0'))"
+
+
+def _json(first: str, kind: str, value: str) -> str:
+    """JSON text of an event; some values are text and some device ids are not UUIDs."""
+    return f"""to_json(struct({first}
+        CASE WHEN event_id % 43 = 0 THEN concat(substring({_DEVICE}, 1, 33), 'xyz') ELSE {_DEVICE} END AS deviceId,
+        {kind} AS eventType,
+        CASE WHEN event_id % 41 = 0 THEN to_variant_object(array(CAST({value} AS STRING)))
+             ELSE to_variant_object(array({value})) END:[0] AS value,
+        {_MS} AS timestamp,
+        try_parse_json(props) AS metadata))"""
 
 
 def topic_messages(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """TOPIC rows: one message per event, some bad, and later redeliveries with another value."""
-    copies = F.when(_e() % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    sent = spread(source_events(spark, sf_dir, streaming)).withColumn("copy", F.explode(copies))
-    value = F.variant_get(_value_variant(F.col("value") + F.col("copy")), "$[0]", "variant")
-    kind = F.when(_e() % 37 == 0, F.repeat(F.lit("x"), 51)).otherwise(F.col("event_type"))
-    text = F.when(_e() % 47 == 0, F.lit("not json")).otherwise(
-        _json_message(_device(), kind, value, _milliseconds(), _uuid("8000", _e()))
+    sent = spread(source_events(spark, sf_dir, streaming)).selectExpr(
+        "*", "explode(IF(event_id % 11 = 0, array(0, 1), array(0))) AS copy"
     )
-    return sent.select(
-        _uuid("8001", F.col("user_id")).alias("key"),
-        text.alias("value"),
-        F.lit("metrics.raw").alias("topic"),
-        F.pmod("user_id", F.lit(8)).cast("int").alias("partition"),
-        (_e() + F.col("copy") * RETRIES["in flight"]).alias("offset"),
-        F.timestamp_millis(_milliseconds() + F.col("copy")).alias("timestamp"),
+    message = _json(
+        f"{_ID} AS id,", "CASE WHEN event_id % 37 = 0 THEN repeat('x', 51) ELSE event_type END", "value + copy"
+    )
+    return sent.selectExpr(
+        f"{_DEVICE} AS key",
+        f"CASE WHEN event_id % 47 = 0 THEN 'not json' ELSE {message} END AS value",
+        "'metrics.raw' AS topic",
+        "CAST(user_id % 8 AS INT) AS partition",
+        f"event_id + copy * {RETRIES['in flight']} AS offset",
+        f"timestamp_millis({_MS} + copy) AS timestamp",
     )
 
 
@@ -118,40 +110,29 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """REQUEST_LOG rows: one request per event and its retries."""
-    e = _e()
-    drift = (
-        F.when(e % 23 == 0, 300_001).when(e % 23 == 1, 300_000).when(e % 23 == 2, -300_000)
-        .when(e % 23 == 3, -300_001).otherwise(1_000)
-    )
-    duration = 1 + (e * 7919) % 6000
-    none = F.lit(None).cast("struct<shift: bigint, delay: bigint>")
-
-    def send(shift: int, delay: Column) -> Column:
-        return F.struct(F.lit(shift).cast("long").alias("shift"), delay.cast("long").alias("delay"))
-
-    sends = F.array(
-        send(0, F.lit(0)),
-        F.when((e % 17 == 0) & (duration >= 2), send(RETRIES["in flight"], F.floor(duration / 2))).otherwise(none),
-        F.when(e % 13 == 0, send(RETRIES["after finish"], duration + 5_000)).otherwise(none),
-        F.when(e % 19 == 0, send(RETRIES["at expiry"], duration + 86_400_000)).otherwise(none),
-    )
-    sent = spread(source_events(spark, sf_dir, streaming)).withColumn("send", F.explode(F.array_compact(sends)))
-    value = F.variant_get(_value_variant(F.col("value")), "$[0]", "variant")
-    kind = F.when(e % 37 == 0, F.lit("x")).otherwise(F.col("event_type"))
-    body = F.when(e % 47 == 0, F.lit('{"deviceId":')).otherwise(
-        _json_message(_device(), kind, value, _milliseconds(), None)
-    )
-    return sent.select(
-        (e + F.col("send.shift")).alias("request_id"),
-        (_milliseconds() + drift + F.col("send.delay")).alias("received_at_ms"),
-        F.when(e % 31 != 0, F.concat(F.lit("key_"), (F.col("user_id") % 10).cast("string"))).alias("api_key"),
-        F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("client_ip"),
-        F.when(e % 29 == 0, F.lit(None)).when(e % 29 == 1, F.lit("not-a-uuid")).otherwise(_uuid("8000", e)).alias(
-            "idempotency_key"
-        ),
-        F.lit("POST").alias("method"),
-        F.when(e % 53 == 0, "/metrics").when(e % 53 == 1, "/health").otherwise("/v1/events").alias("route"),
-        body.alias("body"),
-        duration.alias("duration_ms"),
-        F.when(e % 59 == 0, 500).otherwise(202).cast("int").alias("handler_status"),
+    sends = f"""explode(array_compact(array(
+        struct(0L AS shift, 0L AS delay),
+        IF(event_id % 17 = 0 AND duration_ms >= 2,
+           struct({RETRIES['in flight']}L AS shift, duration_ms div 2 AS delay), NULL),
+        IF(event_id % 13 = 0, struct({RETRIES['after finish']}L AS shift, duration_ms + 5000 AS delay), NULL),
+        IF(event_id % 19 = 0, struct({RETRIES['at expiry']}L AS shift, duration_ms + 86400000 AS delay), NULL)
+    ))) AS send"""
+    body = _json("", "CASE WHEN event_id % 37 = 0 THEN 'x' ELSE event_type END", "value")
+    return (
+        spread(source_events(spark, sf_dir, streaming))
+        .selectExpr("*", "1 + (event_id * 7919) % 6000 AS duration_ms")
+        .selectExpr("*", sends)
+        .selectExpr(
+            "event_id + send.shift AS request_id",
+            f"""{_MS} + send.delay + CASE event_id % 23 WHEN 0 THEN 300001 WHEN 1 THEN 300000
+                WHEN 2 THEN -300000 WHEN 3 THEN -300001 ELSE 1000 END AS received_at_ms""",
+            "CASE WHEN event_id % 31 <> 0 THEN concat('key_', CAST(user_id % 10 AS STRING)) END AS api_key",
+            "concat('10.0.0.', CAST(user_id % 250 AS STRING)) AS client_ip",
+            f"CASE event_id % 29 WHEN 0 THEN NULL WHEN 1 THEN 'not-a-uuid' ELSE {_ID} END AS idempotency_key",
+            "'POST' AS method",
+            "CASE event_id % 53 WHEN 0 THEN '/metrics' WHEN 1 THEN '/health' ELSE '/v1/events' END AS route",
+            f"CASE WHEN event_id % 47 = 0 THEN '{{\"deviceId\":' ELSE {body} END AS body",
+            "duration_ms",
+            "CASE WHEN event_id % 59 = 0 THEN 500 ELSE 202 END AS handler_status",
+        )
     )
