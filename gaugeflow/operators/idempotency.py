@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ from gaugeflow.operators.ordered import SEGMENT, large_groups, range_segments
 
 EXECUTE, CONFLICT, REPLAY = "EXECUTE", "CONFLICT", "REPLAY"
 MAX_KEY_ROWS = 4_096
-SEGMENT_ROWS = 1_000_000
+SEGMENT_ROWS = 2_000_000
 
 RUN = T.StructType(
     [
@@ -197,6 +197,16 @@ def _segment_outcomes(lock_ms: int, ttl_ms: int):
     return outcomes
 
 
+def decide_one(run: dict | None, at_ms: int, lock_ms: int, ttl_ms: int) -> str:
+    """``decide`` for a single request, outside a plan."""
+    if run is None:
+        return EXECUTE
+    end, status = run["end"], run["status"]
+    if end is None or at_ms < end:
+        return CONFLICT if at_ms - run["start"] < lock_ms else EXECUTE
+    return REPLAY if status is not None and 200 <= status <= 499 and at_ms - end < ttl_ms else EXECUTE
+
+
 def _blocks_all(run: dict, first_ms: int, last_ms: int, lock_ms: int, ttl_ms: int) -> bool:
     """True when no request between the two times can execute after ``run``."""
     end = run["end"]
@@ -207,34 +217,40 @@ def _blocks_all(run: dict, first_ms: int, last_ms: int, lock_ms: int, ttl_ms: in
     return cached and last_ms < end + ttl_ms and (end <= lock_end or first_ms >= end)
 
 
+def _run_at_exit(row: Row | None) -> dict | None:
+    return None if row is None else {f.name: row[f"exit_{f.name}"] for f in RUN}
+
+
 def _entry_runs(exits: DataFrame, lock_ms: int, ttl_ms: int) -> Iterator[dict]:
     """The latest run at the beginning of each segment of a key, walking a key's segments in order.
 
-    The driver holds one row per segment, never requests. A segment that the latest run blocks as a whole is
-    passed over; else its first request that can execute is looked up, which names the run it ends with.
+    The driver holds one row per segment, never requests. Most borders need no look at the data: a segment
+    that the latest run blocks as a whole is passed over, and if its first request can execute, its row names
+    the run it ends with. Else the first request that can execute is looked up in that one segment.
     """
-    spans = (
-        exits.groupBy("__key", SEGMENT)
-        .agg(F.min("start").alias("first_ms"), F.max("start").alias("last_ms"))
-        .orderBy("__key", SEGMENT)
+    ending, order = F.struct(*[f"exit_{f.name}" for f in RUN]), F.struct("start", "request_id")
+    spans = exits.groupBy("__key", SEGMENT).agg(
+        F.min("start").alias("first_ms"), F.max("start").alias("last_ms"), F.min_by(ending, order).alias("first_exit")
     )
     key, run = None, None
-    for span in spans.toLocalIterator():
+    for span in sorted(spans.collect(), key=lambda row: (row["__key"], row[SEGMENT])):
         if span["__key"] != key:
             key, run = span["__key"], None
         if run is not None:
             yield {"__key": key, SEGMENT: span[SEGMENT], **{f"entry_{k}": v for k, v in run.items()}}
             if _blocks_all(run, span["first_ms"], span["last_ms"], lock_ms, ttl_ms):
                 continue
-        latest = F.struct(*[F.lit(run[f.name] if run else None).cast(f.dataType).alias(f.name) for f in RUN])
+        if decide_one(run, span["first_ms"], lock_ms, ttl_ms) == EXECUTE:
+            run = _run_at_exit(span["first_exit"])
+            continue
+        latest = F.struct(*[F.lit(run[f.name]).cast(f.dataType).alias(f.name) for f in RUN])
         found = (
             exits.where((F.col(SEGMENT) == span[SEGMENT]) & (F.col("__key") == key))
             .where(decide(latest, F.col("start"), lock_ms, ttl_ms) == EXECUTE)
-            .agg(F.min_by(F.struct(*[f"exit_{f.name}" for f in RUN]), F.struct("start", "request_id")).alias("x"))
-            .first()["x"]
+            .agg(F.min_by(ending, order).alias("found"))
+            .first()["found"]
         )
-        if found is not None:
-            run = {f.name: found[f"exit_{f.name}"] for f in RUN}
+        run = _run_at_exit(found) or run
 
 
 def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_ms: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A window over a group runs in one task. Groups up to ``max_group_rows`` go that way. A larger group is cut
 into consecutive segments by a range shuffle on (group, order); each segment keeps its own running totals, and
-the totals of the segments before it are added. Only one row per segment is needed for that.
+the totals of the segments before it are added. Only one row per segment is needed for that. A segment holds
+about as many rows as a group may have: few enough to sort in a task, many enough to keep the segments few.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.materialize import written_table
 
-MAX_GROUP_ROWS = 1_000_000
+MAX_GROUP_ROWS = 8_000_000
 SEGMENT = "__segment"
 _TIE = "__tie"
 

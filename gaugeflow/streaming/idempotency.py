@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeflow.constants import LOCK_SECONDS, RESPONSE_TTL_SECONDS
-from gaugeflow.operators.idempotency import CONFLICT, EXECUTE, REPLAY, RUN
+from gaugeflow.operators.idempotency import EXECUTE, REPLAY, RUN, decide_one
 
 OUTCOME = T.StructType(
     [
@@ -24,15 +24,6 @@ OUTCOME = T.StructType(
 )
 
 
-def _decide(run: tuple | None, at_ms: int, lock_ms: int, ttl_ms: int) -> str:
-    if run is None:
-        return EXECUTE
-    _, start, end, status, _ = run
-    if end is None or at_ms < end:
-        return CONFLICT if at_ms - start < lock_ms else EXECUTE
-    return REPLAY if status is not None and 200 <= status <= 499 and at_ms - end < ttl_ms else EXECUTE
-
-
 def _whole(value: float | None) -> int | None:
     return None if value is None or value != value else int(value)
 
@@ -47,17 +38,23 @@ def _on_requests(lock_ms: int, ttl_ms: int):
         # Plain lists: most keys have one request, where pandas operations would cost more than the decision.
         requests = [row for pdf in batches for row in zip(*(pdf[name].tolist() for name in names), strict=True)]
         requests.sort(key=lambda row: row[:2])
-        run = state.get if state.exists else None
+        run = dict(zip(RUN.fieldNames(), state.get, strict=True)) if state.exists else None
         rows = []
         for start, request_id, end, status, response in requests:
-            outcome = _decide(run, start, lock_ms, ttl_ms)
+            outcome = decide_one(run, start, lock_ms, ttl_ms)
             if outcome == EXECUTE:
-                run = (request_id, start, _whole(end), _whole(status), response)
-            replay = outcome == REPLAY
-            rows.append((request_id, outcome, run[0], run[3] if replay else None, run[4] if replay else None))
-        state.update(run)
+                run = {
+                    "request_id": request_id,
+                    "start": start,
+                    "end": _whole(end),
+                    "status": _whole(status),
+                    "response": response,
+                }
+            replayed = (run["status"], run["response"]) if outcome == REPLAY else (None, None)
+            rows.append((request_id, outcome, run["request_id"], *replayed))
+        state.update(tuple(run.values()))
         # The run can matter until its response or its lock has expired.
-        until = max(run[1] + lock_ms, (run[2] or 0) + ttl_ms)
+        until = max(run["start"] + lock_ms, (run["end"] or 0) + ttl_ms)
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=OUTCOME.fieldNames(), dtype=object)
 
