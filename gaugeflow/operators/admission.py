@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from gaugeflow.operators.rate import rate_usage
 from gaugeflow.schemas import DISPOSITION, ISSUES
 
 ACCEPTED = 202
+# What the idempotency step reads of a request.
+STATE_COLUMNS = ("request_id", "received_at_ms", "idempotency_key", "duration_ms")
 
 
 def _refusal(status: int, reason: str) -> Column:
@@ -60,6 +64,7 @@ def admit(
     clients: DataFrame,
     *,
     rate_limit: tuple[int, int] | None = None,
+    carry: Sequence[str] | None = None,
     max_key_rows: int = MAX_KEY_ROWS,
     segment_rows: int = SEGMENT_ROWS,
     max_group_rows: int = MAX_GROUP_ROWS,
@@ -70,10 +75,12 @@ def admit(
     key, earlier runs of the key, validation. Idempotency comes before validation and keeps 4xx answers too,
     so a corrected body under the same key gets the old 400 again.
 
-    One shuffle on the idempotency key; the clients are broadcast while small.
+    One shuffle on the idempotency key; the clients are broadcast while small. ``carry`` names the request
+    columns to keep, all by default: without the body, a count of answers shuffles a fraction of the bytes.
     """
     body, key = F.col("body"), F.col("idempotency_key")
-    columns = list(requests.columns)
+    columns = list(requests.columns if carry is None else carry)
+    state_columns = [c for c in STATE_COLUMNS if c not in columns]
     checked = rules.validate(attach_client(requests, clients)).withColumn(
         "refusal", _before_limit(body, F.col("body_kind"), F.col("api_key"))
     )
@@ -81,6 +88,7 @@ def admit(
         checked = _limit(checked, *rate_limit, max_group_rows)
     gated = checked.withColumn("refusal", F.coalesce("refusal", _after_limit(key))).select(
         *columns,
+        *state_columns,
         "client_id",
         "client_name",
         "refusal",

@@ -98,8 +98,14 @@ def _fold_small_keys(df: DataFrame, lock_ms: int, ttl_ms: int) -> DataFrame:
             F.concat(acc["done"], F.array(done)).alias("done"),
         )
 
+    def alone(r: Column) -> Column:
+        outcome = F.when(r["__eligible"], EXECUTE)
+        return F.struct(*[r[c].alias(c) for c in columns], *_outcome_columns(r, outcome, F.lit(None).cast(RUN)))
+
     folded = F.aggregate("rows", start, step, lambda acc: acc["done"])
-    return grouped.select(F.inline(folded))
+    # Most keys have one request, which executes.
+    single = F.transform("rows", alone).cast(done_type)
+    return grouped.select(F.inline(F.when(F.size("rows") == 1, single).otherwise(folded)))
 
 
 # --- keys with very many requests --------------------------------------------------------------------------

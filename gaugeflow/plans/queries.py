@@ -53,8 +53,8 @@ def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.request_log(spark, sf_dir).where(F.col("route") == "/v1/events")
 
 
-def _dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adm.admit(_event_requests(spark, sf_dir), inputs.clients(spark, sf_dir))
+def _dispositions(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
+    return adm.admit(_event_requests(spark, sf_dir), inputs.clients(spark, sf_dir), carry=carry)
 
 
 def _log_with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.array_join(F.transform("errors", lambda issue: issue["field"]), ",")
-    return _dispositions(spark, sf_dir).select(
+    return _dispositions(spark, sf_dir, "request_id").select(
         "request_id",
         "client_id",
         "client_name",
@@ -121,20 +121,20 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disposition_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adm.disposition_tally(_dispositions(spark, sf_dir))
+    return adm.disposition_tally(_dispositions(spark, sf_dir, "request_id"))
 
 
 def publish_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = adm.publish_payload(_dispositions(spark, sf_dir))
+    payload = adm.publish_payload(_dispositions(spark, sf_dir, "idempotency_key", "body"))
     return payload.withColumn("metadata", F.to_json("metadata"))
 
 
 def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adm.to_topic_records(adm.publish_payload(_dispositions(spark, sf_dir)))
+    return adm.to_topic_records(adm.publish_payload(_dispositions(spark, sf_dir, "idempotency_key", "body")))
 
 
 def ack_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adm.ack_records(adm.publish_payload(_dispositions(spark, sf_dir)))
+    return adm.ack_records(adm.publish_payload(_dispositions(spark, sf_dir, "idempotency_key", "body")))
 
 
 def idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:

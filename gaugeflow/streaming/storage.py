@@ -94,3 +94,9 @@ def run_storage(
         lambda batch, batch_id: store_checked(batch, batch_id, path, dlq_path, horizon)
     )
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def batch_durations(query: StreamingQuery, spark: SparkSession) -> DataFrame:
+    """Write times of the query's recent batches (Spark keeps a bounded number), for the duration histogram."""
+    done = [(p.batchId, int(p.durationMs["addBatch"])) for p in query.recentProgress if "addBatch" in p.durationMs]
+    return spark.createDataFrame(done, "batch_id long, duration_ms long")

@@ -6,6 +6,8 @@ import pytest
 from gaugeflow.operators import admission as adm
 from gaugeflow.operators.clients import attach_client, upsert_clients_if_absent
 from gaugeflow.schemas import CLIENT, DISPOSITION, REQUEST_LOG
+from gaugeflow.sources.readers import read_clients
+from gaugeflow.sources.writers import write_dispositions
 from pyspark.sql import functions as F
 from telemetry import D, MINUTE, T, U, body, clients, request
 
@@ -107,6 +109,34 @@ def test_publish(spark):
     assert {tuple(r) for r in adm.ack_records(payload).collect()} == {(U(1), D(1), T), (U(2), D(1), T)}
 
 
+def test_carried_columns_and_the_written_log(spark, tmp_path):
+    rows = [request(1), request(2, idempotency_key=U(1), received_at_ms=T + 1_000), request(3, body=body(value="x"))]
+    full = admit(spark, rows)
+    narrow = admit(spark, rows, carry=["request_id"])
+    assert narrow.columns == ["request_id", *DISPOSITION.fieldNames()[10:]]
+    assert answers(narrow) == answers(full)
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    exchange = plan[plan.index("collect_list"):].split("\n")[0]
+    assert "body" not in exchange
+    path = str(tmp_path / "dispositions")
+    for _ in range(2):
+        write_dispositions(full, path)
+    assert spark.read.schema(DISPOSITION).parquet(path).count() == 6
+
+
+def test_clients_beyond_the_broadcast_limit(spark):
+    log = spark.createDataFrame([request(i, api_key=k) for i, k in enumerate(["good"] * 6 + ["old", "nobody", None])], REQUEST_LOG)
+    expected = sorted((r.request_id, r.client_id or "") for r in attach_client(log, clients(spark)).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach_client(log, clients(spark))
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.request_id, r.client_id or "") for r in joined.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_client_lookup_never_multiplies(spark):
     double = clients(spark).unionByName(spark.createDataFrame([("c9", "good", "Copy", False, None)], CLIENT))
     log = spark.createDataFrame([request(1), request(2, api_key="nobody"), request(3, api_key=None)], REQUEST_LOG)
@@ -114,6 +144,12 @@ def test_client_lookup_never_multiplies(spark):
     assert rows == {1: "c1", 2: None, 3: None}
 
 
+def test_read_clients(spark, tmp_path):
+    path = str(tmp_path / "clients")
+    clients(spark).write.parquet(path)
+    assert read_clients(spark, path).where("active").count() == 1
+
+
 def test_clients_insert_if_absent(spark):
     new = spark.createDataFrame(
         [("n1", "good", "Again", True, None), ("n2", "fresh", "A", True, None), ("n3", "fresh", "B", True, None)], CLIENT

@@ -1,8 +1,10 @@
 """Boundary tests of the gateway rules, each body otherwise valid."""
 
+from gaugeflow.functions.jsontypes import JsonField
+from gaugeflow.operators import rules as R
 from gaugeflow.operators.rules import validate, validation_errors
 from pyspark.sql import functions as F
-from telemetry import T, body
+from telemetry import D, T, body
 
 DRIFT = "Timestamp must be within 5 minutes of server time (clock drift check)"
 UUID = "deviceId must be a valid UUID v4"
@@ -96,3 +98,25 @@ def test_json_is_parsed_once(spark):
     df = spark.createDataFrame([(1, T, body())], "request_id long, received_at_ms long, body string")
     plan = validate(df).where(F.size("errors") > 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_predicates_are_never_null(spark):
+    texts = [None, "null", "{}", "[]", '"x"', f'"{D(1)}"', '"ab"', "1", "1.5", "-1", "1e400", "9007199254740993", f"{T}"]
+    values = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.try_parse_json("t").alias("v"))
+    field = JsonField.of(F.col("v"))
+    rules = {
+        "device": (R.is_device_id(field), {f'"{D(1)}"'}),
+        "type": (R.is_event_type(field), {f'"{D(1)}"', '"ab"'}),
+        "value": (R.is_value(field), {"1", "1.5", "-1", "9007199254740993", f"{T}"}),
+        "integer": (R.is_integer(field), {"1", "-1", f"{T}"}),
+        "timestamp": (R.is_timestamp(field), {"1", f"{T}"}),
+        "drift": (R.is_within_drift(field, F.lit(T)), {f"{T}"}),
+        "metadata": (R.is_metadata(F.col("v")), {None, "{}"}),
+        "header": (R.is_present(F.col("t")), set(texts) - {None}),
+        "small": (R.is_body_small_enough(F.col("t"), 4), {None, "null", "{}", "[]", '"x"', '"ab"', "1", "1.5", "-1"}),
+        "route": (R.is_measured_route(F.col("t")), set(texts)),
+    }
+    out = values.select("t", *[rule.alias(name) for name, (rule, _) in rules.items()]).collect()
+    for name, (_, accepted) in rules.items():
+        assert {r[name] for r in out} <= {True, False}
+        assert {r.t for r in out if r[name]} == accepted, name

@@ -8,13 +8,14 @@ import pytest
 from gaugeflow.operators.admission import publish_payload, to_topic_records
 from gaugeflow.operators.idempotency import idempotency_outcomes
 from gaugeflow.operators.parse import parse_events
+from gaugeflow.operators.request_metrics import batch_duration_histogram
 from gaugeflow.operators.window_stats import window_stats
 from gaugeflow.sources.readers import read_events, read_raw_stream, read_requests
 from gaugeflow.sources.writers import start_stream, write_topic, write_topic_stream
 from gaugeflow.streaming.aggregate import live_feed, start_live_totals, stream_window_stats, write_window_stats
 from gaugeflow.streaming.dedup import dedup_stream
 from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
-from gaugeflow.streaming.storage import run_storage
+from gaugeflow.streaming.storage import batch_durations, run_storage
 from gaugeflow.schemas import REQUEST_LOG, WINDOW_STATS
 from pyspark.sql import functions as F
 from telemetry import MINUTE, T, U, message, request
@@ -120,6 +121,8 @@ def test_storage_stream(spark, tmp_path):
         raw = read_raw_stream(spark, "json", str(source), maxFilesPerTrigger="1")
         query = run_storage(raw, path, dlq, str(tmp_path / "cp"), trigger=ONCE)
         query.awaitTermination()
+        times = {r.le: r.bucket_count for r in batch_duration_histogram(batch_durations(query, spark)).collect()}
+        assert times["+Inf"] == len(query.recentProgress)
         return [(p.observedMetrics["storage"].processed, p.observedMetrics["storage"].failed)
                 for p in query.recentProgress if p.numInputRows]
 
