@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gaugeflow.constants import LOCK_SECONDS, RESPONSE_TTL_SECONDS
 from gaugeflow.materialize import written_table
-from gaugeflow.operators.ordered import SEGMENT, large_groups, range_segments
+from gaugeflow.operators.ordered import SEGMENT, LargeGroups, large_groups, range_segments
 
 EXECUTE, CONFLICT, REPLAY = "EXECUTE", "CONFLICT", "REPLAY"
 MAX_KEY_ROWS = 4_096
@@ -313,7 +313,7 @@ def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_m
 # --- entry -------------------------------------------------------------------------------------------------
 
 
-def large_keys(requests: DataFrame, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+def large_keys(requests: DataFrame, max_key_rows: int = MAX_KEY_ROWS) -> LargeGroups:
     """Keys with more than ``max_key_rows`` requests; reads the key column only.
 
     Pass only requests whose key can count: a text such as "undefined", sent by many, is no key to fold.
@@ -330,7 +330,7 @@ def idempotency_outcomes(
     status_col: str = "handler_status",
     response_col: str | None = None,
     eligible: Column | None = None,
-    large: DataFrame | None = None,
+    large: LargeGroups | None = None,
     max_key_rows: int = MAX_KEY_ROWS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
@@ -358,13 +358,11 @@ def idempotency_outcomes(
     )
     if large is None:
         large = large_keys(requests.where(allowed), max_key_rows)
-    rows = large.agg(F.sum("__rows")).first()[0]
-    if rows is None:
+    if not large.rows:
         return _fold_small_keys(prepared, lock_ms, ttl_ms)
-    keys = large.select("__key")
-    small = prepared.join(keys, "__key", "left_anti")
-    big = prepared.join(keys, "__key", "left_semi")
-    outcomes = _large_keys(big, rows, segment_rows, lock_ms, ttl_ms)
+    small = prepared.join(large.keys, "__key", "left_anti")
+    big = prepared.join(large.keys, "__key", "left_semi")
+    outcomes = _large_keys(big, large.rows, segment_rows, lock_ms, ttl_ms)
     columns = [c for c in prepared.columns if not c.startswith("__")]
     joined = big.select(*columns).join(outcomes, "request_id", "left").select(*columns, *RESULT_COLUMNS)
     return _fold_small_keys(small, lock_ms, ttl_ms).unionByName(joined)

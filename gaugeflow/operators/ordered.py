@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.materialize import written_table
@@ -21,8 +22,15 @@ SEGMENT = "__segment"
 _TIE = "__tie"
 
 
-def large_groups(df: DataFrame, by: Sequence[str], max_rows: int) -> DataFrame:
-    """Groups above about ``max_rows`` as a small written table ``(by..., __rows)``; reads the group columns only.
+class LargeGroups(NamedTuple):
+    """Groups too large for one task: a small written table of their keys, and their rows in total (0 if none)."""
+
+    keys: DataFrame
+    rows: int
+
+
+def large_groups(df: DataFrame, by: Sequence[str], max_rows: int) -> LargeGroups:
+    """Groups above about ``max_rows``; reads the group columns only.
 
     With a high bound one row in 64 is counted, so that finding the large groups does not shuffle every key.
     The count only chooses the way a group is computed, never its result. A group is found from half its
@@ -35,7 +43,9 @@ def large_groups(df: DataFrame, by: Sequence[str], max_rows: int) -> DataFrame:
     counts = (
         counted.groupBy(*by).agg((F.count(F.lit(1)) * step).alias("__rows")).where(F.col("__rows") > least * step)
     )
-    return written_table(counts, "large-groups")
+    total = Observation()
+    keys = written_table(counts.observe(total, F.sum("__rows").alias("rows")).drop("__rows"), "large-groups")
+    return LargeGroups(keys, total.get["rows"] or 0)
 
 
 def same_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
@@ -109,12 +119,11 @@ def running_totals(
     ``order`` must decide between rows that differ. Integer and decimal sums are exact and repeatable.
     """
     big = large_groups(df, by, max_group_rows)
-    rows = big.agg(F.sum("__rows")).first()[0]
-    if rows is None:
+    if not big.rows:
         return _running_small(df, by, order, totals)
-    small_part = df.join(big, same_group(df, big, by), "left_anti")
-    big_part = df.join(big, same_group(df, big, by), "left_semi")
-    segments = max(2, math.ceil(rows / max_group_rows))
+    small_part = df.join(big.keys, same_group(df, big.keys, by), "left_anti")
+    big_part = df.join(big.keys, same_group(df, big.keys, by), "left_semi")
+    segments = max(2, math.ceil(big.rows / max_group_rows))
     return _running_small(small_part, by, order, totals).unionByName(
         _running_segmented(big_part, by, order, totals, segments)
     )
