@@ -1,0 +1,268 @@
+"""Personal data, secrets, benchmark leaks and chat formatting against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from gaugeflow.llm import decontaminate as leaks
+from gaugeflow.llm import pii, secrets
+from gaugeflow.llm.chat import rotate_perspectives
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS).withColumnRenamed("lang", "row").withColumnRenamed("source", "base")
+
+
+def valid(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        doubled = [int(d) for d in digits[-1::-1]]
+        total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(doubled))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def slow_spans(text):
+    found = [(m.start(), list(PATTERNS).index(k), k, m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m[0])]
+    return [(lo, hi, kind) for lo, _, kind, hi in sorted(found)]
+
+
+def test_base_spans_on_random_texts():
+    rng = random.Random(8)
+    pieces = ["a", "b.c", "@", ".", "x@y.zz", "1", "255", "256", "4111 1111 1111 1111", "+", "+1 (415) 555-0132", "-", " ", "é", "@@", "0.0.0.0", "1.2.3.4.5", "5500005555555559", "_", "\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        assert pii.base_spans(text) == slow_spans(text), text
+
+
+@pytest.mark.parametrize("text", ["a" * 400_000, "1" * 400_000, "+1" + "(" * 400_000, "a@" * 200_000, "1." * 200_000, "x@y" + ".z" * 100_000])
+def test_base_spans_on_long_texts(text):
+    assert len(pii.base_spans(text)) <= 100_000
+
+
+def person(n):
+    return f"Wrote Zanziba{'rst'[n % 3]}okin about it , mail {'abc'[n % 3]}.known@host{n % 3}.example.com now please thing{n % 7} of the"
+
+
+def slow_terms(texts, support, generalise, remove):
+    places, both, terms, entities = [], Counter(), Counter(), Counter()
+    for text in texts:
+        spans = slow_spans(text)
+        terms.update(set(re.findall(r"[^\W\d_]{3,}", text.lower())))
+        names = [(k, text[lo:hi].lower()) for lo, hi, k in spans]
+        entities.update(set(names))
+        words = [m for m in re.finditer(r"[^\W\d_]{3,}", text) if not any(lo < m.end() and m.start() < hi for lo, hi, _ in spans)]
+        near = defaultdict(set)
+        for (lo, _, _), name in zip(spans, names):
+            before = [m for m in words if m.start() < lo][-8:]
+            for m in before + [m for m in words if m.start() >= lo][:8]:
+                near[name, m[0].lower()].add(m.span())
+        both.update(near.keys())
+        places.append(near)
+    out = []
+    for near in places:
+        share = {}
+        for (name, term), spans in near.items():
+            information = math.log2(len(texts) / entities[name])
+            if both[name, term] >= support and information > 0:
+                value = math.log2(both[name, term] * len(texts) / (entities[name] * terms[term])) / information
+                if value >= generalise:
+                    for span in spans:
+                        share[span] = max(value, share.get(span, 0))
+        out.append([(lo, hi, "term" if v >= remove else "general") for (lo, hi), v in share.items()])
+    return out
+
+
+def test_op1(spark):
+    texts = [person(n) for n in range(24)] + [f"the plain of it now text number thing{n % 7}" for n in range(60)] + ["zanzibarokin elsewhere"] * 3
+    rows = [(n, t) for n, t in enumerate(texts)] + [(900, None), (901, ""), (None, "call +1 (415) 555-0132"), (902, "ab " * 90_000 + "1.2.3.4"), (902, "ab " * 90_000 + "1.2.3.4")]
+    docs = table(spark, rows)
+    texts = [t or "" for _, t in rows]
+    expected = []
+    kinds = ["email", "ip", "card", "phone", "general", "term"]
+    found_terms = slow_terms(texts, 3, 0.6, 0.9)
+    for (doc, _), text, terms in zip(rows, texts, found_terms):
+        spans = slow_spans(text)
+        base = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        every = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted([*spans, *terms], key=lambda s: (s[0], kinds.index(s[2]))))
+        counts = Counter(k for _, _, k in spans)
+        expected.append((doc, *(counts[k] for k in kinds[:4]), hashlib.sha256(base.encode()).hexdigest(), every))
+    out = pii.op1_pii(docs)
+    got = [tuple(r[c] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")) for r in out.collect()]
+    assert Counter(got) == Counter(expected)
+    assert any("term:" in g[6] for g in got) and any("general:" in g[6] for g in got)
+    assert pii.op1_pii(docs.limit(0)).count() == 0
+
+
+def test_sanitise(spark):
+    rows = [(n, person(n)) for n in range(9)] + [(50 + n, "plain text") for n in range(20)] + [(60, None), (61, ""), (None, "1.2.3.4 x"), (7, "+1 (415) 555-0132"), (7, "+1 (415) 555-0132")]
+    docs = table(spark, rows)
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    texts = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert texts[50, "plain text"] == 1 and texts[60, None] == 1 and texts[61, ""] == 1 and texts[None, "[IP] x"] == 1 and texts[7, "[PHONE]"] == 2
+    assert all("known@" not in (t or "") for _, t in texts) and all("Zanziba" not in (t or "") for _, t in texts)
+    assert all(r["n_chars"] == len(r["text"]) for r in out.where("text is not null").collect())
+
+
+SECRET = {
+    "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password|passwd|secret|token|api_?key)", "(?i:(password|passwd|secret|token|api_?key))")),
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+    "pem": re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "forge": re.compile("gh[pousr]_[A-Za-z0-9]{36,}"),
+}
+
+
+def slow_secrets(text):
+    counts = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(SECRET.items()) for m in p.finditer(text) if counts.get(k, lambda m: True)(m)]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def test_op10(spark):
+    rng = random.Random(12)
+    pieces = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "=", ": ", "'", '"', "abc", "AKIA", "ABCDEFGH01234567", "deadbeef" * 3, "0123", "é😀", " ", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "x" * 36, "tok", "en", "K", "İ"]
+    rows = [(n, "".join(rng.choice(pieces) for _ in range(rng.randrange(18)))) for n in range(600)]
+    rows += [(900, None), (901, ""), (None, "secret=abcdefg"), (902, "password=hunter22" * 3000), (902, "password=hunter22" * 3000), (903, "token=token:abcdefgh"), (904, "a" * 300_000)]
+    docs = table(spark, rows)
+    expected = Counter()
+    for doc, text in rows:
+        spans = slow_secrets(text or "")
+        write = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        base = [s for s in spans if s[0] in ("assign", "access", "hex")]
+        n = Counter(k for k, _, _ in spans)
+        expected[doc, n["assign"], n["access"], n["hex"], hashlib.sha256(write(base).encode()).hexdigest(), write(spans)] += 1
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")) for r in secrets.op10_secrets(docs).collect())
+    assert got == expected
+    assert secrets.op10_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r.pattern for r in secrets.RULES] + ["abc(def)?ghi", "(foo|bar)[0-9]+baz", "x*", "[ab]cde{2}f", "(?:abc)+d", "a.b", "hell[oa]w"])
+def test_trigram_query_is_necessary(pattern):
+    rng, query = random.Random(3), secrets.trigram_query(pattern)
+    alphabet = ["password", "secret", "api", "_key", "token", "=", "abcdef", "AKIA", "QWERTYUIOP012345", "abc", "def", "ghi", "foo", "bar", "baz", "1", "cde", "ef", "hello", "w", "ghp_", "Z" * 36, "-----BEGIN ", "PRIVATE KEY-----", "deadbeef" * 3]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 6)))
+        if re.search(pattern, text) and query is not None:
+            assert any(all(g in text.lower() for g in a) for a in query), (text, query)
+
+
+def test_rules_and_their_trigrams():
+    asked = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    assert asked["hex"] is None and asked["access"] == {frozenset({"aki", "kia"})}
+    assert frozenset({"tok", "oke", "ken"}) in asked["assign"] and len(asked["assign"]) == 6
+
+
+def slow_alignment(piece, window):
+    best, before = 0, [0] * (len(window) + 1)
+    for a in piece:
+        row = [0]
+        for j, b in enumerate(window, 1):
+            row.append(max(0, before[j - 1] + (2 if a == b else -1), before[j] - 1, row[j - 1] - 1))
+        best, before = max(best, *row), row
+    return best / (2 * len(piece))
+
+
+def test_alignment():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        assert leaks.alignment(np.array(a), np.array(b))[0] == slow_alignment(a, b)
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6))) for _ in range(n)]
+
+
+def test_find_leaks(spark):
+    rng = random.Random(21)
+    items = [(i, words(rng, rng.randrange(15, 60))) for i in range(30)] + [(77, words(rng, 400))]
+    rows, planted = [], set()
+    for n in range(400):
+        text = words(rng, rng.randrange(0, 200))
+        if n % 4 == 0:
+            item, own = rng.choice(items)
+            own = [w if rng.random() > 0.12 else rng.choice(words(rng, 1)) for w in own]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = own
+            if slow_alignment(dict(items)[item], own) >= 0.6:
+                planted.add((n, item))
+        rows.append((n, " ".join(text)))
+    shared = " ".join(items[3][1]).upper().replace(" ", ", ")
+    rows += [(1000 + n, f"intro {shared} outro") for n in range(200)]
+    planted |= {(1000 + n, 3) for n in range(200)}
+    rows += [(2000, None), (2001, ""), (None, shared), (2002, "pad " * 80_000 + shared), (2002, "pad " * 80_000 + shared), (2003, " ".join(items[5][1][:4]))]
+    docs = table(spark, rows)
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, ""), (92, "the pad")], "item_id long, text string")
+    found = leaks.find_leaks(docs, benchmark).collect()
+    expected = planted | {(None, 3), (2002, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(found) == len(expected) + 1
+    text = dict(rows[:600])
+    for r in found:
+        if r["doc_id"] is not None and 1000 <= r["doc_id"] < 2000:
+            assert text[r["doc_id"]][r["start"] : r["end"]] == shared and r["score"] == 1.0
+    clean = leaks.decontaminate(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, t in rows if d not in {e[0] for e in expected})
+    assert leaks.find_leaks(docs.limit(0), benchmark).count() == 0 and leaks.find_leaks(docs, benchmark.limit(0)).count() == 0
+    assert leaks.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = key(leaks.find_leaks(docs, benchmark))
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 300)
+    assert whole and key(leaks.find_leaks(docs, benchmark)) == whole
+
+
+def slow_chat(rows, turns=64):
+    plain = lambda s: (s or "").replace("<|", "< |")
+    talks = defaultdict(list)
+    for conv, turn, role, text in rows:
+        talks[conv].append((turn, plain(role).strip(" ") or "unnamed", plain(text)))
+    out = Counter()
+    for conv, said in talks.items():
+        for speaker in {n for _, n, _ in said} - {"system"}:
+            parts = defaultdict(list)
+            for turn, name, text in said:
+                parts[-1 if turn is None else turn // turns].append((turn, name, text))
+            for part, own in parts.items():
+                whole, mask, masked = "", [], 0
+                for _, name, text in sorted(own, key=lambda t: (t[0] is not None, t)):
+                    head = "<|system|>\n" if name == "system" else "<|assistant|>\n" if name == speaker else f"<|user:{name}|>\n"
+                    if name == speaker:
+                        mask.append(f"{len(whole + head)}:{len(whole + head + text + '<|end|>')}")
+                        masked += len(text + "<|end|>")
+                    whole += head + text + "<|end|>\n"
+                out[conv, speaker, part, len(own), whole, ",".join(mask), masked] += 1
+    return out
+
+
+def test_chat(spark):
+    rng = random.Random(31)
+    rows = [(n % 9, rng.randrange(200), rng.choice(["user", "assistant", "system", "Bob", None, " "]), rng.choice(["hi", "é😀", "", None, "<|assistant|> no"])) for n in range(500)]
+    rows += [(None, None, "user", "x"), (None, 1, "Bob", "y"), (3, None, "user", "late"), (20, 0, "system", "alone"), (21, 0, "user", "w" * 200_000)] + [(22, 5, "user", "same")] * 3
+    chats = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
+    columns = ("conv_id", "perspective", "part", "n_turns", "text", "mask", "n_masked")
+    assert Counter(tuple(r[c] for c in columns) for r in rotate_perspectives(chats).collect()) == slow_chat(rows)
+    assert rotate_perspectives(chats.limit(0)).count() == 0
