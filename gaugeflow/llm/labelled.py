@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most; the bound of everything that reaches the driver.
-TRAINING_ROWS = 8_000
+TRAINING_ROWS = 12_000
 FOLDS = 5
 
 

@@ -6,10 +6,10 @@ the summed vectors minus the summed squares, so a document is scored in time lin
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +18,30 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 from gaugeflow.llm.common import blocks_of
-from gaugeflow.llm.labelled import TRAINING_ROWS, held_out, training_rows
+from gaugeflow.llm.labelled import held_out, training_rows
 
 BUCKETS, FACTORS = 1 << 18, 8
+#: Labelled documents that the model is fitted on at most.
+TRAINING_ROWS = 6_000
 EPOCHS, BATCHES, RATE, SHRINK = 12, 40, 0.08, 1e-5
 SUPPORT = 4
 REMEMBERED = 200_000
 THRESHOLD = 0.3
 #: Equal steps of a share between 0 and 1; larger values fall into the last.
 STEPS = 20
-_WORD = re.compile(r"\w+")
-_UPPER, _DIGIT, _MARK = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"\d"), re.compile(r"[^\w\s]")
+#: Classes of the code points below 0x250: upper case, digit, mark, "!", "|", sentence end; others are 0.
+UPPER, DIGIT, MARK, SHOUT, BAR, STOP = range(1, 7)
+
+
+def _classes() -> np.ndarray:
+    found = np.zeros(0x251, np.uint8)
+    for c in map(chr, range(0x250)):
+        mark = not c.isalnum() and not c.isspace() and c != "_"
+        found[ord(c)] = UPPER if c.isupper() else DIGIT if c.isdecimal() else SHOUT if c == "!" else BAR if c == "|" else STOP if c in ".?" else MARK if mark else 0
+    return found
+
+
+CLASSES = _classes()
 
 
 @dataclass(frozen=True)
@@ -42,29 +55,29 @@ def _bucket(name: str) -> int:
     return xxh32_intdigest(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def structure(text: str, n_chars: int | None) -> list[int]:
-    """One bucket for each structure statistic and for the length that the metadata state."""
-    words, lines = text.split(), [line.strip() for line in text.split("\n") if line.strip()]
-    n, size = len(words), max(1, len(text))
-    repeated = sum(a == b for a, b in zip(words, words[1:]))
+def structure(text: str, words: list[str], n_chars: int | None) -> list[str]:
+    """A name for the step of each structure statistic, and for the length that the metadata state."""
+    lines = [line for line in map(str.strip, text.split("\n")) if line]
+    n, size, rows = max(1, len(words)), max(1, len(text)), max(1, len(lines))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = np.bincount(CLASSES[np.minimum(points, 0x250)], minlength=7)
     counts = Counter(words)
     shares = {
-        "upper": sum(c.isupper() for c in text) / size,
-        "digit": len(_DIGIT.findall(text)) / size * 4,
-        "mark": len(_MARK.findall(text)) / max(1, n) / 2,
-        "shout": text.count("!") / max(1, n),
-        "bar": text.count("|") / max(1, n),
-        "again": repeated / max(1, n),
-        "distinct": len(counts) / max(1, n),
-        "common": max(counts.values(), default=0) / max(1, n),
-        "lines": 1 - len(set(lines)) / max(1, len(lines)),
-        "short": sum(len(line) < 20 for line in lines) / max(1, len(lines)),
-        "length": sum(map(len, words)) / max(1, n) / 20,
-        "ends": sum(text.count(c) for c in ".!?") / max(1, n),
+        "upper": kinds[UPPER] / size,
+        "digit": kinds[DIGIT] / size * 4,
+        "mark": (kinds[MARK] + kinds[SHOUT] + kinds[BAR] + kinds[STOP]) / n / 2,
+        "shout": kinds[SHOUT] / n,
+        "bar": kinds[BAR] / n,
+        "again": sum(map(eq, words, words[1:])) / n,
+        "distinct": len(counts) / n,
+        "common": max(counts.values(), default=0) / n,
+        "lines": 1 - len(set(lines)) / rows,
+        "short": sum(len(line) < 20 for line in lines) / rows,
+        "length": sum(map(len, words)) / n / 20,
+        "ends": (kinds[SHOUT] + kinds[STOP]) / n,
     }
-    found = [f"{name}:{min(STEPS, int(value * STEPS))}" for name, value in shares.items()]
-    found += [f"words:{n.bit_length()}", f"n_chars:{'none' if n_chars is None else max(0, int(n_chars)).bit_length()}"]
-    return [_bucket(f"#{name}") for name in found]
+    found = [f"#{name}:{min(STEPS, int(value * STEPS))}" for name, value in shares.items()]
+    return [*found, f"#words:{len(words).bit_length()}", f"#n_chars:{'none' if n_chars is None else max(0, int(n_chars)).bit_length()}"]
 
 
 class Featurizer:
@@ -75,16 +88,18 @@ class Featurizer:
 
     def __call__(self, text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         text = text or ""
-        words = set(_WORD.findall(text.lower()))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for word in words - self.known.keys():
-            self.known[word] = _bucket(word)
-        buckets = [self.known[word] for word in sorted(words)]
-        stats = structure(text, n_chars)
+        tokens, known = text.lower().split(), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        words = set(tokens)
+        for word in words:
+            if word not in known:
+                known[word] = _bucket(word)
+        buckets = np.sort(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        stats = np.array([_bucket(name) for name in structure(text, tokens, n_chars)], np.int32)
         values = np.ones(len(buckets) + len(stats), np.float32)
         values[: len(buckets)] = 1 / np.sqrt(max(1, len(buckets)))
-        return np.array(buckets + stats, np.int32), values
+        return np.concatenate([buckets, stats]), values
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,10 @@ sentence scores then show where the offending sentences are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,14 @@ from gaugeflow.llm.labelled import TRAINING_ROWS, held_out, training_rows
 BUCKETS = 1 << 20
 #: Longer stretches without a sentence end are cut after this many words.
 SENTENCE_WORDS = 40
-PREFIXES = (4, 5, 6)
+#: Beginnings of a word that are features besides the word, in letters.
+PREFIXES = (4, 5)
 #: A feature must occur in this many training documents.
 SUPPORT = 4
-EPOCHS, BATCHES, RATE, SHRINK, START = 14, 24, 0.25, 2e-5, -6.0
+EPOCHS, BATCHES, RATE, SHRINK, START = 24, 24, 0.4, 1e-4, -6.0
 REMEMBERED = 200_000
 THRESHOLD = 0.5
+_END = re.compile(r"[.!?\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
@@ -41,31 +45,65 @@ class ToxicityModel:
 
 def word_features(word: str) -> list[int]:
     """Buckets of a lower-case word and of its beginnings."""
-    parts = [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
-    return [xxh32_intdigest(part.encode("utf-8", "surrogatepass")) % BUCKETS for part in parts]
+    raw = word.encode("utf-8", "surrogatepass")
+    starts = [xxh32_intdigest(word[:n].encode("utf-8", "surrogatepass"), n) % BUCKETS for n in PREFIXES if len(word) > n]
+    return [xxh32_intdigest(raw) % BUCKETS, *starts]
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of every sentence with words, of at most ``SENTENCE_WORDS`` words each."""
+def sentence_words(text: str) -> tuple[list[str], list[int]]:
+    """The different lower-case words of each sentence in turn, and how many each has.
+
+    A word that a sentence repeats says no more than once.
+    """
+    flat, sizes = [], []
+    for part in _END.split(text.lower()):
+        words = _WORD.findall(part)
+        for begin in range(0, len(words), SENTENCE_WORDS):
+            own = dict.fromkeys(words[begin : begin + SENTENCE_WORDS])
+            flat += own
+            sizes.append(len(own))
+    return flat, sizes
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) in code points of each sentence of ``sentence_words``."""
+    spans = []
     for match in _SENTENCE.finditer(text):
-        words = _WORD.findall(match[0].lower())
-        if len(words) <= SENTENCE_WORDS:
-            if words:
-                yield match.start(), match.end(), words
-            continue
-        found = list(_WORD.finditer(match[0]))
-        for i in range(0, len(found), SENTENCE_WORDS):
-            part = found[i : i + SENTENCE_WORDS]
-            yield match.start() + part[0].start(), match.start() + part[-1].end(), [m[0].lower() for m in part]
+        # One word of the text may be several words in lower case, or a word may begin with a mark that lower case adds.
+        count = len(_WORD.findall(match[0].lower()))
+        if 0 < count <= SENTENCE_WORDS:
+            spans.append(match.span())
+        elif count:
+            found = list(_WORD.finditer(match[0]))
+            for i in range(0, count, SENTENCE_WORDS):
+                first, last = found[min(i, len(found) - 1)], found[min(i + SENTENCE_WORDS, len(found)) - 1]
+                spans.append((match.start() + first.start(), match.start() + max(first.end(), last.end())))
+    return spans
+
+
+class _Remembered(dict):
+    """Values of words, made when first asked for; forgotten all at once when there are too many."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[word] = self.make(word)
+        return value
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    features_of = _Remembered(word_features)
     for batch in blocks_of(batches):
         flat, sizes = [], []
         for text in batch.column("text").to_pylist():
-            bags = [sorted({f for w in words for f in word_features(w)}) for _, _, words in sentences(text or "")]
-            flat.append(np.array([f for bag in bags for f in bag], np.int32).tobytes())
-            sizes.append(np.array([len(bag) for bag in bags], np.int32).tobytes())
+            words, lengths = sentence_words(text or "")
+            found = list(map(features_of.__getitem__, words))
+            ends = np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64)])
+            flat.append(np.array(list(chain.from_iterable(found)), np.int32).tobytes())
+            sizes.append(np.diff(ends[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])]).astype(np.int32).tobytes())
         columns = [batch.column("doc_id"), batch.column("y"), pa.array(flat, pa.binary()), pa.array(sizes, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "features", "sizes"])
 
@@ -116,35 +154,36 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
 
 
 class SentenceScorer:
-    """Log-odds of sentences under a model; word weights are remembered."""
+    """Log-odds of the sentences of a text under a model; word weights are remembered."""
 
     def __init__(self, model: ToxicityModel) -> None:
-        self.model, self.known = model, {}
+        weights = array("f", model.weights.tobytes())
+        self.bias = model.bias
+        self.weight = _Remembered(lambda word: sum([weights[f] for f in word_features(word)]))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words, sizes = sentence_words(text or "")
+        if not words:
+            return np.zeros(0)
+        weights = np.fromiter(map(self.weight.__getitem__, words), np.float64, len(words))
+        return self.bias + np.add.reduceat(weights, np.cumsum([0, *sizes[:-1]]))
 
-    def _weight(self, word: str) -> tuple[int, ...]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = tuple(f for f in word_features(word) if self.model.weights[f])
-        return found
 
-    def __call__(self, words: list[str]) -> float:
-        known, buckets = self.known, set()
-        for word in words:
-            found = known.get(word)
-            buckets.update(self._weight(word) if found is None else found)
-        return self.model.bias + float(self.model.weights[list(buckets)].sum()) if buckets else self.model.bias
+def noisy_or(log_odds: np.ndarray) -> float:
+    """One minus the product of the complements; 0 without sentences."""
+    return float(-np.expm1(-np.logaddexp(0, log_odds).sum()))
 
 
 def _scores_with(model: ToxicityModel):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = SentenceScorer(model)
+        sentences_of = SentenceScorer(model)
         for batch in blocks_of(batches):
             score, spans = [], []
             for text in batch.column("text").to_pylist():
-                found = [(lo, hi, score_of(words)) for lo, hi, words in sentences(text or "")]
-                unlikely = np.logaddexp(0, np.array([z for _, _, z in found])).sum() if found else 0.0
-                score.append(float(-np.expm1(-unlikely)))
-                spans.append([{"start": lo, "end": hi} for lo, hi, z in found if z >= 0])
+                z = sentences_of(text)
+                score.append(noisy_or(z))
+                found = sentence_spans(text) if (z >= 0).any() else []
+                spans.append([{"start": lo, "end": hi} for (lo, hi), own in zip(found, z) if own >= 0])
             kept = [batch.column(i) for i in range(batch.num_columns)]
             spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), spans], [*batch.schema.names, "score", "offending"])
