@@ -20,7 +20,7 @@ def rates(rows, labels):
     return {y: sum(r) / len(r) for y, r in right.items()}
 
 
-@pytest.mark.parametrize("operator,label,least", [(toxicity.op4_toxicity, "toxic", {1: 0.7, 0: 0.97}), (quality.op5_quality, "quality", {0: 0.9, 1: 0.97})])
+@pytest.mark.parametrize("operator,label,least", [(toxicity.op4_toxicity, "toxic", {1: 0.6, 0: 0.99}), (quality.op5_quality, "quality", {0: 0.9, 1: 0.97})])
 def test_held_out_accuracy(spark, operator, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = operator(docs, labels).collect()
