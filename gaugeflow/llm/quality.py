@@ -44,6 +44,9 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("features", pa.binary()), ("amounts", pa.binary())])
+
+
 @dataclass(frozen=True)
 class QualityModel:
     bias: float
@@ -155,12 +158,24 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", length.alias("n_chars"))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = pa.Table.from_batches(batches, _FEATURES).sort_by("doc_id")
+    unpack = lambda name, kind: [np.frombuffer(x, kind) for x in found.column(name).to_pylist()]
+    labels = np.array(found.column("y").to_pylist(), np.int32)
+    model = fit_factorisation(unpack("features", np.int32), unpack("amounts", np.float32), labels)
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in (model.linear, model.factors)]
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), *packed], ["bias", "linear", "factors"])
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> QualityModel:
-    """Fit on at most ``rows`` labelled documents. Without labels every document scores one half."""
+    """Fit on at most ``rows`` labelled documents, in one task. Without labels every document scores one half."""
     sample = training_rows(docs, labels, "quality", rows).withColumn("n_chars", F.char_length("text").cast("long"))
-    found = sample.mapInArrow(_features, "doc_id long, y int, features binary, amounts binary").toArrow().sort_by("doc_id")
-    unpack = lambda name, kind: [np.frombuffer(x, kind) for x in found.column(name).to_pylist()]
-    return fit_factorisation(unpack("features", np.int32), unpack("amounts", np.float32), np.array(found.column("y").to_pylist(), np.int32))
+    features = sample.mapInArrow(_features, "doc_id long, y int, features binary, amounts binary")
+    found = features.repartition(1).mapInArrow(_fit, "bias double, linear binary, factors binary").first()
+    if found is None:
+        return QualityModel(0.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
+    linear, factors = (np.frombuffer(bytes(found[name]), np.float32) for name in ("linear", "factors"))
+    return QualityModel(found["bias"], linear, factors.reshape(BUCKETS, FACTORS))
 
 
 def log_odds(model: QualityModel, buckets: np.ndarray, values: np.ndarray) -> float:

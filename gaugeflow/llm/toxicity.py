@@ -37,6 +37,9 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
 
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("features", pa.binary()), ("sizes", pa.binary())])
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: np.ndarray
@@ -115,7 +118,7 @@ def fit_noisy_or(features: list[np.ndarray], sizes: list[np.ndarray], labels: np
     for own in features:
         support[np.unique(own)] += 1
     names = np.flatnonzero(support >= SUPPORT)
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[names] = np.arange(len(names))
     w, squares, bias, bias_squares = np.zeros(len(names)), np.full(len(names), 1e-6), START, 1e-6
     order = np.random.Generator(np.random.PCG64(7)).permutation(len(labels))
@@ -125,7 +128,7 @@ def fit_noisy_or(features: list[np.ndarray], sizes: list[np.ndarray], labels: np
             continue
         flat = place[np.concatenate([features[k] for k in own])]
         lengths = np.concatenate([sizes[k] for k in own])
-        sentence = np.repeat(np.arange(len(lengths)), lengths)[flat >= 0]
+        sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[flat >= 0]
         document = np.repeat(np.arange(len(own)), [len(sizes[k]) for k in own])
         parts.append((flat[flat >= 0], sentence, document, len(lengths), labels[own]))
     for _ in range(EPOCHS):
@@ -145,12 +148,20 @@ def fit_noisy_or(features: list[np.ndarray], sizes: list[np.ndarray], labels: np
     return ToxicityModel(weights.astype(np.float32), float(bias))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents. Without labels every sentence scores the starting bias."""
-    sample = training_rows(docs, labels, "toxic", rows)
-    found = sample.mapInArrow(_features, "doc_id long, y int, features binary, sizes binary").toArrow().sort_by("doc_id")
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = pa.Table.from_batches(batches, _FEATURES).sort_by("doc_id")
     unpack = lambda name: [np.frombuffer(x, np.int32) for x in found.column(name).to_pylist()]
-    return fit_noisy_or(unpack("features"), unpack("sizes"), np.array(found.column("y").to_pylist(), np.int32))
+    model = fit_noisy_or(unpack("features"), unpack("sizes"), np.array(found.column("y").to_pylist(), np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "weights"])
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
+    """Fit on at most ``rows`` labelled documents, in one task. Without labels every sentence scores the starting bias."""
+    sample = training_rows(docs, labels, "toxic", rows).mapInArrow(_features, "doc_id long, y int, features binary, sizes binary")
+    found = sample.repartition(1).mapInArrow(_fit, "bias double, weights binary").first()
+    if found is None:
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), START)
+    return ToxicityModel(np.frombuffer(bytes(found["weights"]), np.float32), found["bias"])
 
 
 class SentenceScorer:
