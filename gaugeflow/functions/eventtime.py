@@ -18,9 +18,18 @@ def duration_ms(text: str) -> int:
     return int(match[1]) * _UNIT_MS[match[2]]
 
 
+#: Years 1 to 9999, what dates and timestamps of all engines hold.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
+
+def has_event_time(ms: Column) -> Column:
+    """True where ``ms`` is a time at all; a nanosecond count or a 64-bit limit is not. Never null."""
+    return F.coalesce(ms.between(FIRST_MS, LAST_MS), F.lit(False))
+
+
 def event_time(ms: Column) -> Column:
-    """Exact timestamp of an epoch-millisecond column."""
-    return F.timestamp_millis(ms)
+    """Exact timestamp of an epoch-millisecond column; null, not an error, outside the years 1 to 9999."""
+    return F.timestamp_millis(F.when(has_event_time(ms), ms))
 
 
 def floor_to(ms: Column, step_ms: int) -> Column:

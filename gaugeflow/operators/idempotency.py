@@ -191,14 +191,15 @@ def _segment_outcomes(lock_ms: int, ttl_ms: int):
         replayed = outcome == REPLAY
         out = pd.DataFrame(
             {
-                "request_id": rows["request_id"].astype("int64"),
                 "outcome": outcome,
                 "source_request_id": rows["request_id"].to_numpy()[source].astype("int64"),
                 "replay_status": pd.Series(rows["status"].to_numpy()[source]).where(replayed).astype("Int32"),
                 "replay_response": pd.Series(rows["response"].to_numpy()[source], dtype=object).where(replayed, None),
             }
         )
-        return out.iloc[len(rows) - len(pdf):]
+        out = out.iloc[len(rows) - len(pdf):]
+        out.insert(0, "__row", pdf["__row"].to_numpy())
+        return out
 
     return outcomes
 
@@ -260,14 +261,14 @@ def _entry_runs(exits: DataFrame, lock_ms: int, ttl_ms: int) -> Iterator[dict]:
 
 
 def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_ms: int) -> DataFrame:
-    """Outcomes ``(request_id, ...)`` of keys too large for one array.
+    """Outcomes ``(__row, ...)`` of keys too large for one array; ``__row`` names a row of ``df``.
 
     The requests are cut into consecutive segments. Each segment computes, for every request, which run it
     would end with if that request were its first to execute. With these answers the run at each segment
     border follows from border to border, and all segments then decide their requests in parallel.
     """
     spark = df.sparkSession
-    narrow = df.select("__key", "__run.*")
+    narrow = df.select("__row", "__key", "__run.*")
     segments = max(1, math.ceil(rows / segment_rows))
     cut = range_segments(narrow, ["__key"], ["start", "request_id"], segments).drop("__tie")
     exit_type = T.StructType(
@@ -295,7 +296,7 @@ def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_m
     entries = spark.createDataFrame(list(_entry_runs(exits, lock_ms, ttl_ms)), entry_type)
     result_type = T.StructType(
         [
-            T.StructField("request_id", T.LongType()),
+            T.StructField("__row", T.LongType()),
             T.StructField("outcome", T.StringType()),
             T.StructField("source_request_id", T.LongType()),
             T.StructField("replay_status", T.IntegerType()),
@@ -338,7 +339,8 @@ def idempotency_outcomes(
 
     ``status_col`` (and ``response_col``) hold what the request would answer if it executed; a null
     ``duration_ms`` is an unfinished request. Rows that are not ``eligible`` pass with a null outcome and
-    touch no state. If two runs overlap after a lock expired, the newer one counts. ``request_id`` is unique.
+    touch no state. If two runs overlap after a lock expired, the newer one counts. ``request_id`` orders requests of
+    one time; a record that the log holds twice is two requests.
     """
     lock_ms, ttl_ms = lock_s * 1000, ttl_s * 1000
     start = F.col("received_at_ms")
@@ -361,8 +363,11 @@ def idempotency_outcomes(
     if not large.rows:
         return _fold_small_keys(prepared, lock_ms, ttl_ms)
     small = prepared.join(large.keys, "__key", "left_anti")
-    big = prepared.join(large.keys, "__key", "left_semi")
+    # Written once: the rows are numbered, and several steps read them.
+    big = written_table(
+        prepared.join(large.keys, "__key", "left_semi").withColumn("__row", F.monotonically_increasing_id()), "large-keys"
+    )
     outcomes = _large_keys(big, large.rows, segment_rows, lock_ms, ttl_ms)
     columns = [c for c in prepared.columns if not c.startswith("__")]
-    joined = big.select(*columns).join(outcomes, "request_id", "left").select(*columns, *RESULT_COLUMNS)
+    joined = big.select(*columns, "__row").join(outcomes, "__row", "left").select(*columns, *RESULT_COLUMNS)
     return _fold_small_keys(small, lock_ms, ttl_ms).unionByName(joined)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.constants import WATERMARK, WINDOW_SIZE, WINDOW_SLIDE
-from gaugeflow.functions.eventtime import duration_ms, event_time, floor_to
+from gaugeflow.functions.eventtime import duration_ms, event_time, floor_to, has_event_time
 from gaugeflow.operators.parse import with_event_time
 
 STATS = ("avg_value", "min_value", "max_value", "event_count")
@@ -27,7 +27,7 @@ def _batch(events: DataFrame, size: str, slide: str) -> DataFrame:
     pane_ms = math.gcd(size_ms, slide_ms)
     # Panes first: each event is aggregated once, map side, and only pane totals are copied into windows.
     panes = (
-        events.where(F.col("timestamp").isNotNull())
+        events.where(has_event_time(F.col("timestamp")))
         .groupBy(floor_to(F.col("timestamp"), pane_ms).alias("pane"), "eventType")
         .agg(
             F.sum("value").alias("total"),
@@ -82,17 +82,25 @@ def aggregate_windows(timed: DataFrame, size: str, slide: str) -> DataFrame:
 
 
 def window_stats(
-    events: DataFrame, size: str = WINDOW_SIZE, slide: str = WINDOW_SLIDE, watermark: str = WATERMARK
+    events: DataFrame,
+    size: str = WINDOW_SIZE,
+    slide: str = WINDOW_SLIDE,
+    watermark: str = WATERMARK,
+    ahead: str = "1 day",
 ) -> DataFrame:
     """avg/min/max of ``value`` and count of ``id`` per sliding window and ``eventType``.
 
     Events need ``id, eventType, value, timestamp`` (epoch ms). Redelivered events count again. A stream drops
     an event only from windows that end at or before the watermark; a batch has no late events.
-    A decimal ``value`` is summed exactly.
+    A decimal ``value`` is summed exactly. An event without a time, or with one outside the years 1 to 9999, is
+    in no window. A stream also leaves out events more than ``ahead`` of the clock: one of them would move the watermark
+    past all honest events.
     """
     if duration_ms(slide) > duration_ms(size):
         raise ValueError("the slide must not be longer than the window")
     if events.isStreaming:
+        latest = F.unix_millis(F.current_timestamp()) + duration_ms(ahead)
+        events = events.where(F.col("timestamp") <= latest)
         return aggregate_windows(with_event_time(events).withWatermark("event_time", watermark), size, slide)
     return _batch(events, size, slide)
 

@@ -33,7 +33,7 @@ def source_events(spark: SparkSession, sf_dir: str, streaming: bool = False) ->
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before JSON work: a small test table is one file that one task would read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.isStreaming or len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.isStreaming or df.rdd.getNumPartitions() < cores else df
 
 
 def _milliseconds() -> Column:

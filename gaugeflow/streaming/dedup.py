@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.eventtime import has_event_time
 from gaugeflow.operators.parse import with_event_time
 
 
@@ -16,7 +17,7 @@ def dedup_stream(df: DataFrame, key: str = "id", horizon: str = "24 hours", ms_c
     State holds the keys of the last ``horizon`` only. For an unbounded horizon the stored table itself is
     asked (``storage.store_events``).
     """
-    known = df.where(F.col(key).isNotNull() & F.col(ms_col).isNotNull())
+    known = df.where(F.col(key).isNotNull() & has_event_time(F.col(ms_col)))
     return (
         with_event_time(known, ms_col).withWatermark("event_time", horizon).dropDuplicatesWithinWatermark([key])
     )

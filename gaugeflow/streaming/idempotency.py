@@ -29,7 +29,7 @@ def _whole(value: float | None) -> int | None:
 
 
 def _on_requests(lock_ms: int, ttl_ms: int):
-    names = ("start", "request_id", "end", "status", "response")
+    names = ("start", "request_id", "end", "status", "response", "arrived")
 
     def on_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,7 +40,7 @@ def _on_requests(lock_ms: int, ttl_ms: int):
         requests.sort(key=lambda row: row[:2])
         run = dict(zip(RUN.fieldNames(), state.get, strict=True)) if state.exists else None
         rows = []
-        for start, request_id, end, status, response in requests:
+        for start, request_id, end, status, response, _ in requests:
             outcome = decide_one(run, start, lock_ms, ttl_ms)
             if outcome == EXECUTE:
                 run = {
@@ -53,9 +53,10 @@ def _on_requests(lock_ms: int, ttl_ms: int):
             replayed = (run["status"], run["response"]) if outcome == REPLAY else (None, None)
             rows.append((request_id, outcome, run["request_id"], *replayed))
         state.update(tuple(run.values()))
-        # The run can matter until its response or its lock has expired.
+        # The run can matter until its response or its lock has expired, counted from its latest request.
         until = max(run["start"] + lock_ms, (run["end"] or 0) + ttl_ms)
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        left = max(until - requests[-1][0], 1)
+        state.setTimeoutTimestamp(max(requests[-1][-1] + left, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=OUTCOME.fieldNames(), dtype=object)
 
     return on_requests
@@ -68,13 +69,14 @@ def stream_idempotency_outcomes(
     *,
     status_col: str = "handler_status",
     response_col: str | None = None,
-    lateness: str = "1 minute",
 ) -> DataFrame:
     """Outcome of each request of a stream, as ``idempotency_outcomes`` gives for a table.
 
-    The state of a key is its latest run and is dropped once its response has expired. Requests are taken in
-    order within a micro-batch and must reach the stream in order over micro-batches. A micro-batch bounds how
-    many requests of one key are held at once; bound it with the source's options.
+    The state of a key is its latest run. It is dropped by the clock, as long after the key's latest request as the
+    response had still to live. The watermark follows the arrival of requests, not their times, so none is late and
+    every request gets an answer. Requests are taken in order
+    within a micro-batch; one that comes in a later micro-batch than its successors is decided from the state they left.
+    A micro-batch bounds how many requests of one key are held at once; bound it with the source's options.
     """
     start = F.col("received_at_ms").cast("long")
     response = F.col(response_col) if response_col else F.lit(None)
@@ -87,9 +89,10 @@ def stream_idempotency_outcomes(
             (start + F.col("duration_ms")).cast("long").alias("end"),
             F.col(status_col).cast("int").alias("status"),
             response.cast("string").alias("response"),
-            F.timestamp_millis(start).alias("received_at"),
+            F.current_timestamp().alias("arrived_at"),
+            F.unix_millis(F.current_timestamp()).alias("arrived"),
         )
-        .withWatermark("received_at", lateness)
+        .withWatermark("arrived_at", "1 second")
     )
     return runs.groupBy("idempotency_key").applyInPandasWithState(
         _on_requests(lock_s * 1000, ttl_s * 1000), OUTCOME, RUN, "append", GroupStateTimeout.EventTimeTimeout

@@ -7,6 +7,8 @@ per table: two streams into one table could both store an id.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,24 +81,36 @@ def run_storage(
     checkpoint: str,
     trigger: dict | None = None,
     horizon: str | None = None,
+    log_path: str | None = None,
 ) -> StreamingQuery:
     """Start the consumer. Offsets are committed after both writes; a failure before that replays the batch.
 
     ``processed`` (duplicates included) and ``failed`` messages of each batch are in the query progress, as
-    the observed metric ``storage``.
+    the observed metric ``storage``. Spark keeps the progress of recent batches only; with ``log_path`` every batch also
+    writes one row (batch_id, duration_ms, processed, failed) there, which a replay overwrites.
     """
     checked = with_stored_columns(stream).observe(
         "storage",
         F.count_if(F.col("reason").isNull()).alias("processed"),
         F.count_if(F.col("reason").isNotNull()).alias("failed"),
     )
-    writer = checked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: store_checked(batch, batch_id, path, dlq_path, horizon)
-    )
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            begun = time.monotonic()
+            store_checked(batch, batch_id, path, dlq_path, horizon)
+            if log_path:
+                took = F.lit(round((time.monotonic() - begun) * 1000)).cast("long").alias("duration_ms")
+                good, bad = (F.count_if(test).alias(name) for test, name in ((F.col("reason").isNull(), "processed"), (F.col("reason").isNotNull(), "failed")))
+                batch.agg(good, bad).select(took, "processed", "failed").write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = checked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def batch_durations(query: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """Write times of the query's recent batches (Spark keeps a bounded number), for the duration histogram."""
-    done = [(p.batchId, int(p.durationMs["addBatch"])) for p in query.recentProgress if "addBatch" in p.durationMs]
-    return spark.createDataFrame(done, "batch_id long, duration_ms long")
+def batch_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """(batch_id, duration_ms, processed, failed) of every batch that ``run_storage`` logged, for the duration histogram."""
+    return spark.read.schema("duration_ms long, processed long, failed long, batch_id long").parquet(log_path)

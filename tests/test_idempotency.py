@@ -49,6 +49,15 @@ def result(df):
     return {r.request_id: (r.outcome, r.source_request_id, r.replay_status) for r in df.collect()}
 
 
+@pytest.mark.parametrize("max_key_rows", [100, 1])
+def test_a_record_that_the_log_holds_twice(spark, max_key_rows):
+    rows = [(1, U(1), T, 100, 202), (2, U(1), T + 50, 100, 202), (2, U(1), T + 50, 100, 202), (3, U(1), T + 200, 100, 202)]
+    rows += [(1, U(2), T, 100, 202)] * 2
+    out = idempotency_outcomes(spark.createDataFrame(rows, LAYOUT), max_key_rows=max_key_rows)
+    got = sorted((r.idempotency_key, r.request_id, r.outcome) for r in out.collect())
+    assert got == [(U(1), 1, E), (U(1), 2, C), (U(1), 2, C), (U(1), 3, R), (U(2), 1, C), (U(2), 1, E)]
+
+
 @pytest.mark.parametrize("max_key_rows", [100, 1])
 def test_sequences(spark, max_key_rows):
     rows, expected, rid = [], {}, 0

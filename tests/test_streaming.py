@@ -15,7 +15,7 @@ from gaugeflow.sources.writers import start_stream, write_topic, write_topic_str
 from gaugeflow.streaming.aggregate import live_feed, start_live_totals, stream_window_stats, write_window_stats
 from gaugeflow.streaming.dedup import dedup_stream
 from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
-from gaugeflow.streaming.storage import batch_durations, run_storage
+from gaugeflow.streaming.storage import batch_log, run_storage
 from gaugeflow.schemas import REQUEST_LOG, WINDOW_STATS
 from pyspark.sql import functions as F
 from telemetry import MINUTE, T, U, message, request
@@ -114,15 +114,14 @@ def test_dedup_stream(spark, tmp_path):
 
 def test_storage_stream(spark, tmp_path):
     source, path, dlq = tmp_path / "in", str(tmp_path / "events"), str(tmp_path / "dlq")
+    log = str(tmp_path / "log")
     put(source, "f0", [event(1, 0), event(1, 5), "poison", event(2, 0)])
     put(source, "f1", [event(2, 7), event(3, 0), message(deviceId="xyz")])
 
     def run():
         raw = read_raw_stream(spark, "json", str(source), maxFilesPerTrigger="1")
-        query = run_storage(raw, path, dlq, str(tmp_path / "cp"), trigger=ONCE)
+        query = run_storage(raw, path, dlq, str(tmp_path / "cp"), trigger=ONCE, log_path=log)
         query.awaitTermination()
-        times = {r.le: r.bucket_count for r in batch_duration_histogram(batch_durations(query, spark)).collect()}
-        assert times["+Inf"] == len(query.recentProgress)
         return [(p.observedMetrics["storage"].processed, p.observedMetrics["storage"].failed)
                 for p in query.recentProgress if p.numInputRows]
 
@@ -136,6 +135,51 @@ def test_storage_stream(spark, tmp_path):
     put(source, "f2", [event(3, 9), event(4, 0)])
     assert run() == [(2, 0)]
     assert {r.id for r in read_events(spark, path).collect()} == {U(1), U(2), U(3), U(4)}
+    # Every batch of both runs is in the log.
+    logged = batch_log(spark, log)
+    assert sorted((r.batch_id, r.processed, r.failed) for r in logged.collect()) == [(0, 3, 1), (1, 2, 1), (2, 2, 0)]
+    assert {r.le: r.bucket_count for r in batch_duration_histogram(logged).collect()}["+Inf"] == 3
+
+
+def test_log_of_more_batches_than_progress_is_kept(spark, tmp_path):
+    for n in range(4):
+        put(tmp_path / "in", f"f{n}", [event(n, 0)])
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        raw = read_raw_stream(spark, "json", str(tmp_path / "in"), maxFilesPerTrigger="1")
+        folders = (str(tmp_path / name) for name in ("events", "dlq", "cp"))
+        run_storage(raw, *folders, trigger=ONCE, log_path=str(tmp_path / "log")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert batch_log(spark, str(tmp_path / "log")).count() == 4
+
+
+def test_impossible_times_stop_no_window(spark, tmp_path):
+    source = tmp_path / "in"
+    bad = [message(timestamp=n) for n in (1_717_243_200_000_000_000, 2**63 - 1, -(2**63), 253_402_300_800_000, 253_402_300_000_000)]
+    put(source, "f0", [event(1, 0), *bad, event(2, 0)])
+    put(source, "f1", [event(9, 100)])
+    found = windows(run_windows(spark, source, tmp_path / "out", tmp_path / "cp"))
+    assert found[(0, "t")] == (1.5, 2)
+    # The same folder again, after a restart.
+    put(source, "f2", [event(3, 200), *bad])
+    assert windows(run_windows(spark, source, tmp_path / "out", tmp_path / "cp"))[(0, "t")] == (1.5, 2)
+    batch = window_stats(parse_events(spark.read.text(str(source))))
+    assert batch.where("event_count = 2 and avg_value = 1.5").count() == 5
+    assert batch.where("window_start is null").count() == 0
+
+
+def test_no_request_of_a_stream_is_lost(spark, tmp_path):
+    layout = "request_id long, idempotency_key string, received_at_ms long, duration_ms long, handler_status int"
+    hour = 3_600_000
+    files = [[(1, U(1), 10 * hour, 5, 202)], [(2, U(1), 10 * hour + 100, 5, 202), (3, U(2), 20 * hour, 5, 202)], [(4, U(1), 10 * hour - 50, 5, 202), (5, U(3), hour, 5, 202)]]
+    for rows in files:
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    out = stream_idempotency_outcomes(stream)
+    start_stream(out, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
+    assert sorted(r.request_id for r in got.collect()) == [1, 2, 3, 4, 5]
 
 
 @pytest.mark.parametrize("files", [1, 4])
