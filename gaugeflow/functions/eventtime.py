@@ -23,8 +23,8 @@ FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
 def has_event_time(ms: Column) -> Column:
-    """True where ``ms`` is a time at all; a nanosecond count or a 64-bit limit is not. Never null."""
-    return F.coalesce(ms.between(FIRST_MS, LAST_MS), F.lit(False))
+    """True where ``ms`` is a time at all; a nanosecond count or a 64-bit limit is not. Null for null."""
+    return ms.between(FIRST_MS, LAST_MS)
 
 
 def event_time(ms: Column) -> Column:

@@ -117,5 +117,5 @@ def test_only_needed_columns_are_read(spark, tmp_path):
 
     spark.createDataFrame(rows, RAW_EVENT).write.parquet(path)
     plan = window_stats(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(timestamp)]" in plan
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp," in plan
     assert "deviceId" not in plan and "metadata" not in plan
