@@ -67,15 +67,22 @@ def _outcome_columns(row: Column, outcome: Column, run: Column) -> list[Column]:
 RESULT_COLUMNS = ("outcome", "source_request_id", "replay_status", "replay_response")
 
 
-def _fold_small_keys(df: DataFrame, lock_ms: int, ttl_ms: int) -> DataFrame:
-    """Fold each key's requests as one sorted array; a row that is not eligible is a group of its own."""
+def _fold_small_keys(df: DataFrame, lock_ms: int, ttl_ms: int, earlier: DataFrame | None = None) -> DataFrame:
+    """Fold each key's requests as one sorted array; a row that is not eligible is a group of its own.
+
+    ``earlier`` (__key, __earlier) joins on the column that the requests were grouped by: they are not shuffled again.
+    """
     columns = [c for c in df.columns if not c.startswith("__")]
     row = F.struct(
         F.col("__run.start").alias("at"), F.col("__run.request_id").alias("seq"), *columns, "__run", "__eligible"
     )
-    grouped = df.groupBy("__key", F.when(~F.col("__eligible"), F.col("__run.request_id")).alias("__alone")).agg(
-        F.array_sort(F.collect_list(row)).alias("rows")
-    )
+    of_key = F.concat(F.lit("key:"), "__key")
+    alone_id = F.concat(F.lit("row:"), F.col("__run.request_id").cast("string"))
+    grouped = df.groupBy(F.coalesce(of_key, alone_id).alias("__group")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    if earlier is None:
+        grouped = grouped.withColumn("__earlier", F.lit(None).cast(RUN))
+    else:
+        grouped = grouped.join(earlier.select(of_key.alias("__group"), "__earlier"), "__group", "left")
     rows_type = grouped.schema["rows"].dataType.elementType
     done_type = T.ArrayType(
         T.StructType(
@@ -88,7 +95,7 @@ def _fold_small_keys(df: DataFrame, lock_ms: int, ttl_ms: int) -> DataFrame:
             ]
         )
     )
-    start = F.struct(F.lit(None).cast(RUN).alias("run"), F.array().cast(done_type).alias("done"))
+    start = F.struct(F.col("__earlier").cast(RUN).alias("run"), F.array().cast(done_type).alias("done"))
 
     def step(acc: Column, r: Column) -> Column:
         outcome = F.when(r["__eligible"], decide(acc["run"], r["at"], lock_ms, ttl_ms))
@@ -105,7 +112,7 @@ def _fold_small_keys(df: DataFrame, lock_ms: int, ttl_ms: int) -> DataFrame:
     folded = F.aggregate("rows", start, step, lambda acc: acc["done"])
     # Most keys have one request, which executes.
     single = F.transform("rows", alone).cast(done_type)
-    return grouped.select(F.inline(F.when(F.size("rows") == 1, single).otherwise(folded)))
+    return grouped.select(F.inline(F.when((F.size("rows") == 1) & F.col("__earlier").isNull(), single).otherwise(folded)))
 
 
 # --- keys with very many requests --------------------------------------------------------------------------
@@ -116,16 +123,18 @@ def next_executing(
 ) -> np.ndarray:
     """For each request, were it executing: index of the next one to execute, ``len(at)`` if none is left.
 
-    ``at`` is sorted. ``cached`` marks runs that finished with a status that is replayed.
+    ``at`` is sorted, but for a first row that may be later than others: a run from before these requests.
+    ``cached`` marks runs that finished with a status that is replayed.
     """
     n = len(at)
+    ordered = np.minimum.accumulate(at[::-1])[::-1]
     after = np.arange(n) + 1
     free = np.where(finished, np.minimum(end, at + lock_ms), at + lock_ms)
-    nxt = np.maximum(after, np.searchsorted(at, free, side="left"))
+    nxt = np.maximum(after, np.searchsorted(ordered, free, side="left"))
     # The candidate may come after x finished, where its response is replayed.
     lands = np.append(at, np.iinfo(np.int64).max)[nxt]
     replayed = cached & (lands >= end)
-    return np.where(replayed, np.maximum(after, np.searchsorted(at, end + ttl_ms, side="left")), nxt)
+    return np.where(replayed, np.maximum(after, np.searchsorted(ordered, end + ttl_ms, side="left")), nxt)
 
 
 def last_executing(nxt: np.ndarray) -> np.ndarray:
@@ -228,7 +237,7 @@ def _run_at_exit(row: Row | None) -> dict | None:
     return None if row is None else {f.name: row[f"exit_{f.name}"] for f in RUN}
 
 
-def _entry_runs(exits: DataFrame, lock_ms: int, ttl_ms: int) -> Iterator[dict]:
+def _entry_runs(exits: DataFrame, lock_ms: int, ttl_ms: int, earlier: DataFrame | None = None) -> Iterator[dict]:
     """The latest run at the beginning of each segment of a key, walking a key's segments in order.
 
     The driver holds one row per segment, never requests. Most borders need no look at the data: a segment
@@ -239,10 +248,11 @@ def _entry_runs(exits: DataFrame, lock_ms: int, ttl_ms: int) -> Iterator[dict]:
     spans = exits.groupBy("__key", SEGMENT).agg(
         F.min("start").alias("first_ms"), F.max("start").alias("last_ms"), F.min_by(ending, order).alias("first_exit")
     )
+    spans = spans.withColumn("__earlier", F.lit(None).cast(RUN)) if earlier is None else spans.join(earlier, "__key", "left")
     key, run = None, None
     for span in sorted(spans.collect(), key=lambda row: (row["__key"], row[SEGMENT])):
         if span["__key"] != key:
-            key, run = span["__key"], None
+            key, run = span["__key"], span["__earlier"] and span["__earlier"].asDict()
         if run is not None:
             yield {"__key": key, SEGMENT: span[SEGMENT], **{f"entry_{k}": v for k, v in run.items()}}
             if _blocks_all(run, span["first_ms"], span["last_ms"], lock_ms, ttl_ms):
@@ -260,7 +270,9 @@ def _entry_runs(exits: DataFrame, lock_ms: int, ttl_ms: int) -> Iterator[dict]:
         run = _run_at_exit(found) or run
 
 
-def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_ms: int) -> DataFrame:
+def _large_keys(
+    df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_ms: int, earlier: DataFrame | None = None
+) -> DataFrame:
     """Outcomes ``(__row, ...)`` of keys too large for one array; ``__row`` names a row of ``df``.
 
     The requests are cut into consecutive segments. Each segment computes, for every request, which run it
@@ -277,8 +289,12 @@ def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_m
             *[T.StructField(f"exit_{f.name}", f.dataType) for f in RUN],
         ]
     )
-    # Only keys that reach over a border need the answers.
-    borders = cut.groupBy("__key").agg(F.countDistinct(SEGMENT).alias("n")).where("n > 1").select("__key")
+    # Only keys that reach over a border, or have an earlier run, need the answers.
+    borders = cut.groupBy("__key").agg(F.countDistinct(SEGMENT).alias("n"))
+    if earlier is None:
+        borders = borders.where("n > 1").select("__key")
+    else:
+        borders = borders.join(earlier, "__key", "left").where("n > 1 or __earlier is not null").select("__key")
     exits = written_table(
         cut.join(borders, "__key", "left_semi")
         .groupBy("__key", SEGMENT)
@@ -293,7 +309,7 @@ def _large_keys(df: DataFrame, rows: int, segment_rows: int, lock_ms: int, ttl_m
             *[T.StructField(f"entry_{f.name}", f.dataType) for f in RUN],
         ]
     )
-    entries = spark.createDataFrame(list(_entry_runs(exits, lock_ms, ttl_ms)), entry_type)
+    entries = spark.createDataFrame(list(_entry_runs(exits, lock_ms, ttl_ms, earlier)), entry_type)
     result_type = T.StructType(
         [
             T.StructField("__row", T.LongType()),
@@ -323,6 +339,47 @@ def large_keys(requests: DataFrame, max_key_rows: int = MAX_KEY_ROWS) -> LargeGr
     return large_groups(keys, ["__key"], max_key_rows)
 
 
+def _run(status_col: str, response_col: str | None) -> Column:
+    start = F.col("received_at_ms")
+    response = F.col(response_col) if response_col else F.lit(None)
+    return F.struct(
+        F.col("request_id").cast("long").alias("request_id"),
+        start.cast("long").alias("start"),
+        (start + F.col("duration_ms")).cast("long").alias("end"),
+        F.col(status_col).cast("int").alias("status"),
+        response.cast("string").alias("response"),
+    )
+
+
+def latest_runs(
+    decided: DataFrame,
+    lock_s: int = LOCK_SECONDS,
+    ttl_s: int = RESPONSE_TTL_SECONDS,
+    *,
+    status_col: str = "handler_status",
+    response_col: str | None = None,
+    earlier: DataFrame | None = None,
+    alive_at_ms: int | None = None,
+) -> DataFrame:
+    """(idempotency_key, request_id, start, end, status, response): the latest executing run of each key.
+
+    ``decided`` is the result of ``idempotency_outcomes``. A key without a new run keeps its ``earlier`` one. With
+    ``alive_at_ms``, runs that decide no request from that time on are left out, so the table holds about ``ttl_s``
+    seconds of runs. Write it, and give it to the next call as ``earlier``.
+    """
+    ran = (
+        decided.where(F.col("outcome") == EXECUTE)
+        .groupBy("idempotency_key")
+        .agg(F.max_by(_run(status_col, response_col), F.struct("received_at_ms", "request_id")).alias("run"))
+        .select("idempotency_key", "run.*")
+    )
+    runs = ran if earlier is None else earlier.join(ran, "idempotency_key", "left_anti").unionByName(ran)
+    if alive_at_ms is None:
+        return runs
+    replays_until = F.when(F.col("status").between(200, 499), F.col("end") + ttl_s * 1000)
+    return runs.where(F.greatest(F.col("start") + lock_s * 1000, replays_until) > alive_at_ms)
+
+
 def idempotency_outcomes(
     requests: DataFrame,
     lock_s: int = LOCK_SECONDS,
@@ -331,6 +388,7 @@ def idempotency_outcomes(
     status_col: str = "handler_status",
     response_col: str | None = None,
     eligible: Column | None = None,
+    earlier: DataFrame | None = None,
     large: LargeGroups | None = None,
     max_key_rows: int = MAX_KEY_ROWS,
     segment_rows: int = SEGMENT_ROWS,
@@ -341,33 +399,29 @@ def idempotency_outcomes(
     ``duration_ms`` is an unfinished request. Rows that are not ``eligible`` pass with a null outcome and
     touch no state. If two runs overlap after a lock expired, the newer one counts. ``request_id`` orders requests of
     one time; a record that the log holds twice is two requests.
+
+    ``earlier`` are the runs before these requests, one row per key as ``latest_runs`` gives them. They come first, so
+    logs taken one after the other give what one log gives.
     """
     lock_ms, ttl_ms = lock_s * 1000, ttl_s * 1000
-    start = F.col("received_at_ms")
-    response = F.col(response_col) if response_col else F.lit(None)
-    run = F.struct(
-        F.col("request_id").cast("long").alias("request_id"),
-        start.cast("long").alias("start"),
-        (start + F.col("duration_ms")).cast("long").alias("end"),
-        F.col(status_col).cast("int").alias("status"),
-        response.cast("string").alias("response"),
-    )
     allowed = F.col("idempotency_key").isNotNull()
     if eligible is not None:
         allowed = allowed & F.coalesce(eligible, F.lit(False))
     prepared = requests.withColumns(
-        {"__run": run, "__eligible": allowed, "__key": F.when(allowed, F.col("idempotency_key"))}
+        {"__run": _run(status_col, response_col), "__eligible": allowed, "__key": F.when(allowed, F.col("idempotency_key"))}
     )
     if large is None:
         large = large_keys(requests.where(allowed), max_key_rows)
+    if earlier is not None:
+        earlier = earlier.select(F.col("idempotency_key").alias("__key"), F.struct(*RUN.fieldNames()).cast(RUN).alias("__earlier"))
     if not large.rows:
-        return _fold_small_keys(prepared, lock_ms, ttl_ms)
+        return _fold_small_keys(prepared, lock_ms, ttl_ms, earlier)
     small = prepared.join(large.keys, "__key", "left_anti")
     # Written once: the rows are numbered, and several steps read them.
     big = written_table(
         prepared.join(large.keys, "__key", "left_semi").withColumn("__row", F.monotonically_increasing_id()), "large-keys"
     )
-    outcomes = _large_keys(big, large.rows, segment_rows, lock_ms, ttl_ms)
+    outcomes = _large_keys(big, large.rows, segment_rows, lock_ms, ttl_ms, earlier)
     columns = [c for c in prepared.columns if not c.startswith("__")]
     joined = big.select(*columns, "__row").join(outcomes, "__row", "left").select(*columns, *RESULT_COLUMNS)
-    return _fold_small_keys(small, lock_ms, ttl_ms).unionByName(joined)
+    return _fold_small_keys(small, lock_ms, ttl_ms, earlier).unionByName(joined)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.text import is_uuid
+from gaugeflow.materialize import written_table
 from gaugeflow.operators import admission as adm
 from gaugeflow.operators import live, rules
 from gaugeflow.operators.clients import attach_client, upsert_clients_if_absent
 from gaugeflow.operators.counters import pipeline_counters
 from gaugeflow.operators.dedup import dedup_first, new_only
-from gaugeflow.operators.idempotency import RESULT_COLUMNS, idempotency_outcomes
+from gaugeflow.operators.idempotency import RESULT_COLUMNS, idempotency_outcomes, latest_runs
 from gaugeflow.operators.lookup import device_type_lookup, latest
 from gaugeflow.operators.parse import parse_events, with_event_time
 from gaugeflow.operators.rate import rate_usage
@@ -27,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 LATEST_N = 100
 RATE_WINDOW_S, RATE_LIMIT = 86_400, 40
+#: Where the request log is cut into two runs.
+NEXT_RUN_MS = 1_705_104_000_000
 LOOKUP = {
     "device_id": "00000000-0000-4000-8001-000000000007",
     "event_type": "click",
@@ -145,6 +148,18 @@ def idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("request_id", *[c for c in RESULT_COLUMNS if c != "replay_response"])
 
 
+def idempotency_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in two runs; the second starts from the written state of the first."""
+    log = inputs.request_log(spark, sf_dir).select(
+        "request_id", "received_at_ms", "idempotency_key", "duration_ms", "handler_status"
+    )
+    allowed, before = is_uuid(F.col("idempotency_key")), F.col("received_at_ms") < NEXT_RUN_MS
+    first = idempotency_outcomes(log.where(before), eligible=allowed)
+    runs = written_table(latest_runs(first, alive_at_ms=NEXT_RUN_MS), "runs")
+    second = idempotency_outcomes(log.where(~before), eligible=allowed, earlier=runs)
+    return first.unionByName(second).select("request_id", *[c for c in RESULT_COLUMNS if c != "replay_response"])
+
+
 def dlq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_dlq(inputs.topic_messages(spark, sf_dir))[1]
 
@@ -229,6 +244,7 @@ BATCH_QUERIES: dict[str, Query] = {
     "topic_records": topic_records,
     "ack_records": ack_records,
     "idempotency_outcomes": idempotency,
+    "idempotency_incremental": idempotency_incremental,
     "dlq_records": dlq_records,
     "store_insert_if_absent": store_insert_if_absent,
     "pipeline_counters": counters,

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from gaugeflow.operators.idempotency import idempotency_outcomes
+from gaugeflow.operators.idempotency import idempotency_outcomes, latest_runs
 from pyspark.sql import functions as F
 from telemetry import T, U
 
@@ -113,3 +113,28 @@ def test_rows_that_do_not_take_part(spark):
     for max_key_rows in (100, 1):
         actual = result(idempotency_outcomes(df, eligible=F.col("request_id") != 2, max_key_rows=max_key_rows))
         assert actual == {1: (None, None, None), 2: (None, None, None), 3: (E, 3, None), 4: (C, 3, None)}
+
+
+@pytest.mark.parametrize("max_key_rows,segment_rows", [(5_000, 1_000), (20, 60), (20, 5_000)])
+@pytest.mark.parametrize("span_ms", [3 * 86_400_000, 120_000])
+def test_two_logs_in_sequence_equal_one(spark, span_ms, max_key_rows, segment_rows):
+    rows = random_requests(31, 800, 8, span_ms)
+    log = spark.createDataFrame(rows, LAYOUT).withColumn("note", F.concat(F.lit("r"), "request_id"))
+    cut, found, runs = T + span_ms // 2, [], None
+    for part in (log.where(F.col("received_at_ms") < cut), log.where(F.col("received_at_ms") >= cut)):
+        decided = idempotency_outcomes(
+            part, response_col="note", earlier=runs, max_key_rows=max_key_rows, segment_rows=segment_rows
+        )
+        found += decided.collect()
+        runs = latest_runs(decided, response_col="note", earlier=runs, alive_at_ms=cut)
+    assert {r.request_id: (r.outcome, r.source_request_id, r.replay_status) for r in found} == brute(rows)
+    assert len(found) == len(rows)
+    assert all(r.replay_response == (f"r{r.source_request_id}" if r.outcome == R else None) for r in found)
+
+
+@pytest.mark.parametrize("max_key_rows", [100, 1])
+def test_requests_before_the_earlier_run(spark, max_key_rows):
+    first = idempotency_outcomes(spark.createDataFrame([(1, U(1), T, 100, 202)], LAYOUT))
+    late = [(2, U(1), T - 50, 10, 202), (3, U(1), T - 20, 10, 202), (4, U(1), T + 200, 10, 202), (5, U(1), T + 86_400_100, 10, 202)]
+    out = idempotency_outcomes(spark.createDataFrame(late, LAYOUT), earlier=latest_runs(first), max_key_rows=max_key_rows)
+    assert result(out) == {2: (C, 1, None), 3: (C, 1, None), 4: (R, 1, 202), 5: (E, 5, None)}
