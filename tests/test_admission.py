@@ -157,3 +157,12 @@ def test_clients_insert_if_absent(spark):
     rows = {r.api_key: r.id for r in upsert_clients_if_absent(new, clients(spark)).collect()}
     assert rows == {"good": "c1", "old": "c2", "unset": "c3", "fresh": "n2"}
     assert upsert_clients_if_absent(new, clients(spark)).where(F.col("api_key") == "fresh").count() == 1
+
+
+def test_defaults_of_a_seeded_client(spark):
+    seeded = upsert_clients_if_absent(
+        spark.createDataFrame([("new", "B"), ("new", "A"), ("good", "Taken")], "api_key string, name string"), clients(spark)
+    )
+    rows = {r.api_key: r for r in seeded.collect()}
+    assert sorted(rows) == ["good", "new", "old", "unset"] and rows["good"].name == "Good" and rows["unset"].active is None
+    assert rows["new"].name == "A" and rows["new"].active and len(rows["new"].id) == 36 and rows["new"].created_at is not None
