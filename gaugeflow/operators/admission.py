@@ -65,6 +65,7 @@ def admit(
     *,
     rate_limit: tuple[int, int] | None = None,
     carry: Sequence[str] | None = None,
+    earlier: DataFrame | None = None,
     max_key_rows: int = MAX_KEY_ROWS,
     segment_rows: int = SEGMENT_ROWS,
     max_group_rows: int = MAX_GROUP_ROWS,
@@ -77,6 +78,7 @@ def admit(
 
     One shuffle on the idempotency key; the clients are broadcast while small. ``carry`` names the request
     columns to keep, all by default: without the body, a count of answers shuffles a fraction of the bytes.
+    ``earlier`` are the runs of keys before these requests, as ``latest_runs`` gives them for ``ran(answers)``.
     """
     body, key = F.col("body"), F.col("idempotency_key")
     columns = list(requests.columns if carry is None else carry)
@@ -101,6 +103,7 @@ def admit(
         status_col="run_status",
         response_col="run_errors",
         eligible=F.col("refusal").isNull(),
+        earlier=earlier,
         large=large_keys(requests.where(is_uuid(key)), max_key_rows),
         segment_rows=segment_rows,
     )
@@ -134,6 +137,12 @@ def admit(
     )
 
 
+def ran(dispositions: DataFrame) -> DataFrame:
+    """Requests that executed, with ``outcome`` and ``run_errors``, from which ``latest_runs`` takes the state of each key."""
+    executed = dispositions.where(F.col("reason").isin("accepted", "validation_failed", "handler_failed", "unfinished"))
+    return executed.withColumns({"outcome": F.lit(EXECUTE), "run_errors": F.to_json("errors")})
+
+
 def accepted(dispositions: DataFrame) -> DataFrame:
     """Requests whose event is published; a replayed answer publishes nothing."""
     return dispositions.where(F.col("reason") == "accepted")

@@ -341,4 +341,6 @@ keyed AS (SELECT *, handler_status AS run_status FROM log WHERE run_key IS NOT N
 SELECT request_id, outcome, x_id AS source_request_id, CASE WHEN outcome = 'REPLAY' THEN x_status END AS replay_status
 FROM state""",
     "stream_live_cards": BATCH_ORACLES["live_cards"],
+    "stream_admission": BATCH_ORACLES["admission"],
+    "stream_topic_records": BATCH_ORACLES["topic_records"],
 }

@@ -110,9 +110,9 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.validation_errors(rules.validate(inputs.request_log(spark, sf_dir)))
 
 
-def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_columns(dispositions: DataFrame) -> DataFrame:
     fields = F.array_join(F.transform("errors", lambda issue: issue["field"]), ",")
-    return _dispositions(spark, sf_dir, "request_id").select(
+    return dispositions.select(
         "request_id",
         "client_id",
         "client_name",
@@ -123,6 +123,10 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_columns(_dispositions(spark, sf_dir, "request_id"))
+
+
 def disposition_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adm.disposition_tally(_dispositions(spark, sf_dir, "request_id"))
 

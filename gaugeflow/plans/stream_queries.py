@@ -14,9 +14,11 @@ from gaugeflow.materialize import shared_dir
 from gaugeflow.operators.parse import parse_events
 from gaugeflow.operators.window_stats import window_stats
 from gaugeflow.plans import inputs
+from gaugeflow.plans.queries import NEXT_RUN_MS, answer_columns
 from gaugeflow.schemas import DLQ
-from gaugeflow.sources.readers import read_events
+from gaugeflow.sources.readers import read_events, read_requests
 from gaugeflow.sources.writers import start_stream
+from gaugeflow.streaming.admission import admitted, published, run_admission
 from gaugeflow.streaming.aggregate import start_live_totals, write_window_stats
 from gaugeflow.streaming.dedup import dedup_stream
 from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
@@ -80,6 +82,26 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def _gateway(spark: SparkSession, sf_dir: str) -> str:
+    """The request log arrives in two parts; the gateway stops between them and goes on from its checkpoint."""
+    folder = _folder(spark, "admission")
+    log, clients = inputs.request_log(spark, sf_dir), inputs.clients(spark, sf_dir)
+    before = F.col("received_at_ms") < NEXT_RUN_MS
+    for part in (log.where(before), log.where(~before)):
+        part.write.mode("append").parquet(f"{folder}/log")
+        requests = read_requests(spark, f"{folder}/log", streaming=True)
+        run_admission(requests, clients, folder, f"{folder}/checkpoint", trigger=ONCE).awaitTermination()
+    return folder
+
+
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_columns(admitted(spark, _gateway(spark, sf_dir)))
+
+
+def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, _gateway(spark, sf_dir))
+
+
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_window_stats": windows,
     "stream_store_events": stored,
@@ -87,4 +109,6 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_dedup": deliveries,
     "stream_idempotency": idempotency,
     "stream_live_cards": cards,
+    "stream_admission": admission,
+    "stream_topic_records": topic_records,
 }
