@@ -52,12 +52,12 @@ def _events_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.request_log(spark, sf_dir).where(F.col("route") == "/v1/events")
 
 
 def _dispositions(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
-    return adm.admit(_event_requests(spark, sf_dir), inputs.clients(spark, sf_dir), carry=carry)
+    return adm.admit(event_requests(spark, sf_dir), inputs.clients(spark, sf_dir), carry=carry)
 
 
 def _log_with_status(spark: SparkSession, sf_dir: str) -> DataFrame:

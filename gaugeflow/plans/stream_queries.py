@@ -14,7 +14,7 @@ from gaugeflow.materialize import shared_dir
 from gaugeflow.operators.parse import parse_events
 from gaugeflow.operators.window_stats import window_stats
 from gaugeflow.plans import inputs
-from gaugeflow.plans.queries import NEXT_RUN_MS, answer_columns
+from gaugeflow.plans.queries import NEXT_RUN_MS, answer_columns, event_requests
 from gaugeflow.schemas import DLQ
 from gaugeflow.sources.readers import read_events, read_requests
 from gaugeflow.sources.writers import start_stream
@@ -85,7 +85,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gateway(spark: SparkSession, sf_dir: str) -> str:
     """The request log arrives in two parts; the gateway stops between them and goes on from its checkpoint."""
     folder = _folder(spark, "admission")
-    log, clients = inputs.request_log(spark, sf_dir), inputs.clients(spark, sf_dir)
+    log, clients = event_requests(spark, sf_dir), inputs.clients(spark, sf_dir)
     before = F.col("received_at_ms") < NEXT_RUN_MS
     for part in (log.where(before), log.where(~before)):
         part.write.mode("append").parquet(f"{folder}/log")
