@@ -3,17 +3,19 @@
 An identifier found by a pattern is a protected entity. A term discloses an entity as far as their pointwise mutual
 information over the corpus reaches the entity's own information content: at ``REMOVE`` of it, reading the term is
 as good as reading the entity. Such terms are removed where they stand near the entity; terms between ``GENERALISE``
-and ``REMOVE`` are replaced by their kind. Probabilities are document frequencies over all documents.
+and ``REMOVE`` are replaced by their kind. Probabilities are document frequencies over all documents; of an entity's share
+among a term's documents the lower confidence bound counts, so an identifier of one document is judged like any other.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -23,8 +25,8 @@ from gaugeflow.materialize import written_table
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("general", "term")
 GENERALISE, REMOVE = 0.6, 0.9
-#: Documents in which a term must stand near an entity: below it the estimate is chance.
-SUPPORT = 3
+#: Confidence of the lower bound of the entity's share among a term's documents.
+CONFIDENCE = 0.85
 #: Words on each side of an identifier that are its context.
 REACH = 8
 #: Distinct words that a worker counts before it passes the counts on.
@@ -145,31 +147,50 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in blocks_of(batches):
         for text in batch.column("text").to_pylist():
-            counts.update(set(_TERM.findall((text or "").lower())))
+            counts.update({term.lower() for term in _TERM.findall(text or "")})
             if len(counts) > COUNTED:
                 yield passed_on()
     yield passed_on()
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): the share of the entity's information that the term discloses, from ``generalise`` on."""
+def at_least(hits: Column, trials: Column, share: Column, confidence: float = CONFIDENCE) -> Column:
+    """Whether the lower confidence bound of ``hits`` of ``trials`` reaches ``share``: Chernoff's bound on the relative entropy.
+
+    For hits in every trial it is (1 - confidence) ** (1 / trials). There is no least number of hits.
+    """
+    rate = hits / trials
+    rest = F.when(hits < trials, (trials - hits) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    return (rate > share) & (hits * F.log(rate / share) + rest >= -math.log(1 - confidence))
+
+
+def disclosing_terms(
+    docs: DataFrame, scanned: DataFrame, confidence: float = CONFIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
+) -> DataFrame:
+    """(entity, term, removed): terms that disclose ``generalise`` of the entity's information, or ``remove`` of it.
+
+    With P = P(entity | term) the share is 1 + log P / information, so a share s is reached where P reaches
+    P(entity) ** (1 - s).
+    """
     total = F.lit(scanned.count())
     pairs = scanned.select(F.explode("near").alias("pair")).groupBy("pair.entity", "pair.term").agg(F.count(F.lit(1)).alias("both"))
     entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     terms = docs.select("text").mapInArrow(_count_terms, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
-    information = F.log2(total / F.col("entity_docs"))
-    mutual = F.log2(F.col("both") * total / (F.col("entity_docs").cast("double") * F.col("term_docs")))
+    rarity = F.col("entity_docs") / total
+
+    def reached(share: float) -> Column:
+        return at_least(F.col("both"), F.col("term_docs"), F.pow(rarity, F.lit(1 - share)), confidence)
+
     return (
-        pairs.where(F.col("both") >= support)
-        .join(entities, "entity")
+        pairs.join(entities, "entity")
         .join(terms, "term")
-        .where(information > 0)
-        .select("entity", "term", (mutual / information).alias("share"))
-        .where(F.col("share") >= generalise)
+        .where((rarity < 1) & reached(generalise))
+        .select("entity", "term", reached(remove).alias("removed"))
     )
 
 
-def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, confidence: float = CONFIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
+) -> DataFrame:
     """(row, doc_id, n_email, n_ip, n_card, n_phone, base, terms) of every row of ``docs(doc_id, text, ...)``.
 
     ``base`` lists the identifiers as kind:start:end, ``terms`` the disclosing terms as an array of (start, end, kind).
@@ -183,22 +204,22 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: floa
         "entities array<long>, near array<struct<entity:long,term:string,places:string>>"
     )
     scanned = written_table(rows.mapInArrow(_scan, schema), "personal")
-    disclosing = disclosing_terms(docs, scanned, support, generalise)
+    disclosing = disclosing_terms(docs, scanned, confidence, generalise, remove)
     mentions = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("pair"))
     place = F.split(F.col("place"), ":")
     terms = (
         mentions.select("row", "pair.entity", "pair.term", "pair.places")
         .join(disclosing, ["entity", "term"])
-        .select("row", "share", F.explode(F.split("places", " ")).alias("place"))
+        .select("row", "removed", F.explode(F.split("places", " ")).alias("place"))
         .groupBy("row", "place")
-        .agg(F.max("share").alias("share"))
+        .agg(F.max("removed").alias("removed"))
         .groupBy("row")
         .agg(
             F.collect_list(
                 F.struct(
                     place[0].cast("int").alias("start"),
                     place[1].cast("int").alias("end"),
-                    F.when(F.col("share") >= remove, "term").otherwise("general").alias("kind"),
+                    F.when(F.col("removed"), "term").otherwise("general").alias("kind"),
                 )
             ).alias("terms")
         )

@@ -110,6 +110,15 @@ def test_op1(spark):
     assert pii.op1_pii(docs.limit(0)).count() == 0
 
 
+def test_terms_of_an_identifier_in_one_document(spark):
+    rows = [(0, "Wrote Quorvexil about it , mail only.once@rare.example.com now please")] + [(n, f"plain text wrote about mail now please {n}") for n in range(1, 400)]
+    text = rows[0][1]
+    spans = {r["doc_id"]: r["spans"] for r in pii.op1_pii(table(spark, rows)).collect()}
+    at = text.index("Quorvexil")
+    assert f"general:{at}:{at + 9}" in spans[0].split(",") and spans[0].count("general") == 1 and "term" not in spans[0]
+    assert set(spans[n] for n in range(1, 400)) == {""}
+
+
 def test_sanitise(spark):
     rows = [(n, person(n)) for n in range(9)] + [(50 + n, "plain text") for n in range(20)] + [(60, None), (61, ""), (None, "1.2.3.4 x"), (7, "+1 (415) 555-0132"), (7, "+1 (415) 555-0132")]
     docs = table(spark, rows)
