@@ -2,7 +2,7 @@
 
 An identifier found by a pattern is a protected entity. A term discloses an entity as far as their pointwise mutual
 information over the corpus reaches the entity's own information content: at ``REMOVE`` of it, reading the term is
-as good as reading the entity. Such terms are removed where they stand near the entity; terms between ``GENERALISE``
+as good as reading the entity. Such terms are removed wherever they stand in a document of the entity; terms between ``GENERALISE``
 and ``REMOVE`` are replaced by their kind. Probabilities are document frequencies over all documents; of an entity's share
 among a term's documents the lower confidence bound counts, so an identifier of one document is judged like any other.
 """
@@ -27,8 +27,6 @@ TERM_KINDS = ("general", "term")
 GENERALISE, REMOVE = 0.6, 0.9
 #: Confidence of the lower bound of the entity's share among a term's documents.
 CONFIDENCE = 0.85
-#: Words on each side of an identifier that are its context.
-REACH = 8
 #: Distinct words that a worker counts before it passes the counts on.
 COUNTED = 200_000
 
@@ -91,19 +89,12 @@ def entity(kind: str, found: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def contexts(text: str, spans: list[Span]) -> dict[tuple[int, str], list[tuple[int, int]]]:
-    """Places of the terms near each entity: up to ``REACH`` words on either side, outside all identifiers."""
-    if not spans:
-        return {}
-    outside = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(_blanked(text, spans))]
-    found: dict[tuple[int, str], list[tuple[int, int]]] = {}
-    at = 0
-    for lo, hi, kind in spans:
-        while at < len(outside) and outside[at][0] < lo:
-            at += 1
-        name = entity(kind, text[lo:hi])
-        for start, end, term in outside[max(0, at - REACH) : at + REACH]:
-            found.setdefault((name, term), []).append((start, end))
+def contexts(text: str, spans: list[Span]) -> dict[str, list[str]]:
+    """Places (start:end) of each term of a text with identifiers, outside all of them."""
+    found: dict[str, list[str]] = {}
+    if spans:
+        for m in _TERM.finditer(_blanked(text, spans)):
+            found.setdefault(m[0].lower(), []).append(f"{m.start()}:{m.end()}")
     return found
 
 
@@ -117,22 +108,21 @@ def _blanked(text: str, spans: list[Span]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Identifiers of each row, and (entity, term, places) near them."""
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("places", pa.string())]))
+    """Identifiers of each row, and (term, places) of the rows that have any."""
+    held = pa.list_(pa.struct([("term", pa.string()), ("places", pa.string())]))
     for batch in blocks_of(batches):
         out: list[tuple] = []
         for text in batch.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
             kinds = Counter(kind for _, _, kind in spans)
-            places = contexts(text, spans)
-            pairs = [{"entity": e, "term": t, "places": " ".join(f"{a}:{b}" for a, b in sorted(set(p)))} for (e, t), p in places.items()]
+            words = [{"term": t, "places": " ".join(p)} for t, p in contexts(text, spans).items()]
             names = sorted({entity(kind, text[lo:hi]) for lo, hi, kind in spans})
-            out.append((*(kinds[k] for k in KINDS), joined(spans), names, pairs))
-        kinds_of = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), near]
+            out.append((*(kinds[k] for k in KINDS), joined(spans), names, words))
+        kinds_of = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), held]
         columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds_of)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "entities", "near"]
+            [batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "entities", "words"]
         )
 
 
@@ -163,26 +153,39 @@ def at_least(hits: Column, trials: Column, share: Column, confidence: float = CO
     return (rate > share) & (hits * F.log(rate / share) + rest >= -math.log(1 - confidence))
 
 
+def candidate_terms(docs: DataFrame, scanned: DataFrame, total: int, rarity: float, generalise: float = GENERALISE) -> DataFrame:
+    """(row, entities, term, term_docs, places): terms rare enough to disclose an entity, in the rows that hold identifiers.
+
+    ``rarity`` is the largest share of documents that one entity has. A term in more than rarity ** generalise of them
+    can't reach ``generalise`` for any entity, as an entity has at most all of its own documents in common with it.
+    """
+    most = F.lit(total * rarity**generalise * (1 + 1e-9))
+    terms = docs.select("text").mapInArrow(_count_terms, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
+    words = scanned.select("row", "entities", F.explode("words").alias("word")).select("row", "entities", "word.term", "word.places")
+    return written_table(words.join(terms.where(F.col("term_docs") <= most), "term"), "personal-terms")
+
+
 def disclosing_terms(
-    docs: DataFrame, scanned: DataFrame, confidence: float = CONFIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
+    candidates: DataFrame, entities: DataFrame, total: int, confidence: float = CONFIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """(entity, term, removed): terms that disclose ``generalise`` of the entity's information, or ``remove`` of it.
 
     With P = P(entity | term) the share is 1 + log P / information, so a share s is reached where P reaches
-    P(entity) ** (1 - s).
+    P(entity) ** (1 - s). Both stand anywhere in the same document.
     """
-    total = F.lit(scanned.count())
-    pairs = scanned.select(F.explode("near").alias("pair")).groupBy("pair.entity", "pair.term").agg(F.count(F.lit(1)).alias("both"))
-    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    terms = docs.select("text").mapInArrow(_count_terms, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
-    rarity = F.col("entity_docs") / total
+    both = F.count(F.lit(1)).alias("both")
+    pairs = (
+        candidates.select(F.explode("entities").alias("entity"), "term", "term_docs")
+        .groupBy("entity", "term")
+        .agg(both, F.max("term_docs").alias("term_docs"))
+    )
+    rarity = F.col("entity_docs") / F.lit(total)
 
     def reached(share: float) -> Column:
         return at_least(F.col("both"), F.col("term_docs"), F.pow(rarity, F.lit(1 - share)), confidence)
 
     return (
         pairs.join(entities, "entity")
-        .join(terms, "term")
         .where((rarity < 1) & reached(generalise))
         .select("entity", "term", reached(remove).alias("removed"))
     )
@@ -195,24 +198,26 @@ def find_personal_data(
 
     ``base`` lists the identifiers as kind:start:end, ``terms`` the disclosing terms as an array of (start, end, kind).
     ``row`` is a digest of doc_id and text. Null texts are empty. Repeated rows stay, and each counts as a document. An empty
-    table gives an empty result; other columns are ignored. Terms of one entity are never gathered: rows meet terms by a
-    join on (entity, term), and one row's terms by its digest.
+    table gives an empty result; other columns are ignored. Terms of one entity are never gathered: words meet the counts of rare
+    terms by a join on the term, rows meet disclosing terms by one on (entity, term), and one row's terms by its digest.
     """
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), "text")
     schema = (
         "row string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-        "entities array<long>, near array<struct<entity:long,term:string,places:string>>"
+        "entities array<long>, words array<struct<term:string,places:string>>"
     )
     scanned = written_table(rows.mapInArrow(_scan, schema), "personal")
-    disclosing = disclosing_terms(docs, scanned, confidence, generalise, remove)
-    mentions = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("pair"))
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
+    total, largest = scanned.count(), entities.agg(F.max("entity_docs")).first()[0] or 0
+    candidates = candidate_terms(docs, scanned, total, largest / max(1, total), generalise)
+    disclosing = disclosing_terms(candidates, entities, total, confidence, generalise, remove)
     place = F.split(F.col("place"), ":")
     terms = (
-        mentions.select("row", "pair.entity", "pair.term", "pair.places")
+        candidates.select("row", F.explode("entities").alias("entity"), "term", "places")
         .join(disclosing, ["entity", "term"])
+        .groupBy("row", "term")
+        .agg(F.max("removed").alias("removed"), F.min("places").alias("places"))
         .select("row", "removed", F.explode(F.split("places", " ")).alias("place"))
-        .groupBy("row", "place")
-        .agg(F.max("removed").alias("removed"))
         .groupBy("row")
         .agg(
             F.collect_list(

@@ -119,6 +119,19 @@ def test_terms_of_an_identifier_in_one_document(spark):
     assert set(spans[n] for n in range(1, 400)) == {""}
 
 
+def test_terms_far_from_the_identifier(spark):
+    far = " ".join(["the plain of it"] * 30)
+    letter = f"Quorvexil writes . {far} mail only.once@rare.example.com {far} signed Quorvexil"
+    rows = [(n, letter) for n in range(12)] + [(n, far + " mail writes signed") for n in range(12, 400)]
+    found = pii.op1_pii(table(spark, rows)).where("doc_id < 12").collect()
+    places = [m.span() for m in re.finditer("Quorvexil", letter)]
+    assert len(places) == 2 and len(found) == 12
+    for r in found:
+        assert [s for s in r["spans"].split(",") if not s.startswith("email")] == [f"term:{lo}:{hi}" for lo, hi in places]
+    texts = {r["text"] for r in pii.sanitise(table(spark, rows)).where("doc_id < 12").collect()}
+    assert len(texts) == 1 and "Quorvexil" not in texts.pop()
+
+
 def test_sanitise(spark):
     rows = [(n, person(n)) for n in range(9)] + [(50 + n, "plain text") for n in range(20)] + [(60, None), (61, ""), (None, "1.2.3.4 x"), (7, "+1 (415) 555-0132"), (7, "+1 (415) 555-0132")]
     docs = table(spark, rows)
