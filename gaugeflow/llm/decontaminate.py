@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Items are cut into pieces of at most ``PIECE_WORDS`` words. The n-grams of all pieces are counted over the corpus, and
+Items of more than ``PIECE_WORDS`` words are cut into pieces of that size that overlap by half. The n-grams of all pieces are counted over the corpus, and
 each piece keeps its rarest three quarters as seeds: rarity only ranks a piece's own n-grams, so a passage that many documents
 share keeps seeds too. Where a document holds a seed, the words around it are aligned with the piece; the score is the
-best local alignment's share of a full match. Edited and paraphrased copies lose as much as they differ.
+best local alignment's share of a full match. Edited and paraphrased copies lose as much as they differ. An alignment worth
+``EXCERPT_WORDS`` matching words is a copy whatever its share of the piece, so parts of long items are found too: the
+overlap is longer than that, and such a part lies whole in one piece wherever it begins.
 
 Items are taken in blocks of ``BLOCK_WORDS`` words: what a task holds of them is bounded, and each block is one
 pass over all documents.
@@ -30,6 +32,8 @@ SEED_WORDS = 3
 LEAST_WORDS = 5
 PIECE_WORDS = 128
 BLOCK_WORDS = 200_000
+#: Matching words that make a copy of an item of any length.
+EXCERPT_WORDS = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 #: Seeds of a piece at least, if it has so many n-grams.
@@ -49,8 +53,9 @@ class Pieces:
 
     def add(self, item: int, words: list[str]) -> None:
         numbers = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64)
-        count = max(1, round(len(words) / PIECE_WORDS))
-        self.pieces += [(item, part) for part in np.array_split(numbers, count)]
+        last = max(0, len(numbers) - PIECE_WORDS)
+        starts = [*range(0, last, PIECE_WORDS // 2), last]
+        self.pieces += [(item, numbers[i : i + PIECE_WORDS]) for i in starts]
 
     def grams(self, numbers: np.ndarray) -> np.ndarray:
         """Code of the n-gram at each place, 0 where a word is unknown."""
@@ -179,12 +184,13 @@ def matches(block: Pieces, text: str, threshold: float = THRESHOLD) -> list[tupl
     best: dict[int, tuple[float, int, int]] = {}
     for piece, lo, hi in _windows(block, at, slots, len(words)):
         item, own = block.pieces[piece]
+        needed = min(threshold, EXCERPT_WORDS / len(own))
         window = numbers[lo:hi]
         shared = sum((Counter(own.tolist()) & Counter(window.tolist())).values())
-        if shared < threshold * len(own):  # no alignment can score more
+        if shared < needed * len(own):  # no alignment can score more
             continue
         score, end = alignment(own, window)
-        if score >= threshold and score > best.get(item, (0.0,))[0]:
+        if score >= needed and score > best.get(item, (0.0,))[0]:
             start = end - alignment(own[::-1], window[:end][::-1])[1]
             best[item] = (score, lo + start, lo + end)
     if not best:
@@ -211,7 +217,7 @@ def _finder(block: Pieces, threshold: float):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start, end) for every document and item of ``benchmark(item_id, text)`` that it copies.
 
-    Of an item with several matching places the best is given. Null and empty texts match nothing, nor do items of fewer than
+    Of an item with several matching places the best is given; a score below ``threshold`` is that of an excerpt. Null and empty texts match nothing, nor do items of fewer than
     ``LEAST_WORDS`` words; repeated documents and items match each. Empty tables give an empty result.
     """
     schema = "doc_id long, item_id long, score double, start int, end int"

@@ -249,6 +249,19 @@ def test_find_leaks(spark):
     assert leaks.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(8)
+    items = {1: words(rng, 300), 2: words(rng, 191), 3: words(rng, 1000)}
+    copies = [(1, 75, 225), (2, 40, 154), (1, 130, 182), (2, 0, 50), (2, 141, 191), *((3, at, at + 50) for at in range(0, 951, 19))]
+    rows = [(n, " ".join([*words(rng, 40), *items[i][lo:hi], *words(rng, 40)])) for n, (i, lo, hi) in enumerate(copies)]
+    rows += [(900 + n, " ".join([*words(rng, 60), *items[1][lo : lo + 25], *words(rng, 60)])) for n, lo in enumerate(range(0, 270, 30))]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = table(spark, rows)
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, benchmark).collect()}
+    assert found == {(n, i) for n, (i, _, _) in enumerate(copies)}
+    assert {r["doc_id"] for r in leaks.decontaminate(docs, benchmark).collect()} == {d for d, _ in rows if d >= 900}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted(tuple(r) for r in df.collect())
