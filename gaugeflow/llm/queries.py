@@ -11,6 +11,7 @@ from gaugeflow.llm.decontaminate import find_leaks
 from gaugeflow.llm.embeddings import near_vectors
 from gaugeflow.llm.packing import pack
 from gaugeflow.llm.pii import op1_pii
+from gaugeflow.llm.prefix_trie import op11_prefix_trie
 from gaugeflow.llm.quality import op5_quality
 from gaugeflow.llm.secrets import op10_secrets
 from gaugeflow.llm.sharding import shard_documents
@@ -37,6 +38,7 @@ LLM_QUERIES = {
     "op8_decontamination": _over(find_leaks, "documents", "benchmark"),
     "op9_embeddings": _over(near_vectors, "embeddings"),
     "op10_secrets": _over(op10_secrets, "documents"),
+    "op11_prefix_trie": _over(op11_prefix_trie, "conversations"),
 }
 
 _CHAT_SQL = """
@@ -98,4 +100,46 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN spans USING (row)
 """
 
-LLM_ORACLES = {"op3_chat": _CHAT_SQL, "op10_secrets": _SECRETS_SQL}
+_TRIE_SQL = """
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place, digest, points
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS points,
+               md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+sizes AS (
+  SELECT conv_id, max(place) AS total, conv_id - conv_id % 100 AS base,
+         xor(4294967295, list_reduce(list_transform(string_split('!' || CAST(conv_id AS VARCHAR), ''), lambda ch: CASE ch WHEN '!' THEN 4294967295 ELSE ord(ch)::BIGINT END),
+             lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 6 AS h
+  FROM ordered GROUP BY conv_id),
+plan AS (
+  SELECT s.conv_id, s.base, s.h, least(s.h, coalesce(b.total, 0)) AS taken,
+         least(s.h, coalesce(b.total, 0)) + greatest(s.total - s.h, 0) AS length
+  FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+rebuilt AS (
+  SELECT p.conv_id, o.place, o.digest, o.points FROM plan p JOIN ordered o ON o.conv_id = p.base AND o.place <= p.h
+  UNION ALL
+  SELECT p.conv_id, o.place - p.h + p.taken, o.digest, o.points FROM plan p JOIN ordered o ON o.conv_id = p.conv_id AND o.place > p.h),
+paths AS (
+  SELECT conv_id, 0 AS depth, '' AS node, NULL AS above, 0 AS points FROM plan
+  UNION ALL
+  SELECT conv_id, place, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY place)),
+         coalesce(md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), ''),
+         points FROM rebuilt),
+nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, any_value(points) AS points
+  FROM paths GROUP BY node),
+children AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT top AS node, CAST(sum((n.n_convs - 1) * n.points) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE c.node IS NULL) AS n_leaves
+  FROM below b JOIN nodes n ON n.node = b.node LEFT JOIN children c ON c.node = b.node GROUP BY top),
+ends AS (
+  SELECT a.node, string_agg(CAST(a.conv_id AS VARCHAR), ',' ORDER BY a.conv_id) AS ids
+  FROM paths a JOIN plan p ON p.conv_id = a.conv_id AND p.length = a.depth GROUP BY a.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.node = n.above LEFT JOIN children c ON c.node = n.node
+JOIN sums s ON s.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
+LLM_ORACLES = {"op3_chat": _CHAT_SQL, "op10_secrets": _SECRETS_SQL, "op11_prefix_trie": _TRIE_SQL}
