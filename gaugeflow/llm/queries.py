@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeflow.llm.alignment import op12_alignment
 from gaugeflow.llm.chat import rotate_perspectives
 from gaugeflow.llm.decontaminate import find_leaks
 from gaugeflow.llm.embeddings import near_vectors
@@ -13,6 +14,7 @@ from gaugeflow.llm.packing import pack
 from gaugeflow.llm.pii import op1_pii
 from gaugeflow.llm.prefix_trie import op11_prefix_trie
 from gaugeflow.llm.quality import op5_quality
+from gaugeflow.llm.quality_rules import op13_quality_rules
 from gaugeflow.llm.secrets import op10_secrets
 from gaugeflow.llm.sharding import shard_documents
 from gaugeflow.llm.simhash import op2_simhash
@@ -39,6 +41,8 @@ LLM_QUERIES = {
     "op9_embeddings": _over(near_vectors, "embeddings"),
     "op10_secrets": _over(op10_secrets, "documents"),
     "op11_prefix_trie": _over(op11_prefix_trie, "conversations"),
+    "op12_alignment": _over(op12_alignment, "documents"),
+    "op13_quality_rules": _over(op13_quality_rules, "documents", "labels"),
 }
 
 _CHAT_SQL = """
