@@ -18,6 +18,19 @@ def row_key(*columns: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(part, F.lit("")) for part in flagged]))
 
 
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as make it differ from all ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def fields_of(df: DataFrame) -> str:
+    """The schema of ``df`` as text, for rows that keep it."""
+    return ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in df.dtypes)
+
+
 def blocks_of(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds many more text bytes than ``TEXTS_AT_ONCE``."""
     for batch in batches:

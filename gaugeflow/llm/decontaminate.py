@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import blocks_of
+from gaugeflow.llm.common import blocks_of, fields_of
 
 SEED_WORDS = 3
 #: Shorter items say nothing: they are never matched.
@@ -236,8 +236,7 @@ def _clean_only(block: Pieces, threshold: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that copy an item; rows and columns that stay are unchanged."""
-    fields = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in docs.dtypes)
     out = docs
     for block in item_blocks(benchmark):
-        out = out.mapInArrow(_clean_only(with_seeds(docs, block), threshold), fields)
+        out = out.mapInArrow(_clean_only(with_seeds(docs, block), threshold), fields_of(docs))
     return out

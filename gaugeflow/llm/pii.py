@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from gaugeflow.llm.common import blocks_of, row_key
+from gaugeflow.llm.common import blocks_of, fields_of, free_name, row_key
 from gaugeflow.materialize import written_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -266,22 +266,26 @@ def sanitised(text: str, spans: list[Span]) -> str:
     return "".join([*parts, text[done:]])
 
 
-def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks_of(batches):
-        rows = zip(batch.column("text").to_pylist(), batch.column("_base").to_pylist(), batch.column("_terms").to_pylist())
-        texts = pa.array([text if text is None else sanitised(text, _all_spans(base or "", terms)) for text, base, terms in rows], pa.string())
-        names = [n for n in batch.schema.names if n not in ("_base", "_terms")]
-        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names)
+def _sanitise_by(base_name: str, terms_name: str):
+    def sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks_of(batches):
+            rows = zip(*(batch.column(n).to_pylist() for n in ("text", base_name, terms_name)))
+            texts = pa.array([text if text is None else sanitised(text, _all_spans(base or "", terms)) for text, base, terms in rows], pa.string())
+            names = [n for n in batch.schema.names if n not in (base_name, terms_name)]
+            yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names)
+
+    return sanitise
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; rows without any stay as they are, n_chars follows the text.
 
-    All rows and columns are returned; a null text stays null. Columns called _row, _base or _terms are not supported.
+    All rows and columns are returned, whatever the names of the other columns; a null text stays null. Repeated rows are
+    sanitised alike. An empty table gives an empty result.
     """
     found = find_personal_data(docs).where("base <> '' or terms is not null").dropDuplicates(["row"])
-    spans = found.select(F.col("row").alias("_row"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(spans, "_row", "left").drop("_row")
-    fields = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in docs.dtypes)
-    out = keyed.mapInArrow(_sanitise, fields)
+    row, base, terms = (free_name(docs.columns, name) for name in ("row", "base", "terms"))
+    spans = found.select(F.col("row").alias(row), F.col("base").alias(base), F.col("terms").alias(terms))
+    keyed = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text"))).join(spans, row, "left").drop(row)
+    out = keyed.mapInArrow(_sanitise_by(base, terms), fields_of(docs))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

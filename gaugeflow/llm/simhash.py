@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from gaugeflow.llm.buckets import compare_in_buckets, star_links
-from gaugeflow.llm.common import blocks_of, row_key
+from gaugeflow.llm.common import blocks_of, free_name, row_key
 from gaugeflow.llm.components import connected_components
 from gaugeflow.materialize import written_table
 
@@ -222,12 +222,17 @@ def simhash_components(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id, nulls last, then the smallest digest."""
+    """``docs`` with one row of each component: the one with the smallest doc_id, nulls last, then the smallest digest.
+
+    Null and empty texts are one component, of rows that are equal in doc_id and text one stays, and other columns stay as they
+    are whatever their names. An empty table gives an empty result.
+    """
     found = simhash_components(docs, blocks)
     leader = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = found.groupBy("root").agg(leader.alias("one")).select(F.col("one.row").alias("_row"))
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    row = free_name(docs.columns, "row")
+    kept = found.groupBy("root").agg(leader.alias("one")).select(F.col("one.row").alias(row))
+    keyed = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(kept, row).dropDuplicates([row]).select(*docs.columns)
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:

@@ -19,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from gaugeflow.llm.common import blocks_of
+from gaugeflow.llm.common import blocks_of, fields_of
 from gaugeflow.llm.labelled import TRAINING_ROWS, held_out, training_rows
 
 BUCKETS = 1 << 20
 #: Longer stretches without a sentence end are cut after this many words.
 SENTENCE_WORDS = 40
 #: Beginnings of a word that are features besides the word, in letters.
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5)
 #: A feature must occur in this many training documents.
 SUPPORT = 4
-EPOCHS, BATCHES, RATE, SHRINK, START = 24, 24, 0.4, 1e-4, -6.0
+EPOCHS, BATCHES, RATE, SHRINK, START = 24, 24, 0.4, 1e-4, -3.0
+#: Log-odds of every sentence where no document is labelled toxic.
+UNTRAINED = -30.0
 REMEMBERED = 200_000
 THRESHOLD = 0.5
 _END = re.compile(r"[.!?\n]+")
@@ -113,6 +115,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_noisy_or(features: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) -> ToxicityModel:
     """Sentence weights that make the noisy-or of each document likely; gradient steps with per-weight rates."""
+    if not labels.any():
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), UNTRAINED)
     weights = np.zeros(BUCKETS, np.float64)
     support = np.zeros(BUCKETS, np.int32)
     for own in features:
@@ -156,11 +160,11 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents, in one task. Without labels every sentence scores the starting bias."""
+    """Fit on at most ``rows`` labelled documents, in one task. Where no label is toxic no sentence is."""
     sample = training_rows(docs, labels, "toxic", rows).mapInArrow(_features, "doc_id long, y int, features binary, sizes binary")
     found = sample.repartition(1).mapInArrow(_fit, "bias double, weights binary").first()
     if found is None:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), START)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), UNTRAINED)
     return ToxicityModel(np.frombuffer(bytes(found["weights"]), np.float32), found["bias"])
 
 
@@ -185,7 +189,20 @@ def noisy_or(log_odds: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, log_odds).sum()))
 
 
-def _scores_with(model: ToxicityModel):
+def offending(log_odds: np.ndarray) -> np.ndarray:
+    """Numbers of the sentences that make a document toxic, ascending; none where the noisy-or is below the threshold.
+
+    They are the sentences that are toxic by themselves, or else the fewest whose own noisy-or reaches the threshold.
+    """
+    alone = np.flatnonzero(log_odds >= 0)
+    if len(alone) or not len(log_odds) or noisy_or(log_odds) < THRESHOLD:
+        return alone
+    order = np.argsort(-log_odds, kind="stable")
+    reached = -np.expm1(-np.cumsum(np.logaddexp(0, log_odds[order]))) >= THRESHOLD
+    return np.sort(order[: int(reached.argmax()) + 1] if reached.any() else order)
+
+
+def _scores_with(model: ToxicityModel, score_name: str, offending_name: str):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sentences_of = SentenceScorer(model)
         for batch in blocks_of(batches):
@@ -193,24 +210,26 @@ def _scores_with(model: ToxicityModel):
             for text in batch.column("text").to_pylist():
                 z = sentences_of(text)
                 score.append(noisy_or(z))
-                found = sentence_spans(text) if (z >= 0).any() else []
-                spans.append([{"start": lo, "end": hi} for (lo, hi), own in zip(found, z) if own >= 0])
+                named = offending(z)
+                found = sentence_spans(text) if len(named) else []
+                spans.append([{"start": found[k][0], "end": found[k][1]} for k in named])
             kept = [batch.column(i) for i in range(batch.num_columns)]
             spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), spans], [*batch.schema.names, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), spans], [*batch.schema.names, score_name, offending_name])
 
     return scores
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, score: str = "score", spans: str = "offending") -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``score`` and the ``offending`` sentences (start, end in code points).
 
-    Null and empty texts have no sentence and score 0. All rows and columns are returned; a column of ``docs`` that is
-    named like a new one gives way to it.
+    Null and empty texts have no sentence and score 0. Every document that scores ``THRESHOLD`` has offending sentences. All
+    rows and columns are returned; a column of ``docs`` that is named like a new one gives way to it, so name them otherwise
+    to keep it.
     """
-    rows = docs.drop("score", "offending")
-    fields = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_scores_with(model), f"{fields}, score double, offending array<struct<start:int,end:int>>")
+    rows = docs.drop(score, spans)
+    schema = f"{fields_of(rows)}, `{score}` double, `{spans}` array<struct<start:int,end:int>>"
+    return rows.mapInArrow(_scores_with(model, score, spans), schema)
 
 
 def op4_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
