@@ -1,8 +1,10 @@
 """A training corpus from raw documents: toxicity, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to the shared folder and reads it
-again as the next stage's documents. All stages but the last return the columns of documents. Nulls, empty tables, repeated
-rows and further columns are handled as each operator says.
+again as the next stage's documents. All stages but the last return the columns of documents, others included, whatever
+their names. An empty table passes as an empty table through every stage. Null and empty texts are not toxic, copy no
+item and hold no personal data; they are near-copies of each other, so one of them stays, and is packed as one end token. Rows with a
+null doc_id are judged like others; of rows equal in doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.common import free_name
 from gaugeflow.llm.decontaminate import decontaminate
 from gaugeflow.llm.packing import pack
 from gaugeflow.llm.pii import sanitise
@@ -21,11 +24,12 @@ from gaugeflow.materialize import written_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    score, spans = free_name(docs.columns, "score"), free_name(docs.columns, "offending")
+    return score_toxicity(docs, model, score, spans).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies."""
+    """One document of each group of near-copies: four-word shingles, four differing bits, as the operator's contract has it."""
     return keep_one(docs)
 
 
