@@ -30,6 +30,8 @@ from gaugeflow.materialize import written_table
 
 #: A tokens of a lane, about. A lane ends at the first common end among the next ``LOOK`` tokens, or goes on.
 LANE, LOOK = 512, 64
+#: Bytes of text that a worker aligns at once, besides one text that is longer: each has some fifty bytes of arrays.
+ALIGNED_AT_ONCE = 2_000_000
 #: Groups with more links than this are expanded by their distinct ids.
 LARGE = 64
 
@@ -261,7 +263,7 @@ def _chunk(ids: list, found: Aligned, both: Tokenizers) -> dict:
 def _chunks_with(path_a: str, path_b: str):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(path_a, path_b)
-        for batch in blocks_of(batches):
+        for batch in blocks_of(batches, at_once=ALIGNED_AT_ONCE):
             row = _chunk(batch.column("doc_id").to_pylist(), align(batch.column("text").to_pylist(), both), both)
             yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _CHUNK], schema=_CHUNK)
 
@@ -306,7 +308,7 @@ def op12_alignment(docs: DataFrame, path_a: str | None = None, path_b: str | Non
 
     A text that is null or empty, or whose tokens do not spell a space and the text, has no tokens: zeros and an empty
     digest. Repeated rows count as documents of their own, null ids stay null, and other columns are ignored. An empty table
-    gives an empty result. A row of the intermediate table holds up to 4 MB of texts, or one longer text.
+    gives an empty result. A row of the intermediate table is of up to 2 MB of texts, or one longer text.
     """
     path_a, path_b = _paths(path_a, path_b)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -329,7 +331,7 @@ def op12_alignment(docs: DataFrame, path_a: str | None = None, path_b: str | Non
 def _groups_with(path_a: str, path_b: str):
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(path_a, path_b)
-        for batch in blocks_of(batches):
+        for batch in blocks_of(batches, at_once=ALIGNED_AT_ONCE):
             found = align(batch.column("text").to_pylist(), both)
             groups = found.groups
             ids = batch.column("doc_id").take(pa.array(found.documents[found.owner]))

@@ -31,15 +31,15 @@ def fields_of(df: DataFrame) -> str:
     return ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in df.dtypes)
 
 
-def blocks_of(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that none holds many more text bytes than ``TEXTS_AT_ONCE``."""
+def blocks_of(batches: Iterable[pa.RecordBatch], text: str = "text", at_once: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that none holds many more text bytes than ``at_once``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
         begin, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > TEXTS_AT_ONCE:
+            if held and held + size > at_once:
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += size
