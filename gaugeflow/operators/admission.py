@@ -59,54 +59,31 @@ def _limit(checked: DataFrame, window_s: int, limit: int, max_group_rows: int) -
     )
 
 
-def admit(
-    requests: DataFrame,
-    clients: DataFrame,
-    *,
-    rate_limit: tuple[int, int] | None = None,
-    carry: Sequence[str] | None = None,
-    earlier: DataFrame | None = None,
-    max_key_rows: int = MAX_KEY_ROWS,
-    segment_rows: int = SEGMENT_ROWS,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """The answer to each request, as ``DISPOSITION`` rows.
+def before_limit(requests: DataFrame, clients: DataFrame) -> DataFrame:
+    """``requests`` with their client, violations and ``refusal`` (status, reason) by the rules before the rate limit."""
+    return rules.validate(attach_client(requests, clients)).withColumn(
+        "refusal", _before_limit(F.col("body"), F.col("body_kind"), F.col("api_key"))
+    )
 
-    Order: body size and JSON, API key, ``rate_limit`` (window seconds, limit; off by default), idempotency
-    key, earlier runs of the key, validation. Idempotency comes before validation and keeps 4xx answers too,
-    so a corrected body under the same key gets the old 400 again.
 
-    One shuffle on the idempotency key; the clients are broadcast while small. ``carry`` names the request
-    columns to keep, all by default: without the body, a count of answers shuffles a fraction of the bytes.
-    ``earlier`` are the runs of keys before these requests, as ``latest_runs`` gives them for ``ran(answers)``.
-    """
-    body, key = F.col("body"), F.col("idempotency_key")
-    columns = list(requests.columns if carry is None else carry)
-    state_columns = [c for c in STATE_COLUMNS if c not in columns]
-    checked = rules.validate(attach_client(requests, clients)).withColumn(
-        "refusal", _before_limit(body, F.col("body_kind"), F.col("api_key"))
-    )
-    if rate_limit is not None:
-        checked = _limit(checked, *rate_limit, max_group_rows)
-    gated = checked.withColumn("refusal", F.coalesce("refusal", _after_limit(key))).select(
+def gate(checked: DataFrame, columns: Sequence[str], limited: Column | None = None) -> DataFrame:
+    """``columns``, what the idempotency step reads, and the refusal by any rule before it. ``limited`` marks calls over the limit."""
+    refusal = F.col("refusal")
+    if limited is not None:
+        refusal = F.coalesce(refusal, F.when(limited, _refusal(429, "rate_limited")))
+    return checked.withColumn("refusal", F.coalesce(refusal, _after_limit(F.col("idempotency_key")))).select(
         *columns,
-        *state_columns,
+        *[c for c in STATE_COLUMNS if c not in columns],
         "client_id",
         "client_name",
         "refusal",
-        "errors",
         F.when(F.size("errors") > 0, 400).otherwise(F.coalesce("handler_status", F.lit(ACCEPTED))).alias("run_status"),
         F.to_json("errors").alias("run_errors"),
     )
-    decided = idempotency_outcomes(
-        gated,
-        status_col="run_status",
-        response_col="run_errors",
-        eligible=F.col("refusal").isNull(),
-        earlier=earlier,
-        large=large_keys(requests.where(is_uuid(key)), max_key_rows),
-        segment_rows=segment_rows,
-    )
+
+
+def answers(decided: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``DISPOSITION`` rows of gated requests whose idempotency outcome is known."""
     outcome, status, finished = F.col("outcome"), F.col("run_status"), F.col("duration_ms").isNotNull()
     code = (
         F.when(F.col("refusal").isNotNull(), F.col("refusal.status"))
@@ -114,18 +91,18 @@ def admit(
         .when(outcome == REPLAY, F.col("replay_status"))
         .when(finished, status)
     )
+    invalid = F.col("run_errors") != "[]"
     reason = (
         F.when(F.col("refusal").isNotNull(), F.col("refusal.reason"))
         .when(outcome == CONFLICT, "in_progress")
         .when(outcome == REPLAY, "replayed")
         .when(~finished, "unfinished")
         .when(status == ACCEPTED, "accepted")
-        .when(F.size("errors") > 0, "validation_failed")
+        .when(invalid, "validation_failed")
         .otherwise("handler_failed")
     )
-    errors = F.when((outcome == EXECUTE) & finished, F.col("errors")).when(
-        outcome == REPLAY, F.from_json("replay_response", ISSUES)
-    )
+    text = F.when((outcome == EXECUTE) & finished, F.col("run_errors")).when(outcome == REPLAY, F.col("replay_response"))
+    errors = F.from_json(text, ISSUES)
     return decided.select(
         *columns,
         "client_id",
@@ -137,6 +114,43 @@ def admit(
     )
 
 
+def admit(
+    requests: DataFrame,
+    clients: DataFrame,
+    *,
+    rate_limit: tuple[int, int] | None = None,
+    carry: Sequence[str] | None = None,
+    earlier: DataFrame | None = None,
+    max_key_rows: int = MAX_KEY_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """The answer to each request, as ``DISPOSITION`` rows.
+
+    Order: body size and JSON, API key, ``rate_limit`` (window seconds, limit; off by default), idempotency
+    key, earlier runs of the key, validation. Idempotency comes before validation and keeps 4xx answers too,
+    so a corrected body under the same key gets the old 400 again.
+
+    One shuffle on the idempotency key; the clients are broadcast while small. ``carry`` names the request
+    columns to keep, all by default: without the body, a count of answers shuffles a fraction of the bytes.
+    ``earlier`` are the runs of keys before these requests, as ``latest_runs`` gives them for ``ran(answers)``.
+    """
+    columns = list(requests.columns if carry is None else carry)
+    checked = before_limit(requests, clients)
+    if rate_limit is not None:
+        checked = _limit(checked, *rate_limit, max_group_rows)
+    decided = idempotency_outcomes(
+        gate(checked, columns),
+        status_col="run_status",
+        response_col="run_errors",
+        eligible=F.col("refusal").isNull(),
+        earlier=earlier,
+        large=large_keys(requests.where(is_uuid(F.col("idempotency_key"))), max_key_rows),
+        segment_rows=segment_rows,
+    )
+    return answers(decided, columns)
+
+
 def ran(dispositions: DataFrame) -> DataFrame:
     """Requests that executed, with ``outcome`` and ``run_errors``, from which ``latest_runs`` takes the state of each key."""
     executed = dispositions.where(F.col("reason").isin("accepted", "validation_failed", "handler_failed", "unfinished"))

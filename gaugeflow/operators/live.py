@@ -38,20 +38,57 @@ def live_totals(events: DataFrame, types: Sequence[str] = CARD_TYPES) -> DataFra
     return events.agg(F.count(F.lit(1)).alias("total_events"), *means)
 
 
+DAY_MS = 86_400_000
+
+
+def _shown(events: DataFrame, types: Sequence[str]) -> DataFrame:
+    # Events without a time come before all days.
+    day = F.coalesce(F.floor(F.col("timestamp") / DAY_MS), F.lit(-(2**40)))
+    counts = F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long")
+    shown = events.where(F.col("eventType").isin(*types))
+    return shown.select("id", "eventType", "timestamp", "value", day.alias("day"), counts.alias("counts"))
+
+
+def type_totals(events: DataFrame, types: Sequence[str] = CARD_TYPES, before: DataFrame | None = None) -> DataFrame:
+    """(eventType, total, events): sum and number of the values of each card type, ``before`` included.
+
+    Written, it is what the next run of ``running_type_avg`` takes as ``before``.
+    """
+    shown = _shown(events, types).select("eventType", F.col("value").alias("total"), F.col("counts").alias("events"))
+    everything = shown if before is None else shown.unionByName(before)
+    return everything.groupBy("eventType").agg(F.sum("total").cast(shown.schema["total"].dataType).alias("total"), F.sum("events").alias("events"))
+
+
 def running_type_avg(
-    events: DataFrame, types: Sequence[str] = CARD_TYPES, max_group_rows: int = MAX_GROUP_ROWS
+    events: DataFrame,
+    types: Sequence[str] = CARD_TYPES,
+    max_group_rows: int = MAX_GROUP_ROWS,
+    before: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean value of the card types after each of their events, in (timestamp, id) order."""
-    shown = events.where(F.col("eventType").isin(*types)).select("id", "eventType", "timestamp", "value")
+    """Mean value of the card types after each of their events, in (timestamp, id) order.
+
+    There are few types, so each is cut into days: running totals inside a day, plus the totals of the days before it, one row
+    per type and day. A day above ``max_group_rows`` is cut further. ``before`` are the totals of earlier events,
+    as ``type_totals`` gives them; with them a run needs to read the new days only.
+    """
+    shown = _shown(events, types)
     running = running_totals(
-        shown,
-        ["eventType"],
-        ["timestamp", "id", "value"],
-        {"total": F.col("value"), "events": F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long")},
-        max_group_rows,
+        shown, ["eventType", "day"], ["timestamp", "id", "value"], {"total": F.col("value"), "events": F.col("counts")}, max_group_rows
+    )
+    earlier = Window.partitionBy("eventType").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = (
+        shown.groupBy("eventType", "day")
+        .agg(F.sum("value").alias("day_total"), F.sum("counts").alias("day_events"))
+        .select("eventType", "day", F.sum("day_total").over(earlier).alias("before_total"), F.sum("day_events").over(earlier).alias("before_events"))
     )
-    mean = F.try_divide(F.col("total").cast("double"), F.col("events"))
-    return running.select("id", "eventType", "timestamp", mean.alias("running_avg"))
+    joined = running.join(days, ["eventType", "day"])
+    totals, counted = ["total", "before_total"], ["events", "before_events"]
+    if before is not None:
+        joined = joined.join(before.select("eventType", F.col("total").alias("run_total"), F.col("events").alias("run_events")), "eventType", "left")
+        totals, counted = [*totals, "run_total"], [*counted, "run_events"]
+    total, number = (sum((F.coalesce(c, F.lit(0)) for c in names), F.lit(0)) for names in (totals, counted))
+    mean = F.try_divide(total.cast("double"), number)
+    return joined.select("id", "eventType", "timestamp", mean.alias("running_avg"))
 
 
 def _last_seconds(seconds: DataFrame, series: int, n: int) -> int | None:

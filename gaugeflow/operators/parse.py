@@ -15,6 +15,12 @@ def decode_value(df: DataFrame, value_col: str = "value") -> DataFrame:
     return df.select(F.col(value_col).cast("string").alias("json_value"))
 
 
+def delivered_events(messages: DataFrame, schema: T.StructType = RAW_EVENT) -> DataFrame:
+    """Typed event columns of each topic message, with its ``partition`` and ``offset``."""
+    parsed = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("data"), "partition", "offset")
+    return parsed.select("data.*", "partition", "offset")
+
+
 def parse_events(df: DataFrame, schema: T.StructType = RAW_EVENT, value_col: str = "value") -> DataFrame:
     """Typed event columns of each message.
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.constants import DURATION_BOUNDS_SECONDS
-from gaugeflow.operators.ordered import MAX_GROUP_ROWS, running_totals
 from gaugeflow.operators.rules import is_measured_route
 
 LABELS = ("method", "route", "status_code")
@@ -71,28 +70,61 @@ def batch_duration_histogram(
     return histogram(batches, "duration_ms", (), bounds)
 
 
-def active_requests(log: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Requests in flight after each instant at which one started or finished.
+#: The sweep's buckets, and what its bucket totals are summed over in turn.
+SWEEP_BUCKET_MS, SWEEP_SPAN_MS = 60_000, 86_400_000
 
-    A request without a duration never finishes. Changes are summed per millisecond, map side, before they are
-    put in order.
-    """
+
+def _changes(log: DataFrame) -> DataFrame:
+    """(at_ms, change): requests started less requests finished, per millisecond; summed map side."""
     start, end = F.col("received_at_ms"), F.col("received_at_ms") + F.col("duration_ms")
-    changes = (
+    steps = F.array(
+        F.struct(start.alias("at_ms"), F.lit(1).cast("long").alias("change")),
+        F.struct(end.alias("at_ms"), F.lit(-1).cast("long").alias("change")),
+    )
+    return (
         measured(log)
-        .select(
-            F.explode(
-                F.array(
-                    F.struct(start.alias("at_ms"), F.lit(1).cast("long").alias("change")),
-                    F.struct(end.alias("at_ms"), F.lit(-1).cast("long").alias("change")),
-                )
-            ).alias("c")
-        )
+        .select(F.explode(steps).alias("c"))
         .select("c.*")
         .where("at_ms is not null")
         .groupBy("at_ms")
         .agg(F.sum("change").alias("change"))
-        .withColumn("scope", F.lit("all"))
     )
-    running = running_totals(changes, ["scope"], ["at_ms"], {"active": F.col("change")}, max_group_rows)
-    return running.select("at_ms", F.col("active").alias("active_requests"))
+
+
+def _blocks(changes: DataFrame, bucket_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Running sums inside time buckets, and each bucket's offset: the requests in flight when it begins.
+
+    A bucket has at most as many instants as milliseconds. Its sum and largest prefix are all that later steps need of it;
+    offsets are summed over the buckets of a span and then over the spans, so no window holds more than a span's
+    buckets or one row per span.
+    """
+    inside = Window.partitionBy("bucket").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = changes.withColumn("bucket", F.floor(F.col("at_ms") / bucket_ms)).withColumn("inside", F.sum("change").over(inside))
+    totals = running.groupBy("bucket").agg(
+        F.sum("change").alias("total"),
+        F.max(F.struct(F.col("inside").alias("prefix"), (-F.col("at_ms")).alias("later"))).alias("top"),
+    )
+    totals = totals.withColumn("span", F.floor(F.col("bucket") * bucket_ms / SWEEP_SPAN_MS))
+    before = lambda window: F.coalesce(F.sum("total").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = totals.groupBy("span").agg(F.sum("total").alias("total"))
+    spans = spans.select("span", before(Window.orderBy("span")).alias("span_offset"))
+    placed = totals.withColumn("in_span", before(Window.partitionBy("span").orderBy("bucket"))).join(spans, "span")
+    return running, placed.select("bucket", (F.col("span_offset") + F.col("in_span")).alias("offset"), "top")
+
+
+def active_requests(log: DataFrame, bucket_ms: int = SWEEP_BUCKET_MS) -> DataFrame:
+    """Requests in flight after each instant at which one started or finished, by a sweep in two phases.
+
+    A request without a duration never finishes; one without a start is not counted.
+    """
+    running, blocks = _blocks(_changes(log), bucket_ms)
+    joined = running.join(blocks.select("bucket", "offset"), "bucket")
+    return joined.select("at_ms", (F.col("offset") + F.col("inside")).cast("long").alias("active_requests"))
+
+
+def peak_requests(log: DataFrame, bucket_ms: int = SWEEP_BUCKET_MS) -> DataFrame:
+    """(at_ms, active_requests): the first instant with the most requests in flight; from the buckets' largest prefixes alone."""
+    _, blocks = _blocks(_changes(log), bucket_ms)
+    peak = F.max(F.struct((F.col("offset") + F.col("top.prefix")).alias("active"), F.col("top.later").alias("later")))
+    found = blocks.agg(peak.alias("peak")).where("peak is not null")
+    return found.select((-F.col("peak.later")).alias("at_ms"), F.col("peak.active").cast("long").alias("active_requests"))

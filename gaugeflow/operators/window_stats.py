@@ -105,6 +105,49 @@ def window_stats(
     return _batch(events, size, slide)
 
 
+def pane_window_stats(
+    events: DataFrame,
+    size: str = WINDOW_SIZE,
+    slide: str = WINDOW_SLIDE,
+    watermark: str = WATERMARK,
+    ahead: str = "1 day",
+) -> DataFrame:
+    """As ``window_stats`` of a stream, by two chained aggregations: of events into panes, then of finished panes into windows.
+
+    An event is in one pane of state, not in all windows that hold it: the panes are as long as the common divisor of size
+    and slide. A pane is passed on when the watermark has passed its end, and a window is emitted in append mode when it has passed
+    the window's. So lateness is decided by the pane: an event is dropped from all of its windows once its pane has ended
+    before the watermark, while ``window_stats`` still takes it into those of its windows that are open. Without
+    late events both give the same.
+    """
+    if duration_ms(slide) > duration_ms(size):
+        raise ValueError("the slide must not be longer than the window")
+    latest = F.unix_millis(F.current_timestamp()) + duration_ms(ahead)
+    timed = with_event_time(events.where(F.col("timestamp") <= latest)).withWatermark("event_time", watermark)
+    pane = f"{math.gcd(duration_ms(size), duration_ms(slide))} milliseconds"
+    panes = (
+        timed.groupBy(F.window("event_time", pane).alias("pane"), "eventType")
+        .agg(
+            F.sum("value").alias("total"),
+            F.count("value").alias("valued"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.count("id").alias("events"),
+        )
+        .select(F.window_time("pane").alias("pane_time"), "eventType", "total", "valued", "low", "high", "events")
+    )
+    return (
+        panes.groupBy(F.window("pane_time", size, slide), "eventType")
+        .agg(
+            F.try_divide(F.sum("total").cast("double"), F.sum("valued")).alias("avg_value"),
+            F.min("low").cast("double").alias("min_value"),
+            F.max("high").cast("double").alias("max_value"),
+            F.sum("events").alias("event_count"),
+        )
+        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "eventType", *STATS)
+    )
+
+
 def type_stats(events: DataFrame) -> DataFrame:
     """The same four aggregates per ``eventType`` over all events; a null type is its own group."""
     return events.groupBy("eventType").agg(

@@ -136,3 +136,54 @@ def request_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Da
             "CASE WHEN event_id % 59 = 0 THEN 500 ELSE 202 END AS handler_status",
         )
     )
+
+
+#: How the bodies of unusual requests differ, by event id modulo 12; others are plain.
+UNUSUAL = {
+    0: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, ',\"pad\":\"', repeat('p', 10240), '\"}')",
+    1: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, '.5}')",
+    2: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":-', ms, '}')",
+    3: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, ',\"metadata\":null}')",
+    4: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, ',\"metadata\":{\"a\":[1],\"b\":\"x\",\"c\":null}}')",
+    5: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, ',\"metadata\":[1]}')",
+    6: "''",
+    7: "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, ',\"metadata\":{\"a\":1,\"b\":true}}')",
+}
+_PLAIN_BODY = "concat('{\"deviceId\":\"', device, '\",\"eventType\":\"', event_type, '\",\"value\":1,\"timestamp\":', ms, '}')"
+
+
+def unusual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REQUEST_LOG rows, one per event under a key of its own: bodies too large, fractions, bad metadata, nothing at all."""
+    body = " ".join(f"WHEN {k} THEN {text}" for k, text in UNUSUAL.items())
+    events = spread(source_events(spark, sf_dir)).selectExpr("*", f"CAST({_MS} AS STRING) AS ms", f"{_DEVICE} AS device")
+    return events.selectExpr(
+        "event_id AS request_id",
+        "CAST(ms AS BIGINT) AS received_at_ms",
+        "concat('key_', CAST(user_id % 3 AS STRING)) AS api_key",
+        "'10.0.0.1' AS client_ip",
+        f"{_ID} AS idempotency_key",
+        "'POST' AS method",
+        "'/v1/events' AS route",
+        f"CASE event_id % 12 {body} ELSE {_PLAIN_BODY} END AS body",
+        "5L AS duration_ms",
+        "202 AS handler_status",
+    )
+
+
+def unusual_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOPIC rows whose values are the unusual bodies, or null."""
+    requests = unusual_requests(spark, sf_dir)
+    return requests.select(
+        "idempotency_key",
+        F.col("client_ip").alias("key"),
+        F.when(F.col("request_id") % 24 != 18, F.col("body")).alias("value"),
+        F.col("request_id").alias("offset"),
+    ).drop("idempotency_key")
+
+
+def in_parts(table: DataFrame, part: Column, parts: int, folder: str) -> None:
+    """Write ``table`` below ``folder`` as one file per part, each younger than the one before: a file stream takes them in turn."""
+    held = table.withColumn("__part", part)
+    for k in range(parts):
+        rows = held.where(F.col("__part") == k).drop("__part").coalesce(1)
+        rows.write.mode("append").parquet(folder)

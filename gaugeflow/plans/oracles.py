@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gaugeflow.plans.queries import LATEST_N, LOOKUP, RATE_LIMIT, RATE_WINDOW_S
+from gaugeflow.plans.stream_queries import LATE_CUTS_MS, LATE_EVERY
 
 _EVENTS = """
 ev AS (
@@ -148,7 +149,43 @@ stats AS (
   FROM spread GROUP BY window_start, event_type
 )"""
 
+# Bodies of unusual requests: what is wrong with each, and whether it can be stored as a message (it has no id).
+_UNUSUAL = f"""
+WITH {_EVENTS},
+cases AS (
+  SELECT *, e % 12 AS c, user_id % 3 AS grp FROM ev
+)"""
+
 BATCH_ORACLES: dict[str, str] = {
+    "active_requests_peak": f"""
+WITH {_LOG},
+changes AS (
+  SELECT received_at_ms AS at_ms, 1 AS change FROM log WHERE route = '/v1/events'
+  UNION ALL SELECT received_at_ms + duration_ms, -1 FROM log WHERE route = '/v1/events'
+),
+per_ms AS (SELECT at_ms, sum(change) AS change FROM changes GROUP BY at_ms)
+SELECT at_ms, CAST(sum(change) OVER (ORDER BY at_ms) AS BIGINT) AS active_requests FROM per_ms
+ORDER BY active_requests DESC, at_ms LIMIT 1""",
+    "admission_unusual": f"""
+{_UNUSUAL}
+SELECT e AS request_id, CASE WHEN c = 0 THEN 413 WHEN c IN (1, 2, 3, 4, 5, 6) THEN 400 ELSE 202 END AS status_code,
+       CASE WHEN c = 0 THEN 'payload_too_large' WHEN c IN (1, 2, 3, 4, 5, 6) THEN 'validation_failed' ELSE 'accepted' END AS reason,
+       CASE c WHEN 1 THEN 'timestamp' WHEN 2 THEN 'timestamp,timestamp' WHEN 3 THEN 'metadata' WHEN 4 THEN 'metadata.a,metadata.c'
+              WHEN 5 THEN 'metadata' WHEN 6 THEN 'deviceId,eventType,value,timestamp' ELSE '' END AS error_fields
+FROM cases""",
+    "dlq_unusual": f"""
+{_UNUSUAL},
+texts AS (
+  SELECT *, '{{"deviceId":"' || device || '","eventType":"' || event_type || '","value":1,"timestamp":' AS head FROM cases
+)
+SELECT CAST(e AS VARCHAR) AS key,
+       CASE WHEN e % 24 = 18 THEN NULL ELSE
+         CASE c WHEN 0 THEN head || ms || ',"pad":"' || repeat('p', 10240) || '"}}' WHEN 1 THEN head || ms || '.5}}'
+                WHEN 2 THEN head || '-' || ms || '}}' WHEN 3 THEN head || ms || ',"metadata":null}}'
+                WHEN 4 THEN head || ms || ',"metadata":{{"a":[1],"b":"x","c":null}}}}' WHEN 5 THEN head || ms || ',"metadata":[1]}}'
+                WHEN 6 THEN '' WHEN 7 THEN head || ms || ',"metadata":{{"a":1,"b":true}}}}' ELSE head || ms || '}}' END END AS value,
+       CASE WHEN c = 6 THEN 'empty message' ELSE 'id is not a UUID' END AS reason
+FROM texts""",
     "sliding_window_stats": f"{_WINDOWS} SELECT * FROM stats",
     "type_stats": f"""
 WITH {_EVENTS}
@@ -322,6 +359,7 @@ FROM messages""",
 }
 
 # Two runs with the state between them give what one run gives.
+BATCH_ORACLES["running_type_avg_incremental"] = BATCH_ORACLES["running_type_avg"]
 BATCH_ORACLES["idempotency_incremental"] = BATCH_ORACLES["idempotency_outcomes"]
 
 STREAM_ORACLES: dict[str, str] = {
@@ -333,7 +371,40 @@ SELECT * FROM stats WHERE window_end <= (SELECT make_timestamp(max(ms) * 1000) F
 {_FIRST}
 SELECT id, device AS device_id, event_type, amount AS value, ms AS "timestamp" FROM firsts""",
     "stream_dlq": BATCH_ORACLES["dlq_records"],
-    "stream_dedup": f"{_MESSAGES} SELECT DISTINCT id FROM messages WHERE e % 47 <> 0",
+    "stream_dedup": f"""
+{_MESSAGES}
+SELECT id, CASE WHEN e % 43 = 0 THEN substr(device, 1, 33) || 'xyz' ELSE device END AS "deviceId",
+       CASE WHEN e % 37 = 0 THEN repeat('x', 51) ELSE event_type END AS "eventType",
+       CASE WHEN e % 41 <> 0 THEN amount + copy END AS value, ms AS "timestamp", k AS metadata_k,
+       CAST(user_id % 8 AS INTEGER) AS partition, topic_offset AS "offset"
+FROM messages WHERE e % 47 <> 0
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY topic_offset) = 1""",
+    # A part's late events are judged by the watermark that its predecessor ran with: two days behind the parts before that one.
+    "stream_late_windows": f"""
+WITH {_EVENTS},
+parts AS (
+  SELECT *, least({" + ".join(f"CAST(ms >= {cut} AS INTEGER)" for cut in LATE_CUTS_MS)} + CAST(e % {LATE_EVERY} = 0 AS INTEGER),
+                  {len(LATE_CUTS_MS)}) AS part FROM ev
+),
+marks AS (SELECT p.part, max(b.ms) - 172800000 AS mark_ms FROM (SELECT DISTINCT part FROM parts) p LEFT JOIN parts b ON b.part < p.part - 1 GROUP BY p.part),
+spread AS (
+  SELECT parts.*, make_timestamp((ms - ms % 60000 - k.n * 60000) * 1000) AS window_start
+  FROM parts, (VALUES (0), (1), (2), (3), (4)) k(n)
+),
+kept AS (
+  SELECT s.* FROM spread s JOIN marks m ON m.part = s.part
+  WHERE m.mark_ms IS NULL OR window_start + INTERVAL 5 MINUTE > make_timestamp(m.mark_ms * 1000)
+)
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, event_type AS "eventType",
+       {_AVG} AS avg_value, CAST(min(value) AS DOUBLE) AS min_value, CAST(max(value) AS DOUBLE) AS max_value, count(id) AS event_count
+FROM kept WHERE window_start + INTERVAL 5 MINUTE <= (SELECT make_timestamp((max(ms) - 172800000) * 1000) FROM ev)
+GROUP BY window_start, event_type""",
+    "stream_rate_usage": BATCH_ORACLES["rate_usage"],
+    "stream_live_feed": f"SELECT value FROM ({BATCH_ORACLES['topic_records']})",
+    "stream_batch_histogram": f"""
+{_MESSAGES}, counted AS (
+  SELECT count(*) FILTER (reason IS NULL) AS processed, count(*) FILTER (reason IS NOT NULL) AS failed FROM messages)
+SELECT le, 2 AS duration_count, processed, failed FROM counted, (VALUES {_HISTOGRAM_ROWS}) b(bound, le)""",
     "stream_idempotency": f"""
 WITH RECURSIVE {_LOG},
 keyed AS (SELECT *, handler_status AS run_status FROM log WHERE run_key IS NOT NULL),
@@ -344,3 +415,6 @@ FROM state""",
     "stream_admission": BATCH_ORACLES["admission"],
     "stream_topic_records": BATCH_ORACLES["topic_records"],
 }
+
+# Without late events both ways give the same.
+STREAM_ORACLES["stream_window_stats_panes"] = STREAM_ORACLES["stream_window_stats"]

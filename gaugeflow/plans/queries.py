@@ -18,7 +18,7 @@ from gaugeflow.operators.idempotency import RESULT_COLUMNS, idempotency_outcomes
 from gaugeflow.operators.lookup import device_type_lookup, latest
 from gaugeflow.operators.parse import parse_events, with_event_time
 from gaugeflow.operators.rate import rate_usage
-from gaugeflow.operators.request_metrics import active_requests, duration_histogram, request_counts
+from gaugeflow.operators.request_metrics import active_requests, duration_histogram, peak_requests, request_counts
 from gaugeflow.operators.sequence import device_sequence
 from gaugeflow.operators.storage_rules import split_dlq, stored_events
 from gaugeflow.operators.window_stats import type_stats, window_stats
@@ -204,6 +204,10 @@ def in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active_requests(inputs.request_log(spark, sf_dir))
 
 
+def peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peak_requests(inputs.request_log(spark, sf_dir))
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = attach_client(inputs.request_log(spark, sf_dir), inputs.clients(spark, sf_dir))
     used = rate_usage(log.select("request_id", "received_at_ms", "client_id", "client_ip"), RATE_WINDOW_S, RATE_LIMIT)
@@ -218,6 +222,25 @@ def running_type_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.running_type_avg(inputs.raw_events(spark, sf_dir), inputs.CARD_STAND_INS)
 
 
+def running_type_avg_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in two runs; the second starts from the written totals of the first."""
+    events, before = inputs.raw_events(spark, sf_dir), F.col("timestamp") < NEXT_RUN_MS
+    first, second = events.where(before), events.where(~before)
+    totals = written_table(live.type_totals(first, inputs.CARD_STAND_INS), "type-totals")
+    means = live.running_type_avg(first, inputs.CARD_STAND_INS)
+    return means.unionByName(live.running_type_avg(second, inputs.CARD_STAND_INS, before=totals))
+
+
+def admission_unusual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answered = adm.admit(inputs.unusual_requests(spark, sf_dir), inputs.clients(spark, sf_dir), carry=("request_id",))
+    return answer_columns(answered).drop("client_id", "client_name", "source_request_id")
+
+
+def dlq_unusual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = split_dlq(inputs.unusual_messages(spark, sf_dir).withColumn("key", F.col("offset").cast("string")))[1]
+    return bad.select("key", "value", "reason")
+
+
 def live_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.live_log_lines(inputs.raw_events(spark, sf_dir))
 
@@ -257,9 +280,13 @@ BATCH_QUERIES: dict[str, Query] = {
     "request_counts": counts,
     "request_latency_histogram": latency_histogram,
     "active_requests": in_flight,
+    "active_requests_peak": peak,
     "rate_usage": usage,
     "live_cards": live_cards,
     "running_type_avg": running_type_avg,
+    "running_type_avg_incremental": running_type_avg_incremental,
+    "admission_unusual": admission_unusual,
+    "dlq_unusual": dlq_unusual,
     "live_log_lines": live_log_lines,
     "trailing_chart": trailing_chart,
     "device_sequence": sequence,

@@ -38,6 +38,9 @@ STORED_EVENT = T.StructType(
     ]
 )
 
+#: Stored events are laid out by the UTC date of their time; one without a valid time has none.
+EVENT_DATE = "event_date"
+
 CLIENT = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeflow.constants import RAW_TOPIC
-from gaugeflow.schemas import CLIENT, REQUEST_LOG, STORED_EVENT
+from gaugeflow.functions.eventtime import event_time
+from gaugeflow.schemas import CLIENT, EVENT_DATE, REQUEST_LOG, STORED_EVENT
 
 
 def read_raw_stream(
@@ -53,6 +55,16 @@ def read_requests(
     return reader.format(fmt).options(**options).schema(REQUEST_LOG).load(path)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The stored events."""
-    return spark.read.schema(STORED_EVENT).option("recursiveFileLookup", "true").parquet(path)
+def read_events(spark: SparkSession, path: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    """The stored events, optionally from ``from_ms`` up to but not including ``to_ms``.
+
+    A range opens the directories of its dates only; events whose time is no date are in none.
+    """
+    layout = T.StructType([*STORED_EVENT.fields, T.StructField("batch_id", T.LongType()), T.StructField(EVENT_DATE, T.DateType())])
+    events = spark.read.schema(layout).parquet(path)
+    day = lambda ms: F.to_date(event_time(F.lit(ms).cast("long")))
+    if from_ms is not None:
+        events = events.where((F.col(EVENT_DATE) >= day(from_ms)) & (F.col("timestamp") >= from_ms))
+    if to_ms is not None:
+        events = events.where((F.col(EVENT_DATE) <= day(to_ms)) & (F.col("timestamp") < to_ms))
+    return events.select(*STORED_EVENT.fieldNames())

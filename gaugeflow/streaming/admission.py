@@ -1,8 +1,9 @@
 """Continuous admission: each micro-batch of requests is answered, published and remembered.
 
-Every micro-batch writes its own ``batch_id=`` directories in overwrite mode and reads the runs of earlier batches only. A
-batch that is replayed after a failure decides as before and replaces what it wrote. Folder and checkpoint belong
-together: a new checkpoint counts its batches from zero and needs a new folder.
+The latest run of each idempotency key is keyed state: a micro-batch reads and writes the state of its own keys, whatever came
+before. Answers are written to ``batch_id=`` directories in overwrite mode, and topic records and live feed derive from the
+written answers, so a batch that is replayed after a failure decides as before and replaces what it wrote. Folder and
+checkpoint belong together: a new checkpoint has no state and counts its batches from zero, and needs a new folder.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeflow.constants import LOCK_SECONDS, RESPONSE_TTL_SECONDS
-from gaugeflow.operators.admission import admit, publish_payload, ran, to_topic_records
-from gaugeflow.operators.idempotency import RUN, latest_runs
-from gaugeflow.schemas import DISPOSITION
+from gaugeflow.constants import RATE_LIMIT, RATE_WINDOW_SECONDS
+from gaugeflow.operators.admission import answers, before_limit, gate, publish_payload, to_topic_records
+from gaugeflow.schemas import DISPOSITION, REQUEST_LOG
+from gaugeflow.sources.writers import start_stream
 from gaugeflow.streaming.aggregate import live_feed
+from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
+from gaugeflow.streaming.rate import stream_rate_usage
 
 _BATCH = T.StructField("batch_id", T.LongType())
-_RUNS = T.StructType([T.StructField("idempotency_key", T.StringType()), *RUN.fields, T.StructField("until", T.LongType())])
 _RECORD = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+LIMITED_LOG = T.StructType([*REQUEST_LOG.fields, T.StructField("limited", T.BooleanType())])
 
 Publish = Callable[[DataFrame, int], None]
 
@@ -35,66 +38,44 @@ def _table(spark: SparkSession, path: str, name: str, schema: T.StructType) -> D
     return spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(f"{path}/{name}")
 
 
-def _earlier_runs(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
-    """The latest run before this batch of each of its keys, with the time until which it can matter.
-
-    Runs that ended to matter before the batch's first request are skipped by the statistics of their files.
-    """
-    first_ms = batch.agg(F.min("received_at_ms")).first()[0]
-    alive = _table(batch.sparkSession, path, "runs", _RUNS).where(
-        (F.col("batch_id") < batch_id) & (F.col("until") > F.lit(first_ms).cast("long"))
-    )
-    latest = F.max_by(F.struct(*RUN.fieldNames(), "until"), "batch_id").alias("run")
-    return (
-        alive.join(batch.select("idempotency_key").distinct(), "idempotency_key", "left_semi")
-        .groupBy("idempotency_key")
-        .agg(latest)
-        .select("idempotency_key", "run.*")
-    )
+def create_tables(spark: SparkSession, path: str) -> None:
+    """Empty tables below ``path`` where there are none."""
+    for name, schema in (("dispositions", DISPOSITION), ("topic", _RECORD), ("feed", T.StructType([_RECORD["value"]]))):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(_partition(path, name, -1))
 
 
-def _new_runs(answers: DataFrame, earlier: DataFrame) -> DataFrame:
-    """The latest run of each key that executed. It matters at least as long as the run before it.
+def stream_admit(requests: DataFrame, clients: DataFrame) -> DataFrame:
+    """The answer to each request of a stream, as ``admit`` gives for a table, from keyed state.
 
-    Else a short run could be skipped as over while the longer one that it replaced is not.
+    A boolean column ``limited`` marks calls over the rate limit, see ``limited_requests``.
     """
-    runs = latest_runs(ran(answers), status_col="status_code", response_col="run_errors")
-    before = earlier.select("idempotency_key", F.col("until").alias("until_before"))
-    replays_until = F.when(F.col("status").between(200, 499), F.col("end") + RESPONSE_TTL_SECONDS * 1000)
-    until = F.greatest(F.col("start") + LOCK_SECONDS * 1000, replays_until, "until_before")
-    return runs.join(before, "idempotency_key", "left").withColumn("until", until).select(*_RUNS.fieldNames())
-
-
-def create_tables(spark: SparkSession, path: str) -> None:
-    """Empty tables below ``path`` where there are none."""
-    for name, schema in (("dispositions", DISPOSITION), ("topic", _RECORD), ("feed", _RECORD["value"]), ("runs", _RUNS)):
-        schema = schema if isinstance(schema, T.StructType) else T.StructType([schema])
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(_partition(path, name, -1))
+    limited = F.col("limited") if "limited" in requests.columns else None
+    columns = [c for c in requests.columns if c != "limited"]
+    gated = gate(before_limit(requests, clients), columns, limited)
+    flat = gated.withColumns({"refusal_status": F.col("refusal.status"), "refusal_reason": F.col("refusal.reason")}).drop("refusal")
+    decided = stream_idempotency_outcomes(
+        flat,
+        status_col="run_status",
+        response_col="run_errors",
+        eligible=F.col("refusal_reason").isNull(),
+        carry=flat.columns,
+    )
+    refusal = F.when(F.col("refusal_reason").isNotNull(), F.struct(F.col("refusal_status").alias("status"), F.col("refusal_reason").alias("reason")))
+    return answers(decided.withColumn("refusal", refusal), columns)
 
 
-def admit_batch(
-    batch: DataFrame, batch_id: int, clients: DataFrame, path: str, publish: Publish | None = None, **options: int
-) -> None:
-    """Answer one micro-batch; see ``run_admission``. The tables must exist."""
+def write_answers(batch: DataFrame, batch_id: int, path: str, publish: Publish | None = None) -> None:
+    """Write the answers of one micro-batch and what derives from them. The tables must exist."""
     spark = batch.sparkSession
-    batch = batch.persist()
-    earlier = _earlier_runs(batch, batch_id, path).persist()
-    try:
-        answers = admit(batch, clients, earlier=earlier, **options)
-        answers.write.mode("overwrite").parquet(_partition(path, "dispositions", batch_id))
-        # All that follows is read from the written answers, so that they agree.
-        written = spark.read.schema(answers.schema).parquet(_partition(path, "dispositions", batch_id))
-        _new_runs(written, earlier).write.mode("overwrite").parquet(_partition(path, "runs", batch_id))
-        payload = publish_payload(written)
-        live_feed(payload).write.mode("overwrite").parquet(_partition(path, "feed", batch_id))
-        records = to_topic_records(payload)
-        if publish is None:
-            records.write.mode("overwrite").parquet(_partition(path, "topic", batch_id))
-        else:
-            publish(records, batch_id)
-    finally:
-        earlier.unpersist()
-        batch.unpersist()
+    batch.write.mode("overwrite").parquet(_partition(path, "dispositions", batch_id))
+    # All that follows is read from the written answers, so that they agree.
+    payload = publish_payload(spark.read.schema(DISPOSITION).parquet(_partition(path, "dispositions", batch_id)))
+    live_feed(payload).write.mode("overwrite").parquet(_partition(path, "feed", batch_id))
+    records = to_topic_records(payload)
+    if publish is None:
+        records.write.mode("overwrite").parquet(_partition(path, "topic", batch_id))
+    else:
+        publish(records, batch_id)
 
 
 def run_admission(
@@ -104,14 +85,11 @@ def run_admission(
     checkpoint: str,
     trigger: dict | None = None,
     publish: Publish | None = None,
-    **options: int,
 ) -> StreamingQuery:
-    """Start the gateway over a stream of ``REQUEST_LOG`` rows.
+    """Start the gateway over a stream of ``REQUEST_LOG`` rows, or of ``LIMITED_LOG`` rows where calls are limited.
 
-    Below ``path`` each batch adds its answers (``dispositions``), topic records (``topic``), live feed (``feed``) and runs of
-    idempotency keys (``runs``). ``publish(records, batch_id)`` sends the records elsewhere instead of ``topic``; it is
-    called again when a batch is replayed. ``options`` are ``max_key_rows`` and ``segment_rows`` of ``admit``. The rate
-    limit is not offered: it counts calls of earlier batches.
+    Below ``path`` each batch adds its answers (``dispositions``), topic records (``topic``) and live feed (``feed``).
+    ``publish(records, batch_id)`` sends the records elsewhere instead of ``topic``; it is called again when a batch is replayed.
 
     Batches taken one after the other give what ``admit`` gives for the whole log, as long as no request comes in a
     later batch than its successors; such a one is decided from the state they left. Every request gets its answer.
@@ -119,12 +97,47 @@ def run_admission(
     create_tables(requests.sparkSession, path)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        admit_batch(batch, batch_id, clients, path, publish, **options)
+        write_answers(batch, batch_id, path, publish)
 
-    writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(answer)
+    found = stream_admit(requests.select(*[c for c in LIMITED_LOG.fieldNames() if c in requests.columns]), clients)
+    writer = found.select(*DISPOSITION.fieldNames()).writeStream.option("checkpointLocation", checkpoint).foreachBatch(answer)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def limited_requests(requests: DataFrame, clients: DataFrame, window_s: int = RATE_WINDOW_SECONDS, limit: int = RATE_LIMIT) -> DataFrame:
+    """``requests`` of a stream with ``limited``; only requests that reach the limiter are counted by it."""
+    checked = before_limit(requests, clients)
+    columns = requests.columns
+    reaching = checked.where(F.col("refusal").isNull()).select(*columns, "client_id")
+    counted = stream_rate_usage(reaching, window_s, limit).select(*columns, "limited")
+    return counted.unionByName(checked.where(F.col("refusal").isNotNull()).select(*columns, F.lit(False).alias("limited")))
+
+
+def run_limiter(
+    requests: DataFrame,
+    clients: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    window_s: int = RATE_WINDOW_SECONDS,
+    limit: int = RATE_LIMIT,
+) -> StreamingQuery:
+    """Start the limiter: every request goes on to ``path``, marked whether it is over the limit.
+
+    Callers and idempotency keys are two states that time out by the clock, which Spark keeps in two queries. ``run_admission`` takes
+    ``read_limited(spark, path)``; both together give what ``admit`` gives with ``rate_limit``.
+    """
+    spark = requests.sparkSession
+    spark.createDataFrame([], LIMITED_LOG).write.mode("ignore").parquet(path)
+    found = limited_requests(requests, clients, window_s, limit)
+    return start_stream(found.select(*LIMITED_LOG.fieldNames()), path, checkpoint, trigger=trigger)
+
+
+def read_limited(spark: SparkSession, path: str) -> DataFrame:
+    """What ``run_limiter`` wrote, as a stream."""
+    return spark.readStream.schema(LIMITED_LOG).parquet(path)
+
+
 def admitted(spark: SparkSession, path: str) -> DataFrame:
     """All answers that ``run_admission`` wrote."""
     return _table(spark, path, "dispositions", DISPOSITION).drop("batch_id")
@@ -133,3 +146,8 @@ def admitted(spark: SparkSession, path: str) -> DataFrame:
 def published(spark: SparkSession, path: str) -> DataFrame:
     """All topic records that ``run_admission`` wrote."""
     return _table(spark, path, "topic", _RECORD).drop("batch_id")
+
+
+def fed(spark: SparkSession, path: str) -> DataFrame:
+    """Everything that ``run_admission`` wrote for live subscribers."""
+    return _table(spark, path, "feed", T.StructType([_RECORD["value"]])).drop("batch_id")

@@ -1,17 +1,18 @@
-"""Idempotency outcomes on a stream of requests."""
+"""Idempotency outcomes on a stream of requests, from keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeflow.constants import LOCK_SECONDS, RESPONSE_TTL_SECONDS
 from gaugeflow.operators.idempotency import EXECUTE, REPLAY, RUN, decide_one
+from gaugeflow.streaming.keyed import ROW, arrived, travelling, unpacked
 
 OUTCOME = T.StructType(
     [
@@ -24,23 +25,34 @@ OUTCOME = T.StructType(
 )
 
 
+#: Groups over which requests without idempotency state are dealt.
+STATELESS_GROUPS = 1024
+
+
 def _whole(value: float | None) -> int | None:
     return None if value is None or value != value else int(value)
 
 
 def _on_requests(lock_ms: int, ttl_ms: int):
-    names = ("start", "request_id", "end", "status", "response", "arrived")
+    names = ("__start", "__request_id", "__end", "__status", "__response", "__arrived", ROW)
+    outputs = [ROW, *OUTCOME.fieldNames()]
 
     def on_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        if key[0].startswith("row:"):
+            # Requests that touch no state pass as they come, however many.
+            for pdf in batches:
+                passed = pd.DataFrame({ROW: pdf[ROW], "request_id": pdf["__request_id"]})
+                yield passed.assign(**dict.fromkeys(OUTCOME.fieldNames()[1:]))
+            return
         # Plain lists: most keys have one request, where pandas operations would cost more than the decision.
         requests = [row for pdf in batches for row in zip(*(pdf[name].tolist() for name in names), strict=True)]
         requests.sort(key=lambda row: row[:2])
         run = dict(zip(RUN.fieldNames(), state.get, strict=True)) if state.exists else None
         rows = []
-        for start, request_id, end, status, response, _ in requests:
+        for start, request_id, end, status, response, _, whole in requests:
             outcome = decide_one(run, start, lock_ms, ttl_ms)
             if outcome == EXECUTE:
                 run = {
@@ -51,13 +63,13 @@ def _on_requests(lock_ms: int, ttl_ms: int):
                     "response": response,
                 }
             replayed = (run["status"], run["response"]) if outcome == REPLAY else (None, None)
-            rows.append((request_id, outcome, run["request_id"], *replayed))
+            rows.append((whole, request_id, outcome, run["request_id"], *replayed))
         state.update(tuple(run.values()))
         # The run can matter until its response or its lock has expired, counted from its latest request.
         until = max(run["start"] + lock_ms, (run["end"] or 0) + ttl_ms)
         left = max(until - requests[-1][0], 1)
-        state.setTimeoutTimestamp(max(requests[-1][-1] + left, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=OUTCOME.fieldNames(), dtype=object)
+        state.setTimeoutTimestamp(max(requests[-1][5] + left, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=outputs, dtype=object)
 
     return on_requests
 
@@ -69,31 +81,43 @@ def stream_idempotency_outcomes(
     *,
     status_col: str = "handler_status",
     response_col: str | None = None,
+    eligible: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Outcome of each request of a stream, as ``idempotency_outcomes`` gives for a table.
+    """Outcome of each request of a stream, as ``idempotency_outcomes`` gives for a table, with the columns ``carry``.
 
-    The state of a key is its latest run. It is dropped by the clock, as long after the key's latest request as the
-    response had still to live. The watermark follows the arrival of requests, not their times, so none is late and
-    every request gets an answer. Requests are taken in order
-    within a micro-batch; one that comes in a later micro-batch than its successors is decided from the state they left.
-    A micro-batch bounds how many requests of one key are held at once; bound it with the source's options.
+    Requests without a key give no row; with ``eligible`` every request does, those that are not eligible or have no key or
+    time with a null outcome. The state of a key is its latest run. It is dropped by the clock, as long after the key's latest
+    request as the response had still to live. The watermark follows the arrival of requests, not their times, so none is late and
+    every request gets an answer. Requests are taken in order within a micro-batch; one that comes in a later micro-batch
+    than its successors is decided from the state they left. A micro-batch bounds how many requests of one key are held
+    at once; bound it with the source's options. What a micro-batch reads and writes of the state are its own keys.
     """
     start = F.col("received_at_ms").cast("long")
     response = F.col(response_col) if response_col else F.lit(None)
-    runs = (
-        requests.where(F.col("idempotency_key").isNotNull())
-        .select(
-            "idempotency_key",
-            F.col("request_id").cast("long").alias("request_id"),
-            start.alias("start"),
-            (start + F.col("duration_ms")).cast("long").alias("end"),
-            F.col(status_col).cast("int").alias("status"),
-            response.cast("string").alias("response"),
-            F.current_timestamp().alias("arrived_at"),
-            F.unix_millis(F.current_timestamp()).alias("arrived"),
-        )
-        .withWatermark("arrived_at", "1 second")
-    )
-    return runs.groupBy("idempotency_key").applyInPandasWithState(
-        _on_requests(lock_s * 1000, ttl_s * 1000), OUTCOME, RUN, "append", GroupStateTimeout.EventTimeTimeout
+    keyed = F.col("idempotency_key").isNotNull() & start.isNotNull()
+    group = F.concat(F.lit("key:"), "idempotency_key")
+    if eligible is None:
+        requests = requests.where(keyed)
+    else:
+        dealt = F.pmod(F.xxhash64("request_id", "received_at_ms", "idempotency_key"), F.lit(STATELESS_GROUPS)).cast("string")
+        group = F.when(keyed & F.coalesce(eligible, F.lit(False)), group).otherwise(F.concat(F.lit("row:"), dealt))
+    carry = [c for c in carry if c != "request_id"]
+    runs = requests.select(
+        group.alias("__group"),
+        F.col("request_id").cast("long").alias("__request_id"),
+        start.alias("__start"),
+        (start + F.col("duration_ms")).cast("long").alias("__end"),
+        F.col(status_col).cast("int").alias("__status"),
+        response.cast("string").alias("__response"),
+        F.current_timestamp().alias("__arrived_at"),
+        F.unix_millis(F.current_timestamp()).alias("__arrived"),
+        travelling(carry) if carry else F.lit(None).cast("string").alias(ROW),
+    ).withWatermark("__arrived_at", "1 second")
+    schema = T.StructType([T.StructField(ROW, T.StringType()), *OUTCOME.fields])
+    found = runs.groupBy("__group").applyInPandasWithState(
+        _on_requests(lock_s * 1000, ttl_s * 1000), schema, RUN, "append", GroupStateTimeout.EventTimeTimeout
     )
+    if not carry:
+        return found.select(*OUTCOME.fieldNames())
+    return unpacked(found, requests, carry).select(*OUTCOME.fieldNames(), *arrived(carry))

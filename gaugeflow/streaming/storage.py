@@ -1,7 +1,7 @@
 """Storage consumer: each message stored once by id, bad messages to the dead letters.
 
-Every micro-batch writes its own ``batch_id=`` directory in overwrite mode and compares with the other
-directories only. A batch that is replayed after a failure therefore replaces what it wrote before. One writer
+Every micro-batch writes its own ``batch_id=`` directory in overwrite mode, cut by event date and sorted by device and type, and
+compares with the other batches' ids only. A batch that is replayed after a failure therefore replaces what it wrote before. One writer
 per table: two streams into one table could both store an id.
 """
 
@@ -11,21 +11,19 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeflow.operators.dedup import dedup_first, new_only
+from gaugeflow.functions.eventtime import event_time
+from gaugeflow.operators.dedup import dedup_first
 from gaugeflow.operators.storage_rules import stored_events, with_stored_columns
-from gaugeflow.schemas import STORED_EVENT
+from gaugeflow.schemas import EVENT_DATE, STORED_EVENT
 from gaugeflow.sources.writers import write_dlq
+from gaugeflow.streaming.membership import remember, stored_ids
 
-_TABLE = T.StructType([*STORED_EVENT.fields, T.StructField("batch_id", T.LongType())])
 
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """The table, created empty when missing."""
-    spark.createDataFrame([], STORED_EVENT).write.mode("ignore").parquet(path)
-    return spark.read.schema(_TABLE).parquet(path)
+def index_of(path: str) -> str:
+    """Folder of the index of stored ids beside the table."""
+    return f"{path}_ids"
 
 
 def store_events(
@@ -33,38 +31,41 @@ def store_events(
 ) -> None:
     """Insert the batch's events whose id is not stored; the first of equal ids in ``order`` wins.
 
-    Without ``horizon`` the batch is compared with every stored id. Where redeliveries are known to come within
-    a time, ``horizon`` (such as ``"7 days"``) limits the comparison to rows loaded since: ``created_at`` is
-    the same in a whole file, so older files are skipped by their statistics.
+    Stored ids are found by the index beside the table: Bloom filters name the files of ids that may hold one of the
+    batch's, and only these are read. ``horizon`` (such as ``"7 days"``) leaves out batches loaded before, where redeliveries are
+    known to come within that time.
     """
-    spark = batch.sparkSession
-    others = _stored(spark, path).where(F.col("batch_id") != batch_id)
-    if horizon:
-        others = others.where(F.col("created_at") >= F.current_timestamp() - F.expr(f"INTERVAL {horizon}"))
-    firsts = dedup_first(batch, "id", order).drop(*order).persist()
+    firsts = dedup_first(batch, "id", order).drop(*[c for c in order if c not in STORED_EVENT.fieldNames()]).persist()
     try:
-        fresh = new_only(firsts, others, batch_rows=firsts.count())
+        fresh = firsts.join(stored_ids(firsts.select("id"), batch_id, index_of(path), horizon), "id", "left_anti")
         (
             fresh.withColumn("created_at", F.current_timestamp())
             .select(*[f.name for f in STORED_EVENT])
-            .sortWithinPartitions("device_id", "event_type", "timestamp")
-            .write.mode("overwrite")
+            .withColumn(EVENT_DATE, F.to_date(event_time(F.col("timestamp"))))
+            .hint("rebalance", EVENT_DATE)
+            .sortWithinPartitions(EVENT_DATE, "device_id", "event_type", "timestamp")
+            .write.partitionBy(EVENT_DATE)
+            .mode("overwrite")
             .parquet(f"{path}/batch_id={batch_id}")
         )
+        remember(batch.sparkSession.read.schema("id string").parquet(f"{path}/batch_id={batch_id}"), batch_id, index_of(path))
     finally:
         firsts.unpersist()
 
 
+def _store_held(checked: DataFrame, batch_id: int, path: str, dlq_path: str, horizon: str | None = None) -> None:
+    order = [c for c in ("partition", "offset") if c in checked.columns]
+    good = stored_events(checked.where(F.col("reason").isNull()), *order)
+    write_dlq(checked.where(F.col("reason").isNotNull()), f"{dlq_path}/batch_id={batch_id}", mode="overwrite")
+    # Messages without a place in the topic are ordered by what they hold, so that a replay stores the same one.
+    store_events(good, batch_id, path, order or [c for c in good.columns if c != "id"], horizon)
+
+
 def store_checked(checked: DataFrame, batch_id: int, path: str, dlq_path: str, horizon: str | None = None) -> None:
     """One checked micro-batch: good rows to the table, bad rows to the dead letters."""
-    order = [c for c in ("partition", "offset") if c in checked.columns]
-    if not order:
-        checked, order = checked.withColumn("__arrival", F.monotonically_increasing_id()), ["__arrival"]
     checked = checked.persist()
     try:
-        good = stored_events(checked.where(F.col("reason").isNull()), *order)
-        write_dlq(checked.where(F.col("reason").isNotNull()), f"{dlq_path}/batch_id={batch_id}", mode="overwrite")
-        store_events(good, batch_id, path, order, horizon)
+        _store_held(checked, batch_id, path, dlq_path, horizon)
     finally:
         checked.unpersist()
 
@@ -99,7 +100,7 @@ def run_storage(
         batch = batch.persist()
         try:
             begun = time.monotonic()
-            store_checked(batch, batch_id, path, dlq_path, horizon)
+            _store_held(batch, batch_id, path, dlq_path, horizon)
             if log_path:
                 took = F.lit(round((time.monotonic() - begun) * 1000)).cast("long").alias("duration_ms")
                 good, bad = (F.count_if(test).alias(name) for test, name in ((F.col("reason").isNull(), "processed"), (F.col("reason").isNotNull(), "failed")))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from gaugeflow.operators import live
+from pyspark.sql import functions as F
 from telemetry import D, T, U
 
 LAYOUT = "id string, deviceId string, eventType string, value double, timestamp long"
@@ -39,6 +40,26 @@ def test_running_mean(spark, max_group_rows):
     assert {r.id: r.running_avg for r in out.collect()} == expected
 
 
+def test_running_mean_over_days_and_runs(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["temperature", "cpu_usage"]), rng.choice([None, float(rng.randrange(50))]), T + rng.randrange(6 * 86_400_000)) for _ in range(200)]
+    rows += [("temperature", 5.0, None)]
+    events = frame(spark, rows)
+    whole = {r.id: r.running_avg for r in live.running_type_avg(events).collect()}
+    sums, expected = {}, {}
+    for i, (kind, value, _) in sorted(enumerate(rows), key=lambda r: (r[1][2] or 0, r[0])):
+        total, n = sums.get(kind, (0.0, 0))
+        sums[kind] = total, n = (total + (value or 0.0), n + (value is not None))
+        expected[U(i)] = total / n if n else None
+    assert whole == expected
+    cut, seen, before = [T + k * 86_400_000 for k in (1, 3, 4, 9)], {}, None
+    for lo, hi in zip([0, *cut], cut):
+        part = events.where(F.coalesce("timestamp", F.lit(0)).between(lo, hi - 1))
+        seen |= {r.id: r.running_avg for r in live.running_type_avg(part, before=before).collect()}
+        before = spark.createDataFrame(live.type_totals(part, before=before).collect(), "eventType string, total double, events long")
+    assert seen == expected
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_trailing_chart(spark, seed):
     rng = random.Random(seed)

@@ -8,6 +8,7 @@ from gaugeflow.operators.ordered import running_totals
 from gaugeflow.operators.rate import rate_usage
 from gaugeflow.operators.request_metrics import (
     active_requests,
+    peak_requests,
     batch_duration_histogram,
     duration_histogram,
     request_counts,
@@ -70,8 +71,8 @@ def test_rate_usage(spark, max_group_rows):
     assert any(limited for *_, limited in expected.values())
 
 
-@pytest.mark.parametrize("max_group_rows", SIZES)
-def test_active_requests(spark, max_group_rows):
+@pytest.mark.parametrize("bucket_ms", [1, 7, 60_000])
+def test_active_requests(spark, bucket_ms):
     rng = random.Random(5)
     rows = [
         request(i, received_at_ms=T + rng.randrange(500), duration_ms=rng.choice([None, 0, 3, 70]),
@@ -91,7 +92,13 @@ def test_active_requests(spark, max_group_rows):
     for at in sorted(change):
         running += change[at]
         expected[at] = running
-    assert {r.at_ms: r.active_requests for r in active_requests(log, max_group_rows).collect()} == expected
+    assert {r.at_ms: r.active_requests for r in active_requests(log, bucket_ms).collect()} == expected
+    most = max(expected.values())
+    assert [tuple(r) for r in peak_requests(log, bucket_ms).collect()] == [(min(at for at, n in expected.items() if n == most), most)]
+    assert active_requests(log.where("false")).count() == peak_requests(log.where("false")).count() == 0
+    plan = active_requests(log)._jdf.queryExecution().optimizedPlan().toString()
+    # The window over raw instants is one per bucket; only span totals are ordered as a whole.
+    assert plan.count("Window") == 3 and "windowspecdefinition(bucket" in plan
 
 
 def test_request_metrics(spark):

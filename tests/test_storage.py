@@ -1,11 +1,15 @@
 """What is stored, what is dead-lettered, and replays."""
 
+import os
+
 import pytest
 from gaugeflow.operators.counters import pipeline_counters
 from gaugeflow.operators.dedup import dedup_first, new_only
 from gaugeflow.operators.lookup import device_type_lookup, latest
 from gaugeflow.operators.storage_rules import split_dlq, stored_events
+from gaugeflow.schemas import STORED_EVENT
 from gaugeflow.sources.readers import read_events
+from gaugeflow.streaming import membership
 from gaugeflow.streaming.storage import store_batch
 from pyspark.sql import functions as F
 from telemetry import D, T, U, message
@@ -121,3 +125,58 @@ def test_lookups(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert f"EqualTo(device_id,{D(1)})" in plan and "EqualTo(event_type,b)" in plan
     assert "TakeOrderedAndProject" in latest(events, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def ids(spark, *numbers):
+    return spark.createDataFrame([(U(n),) for n in numbers], "id string")
+
+
+def test_index_opens_only_files_that_may_hold_an_id(spark, tmp_path):
+    folder = str(tmp_path / "ids")
+    assert membership.files_to_open(ids(spark, 1), 0, folder) == []
+    for batch_id in range(4):
+        membership.remember(ids(spark, *range(1000 * batch_id, 1000 * batch_id + 700)), batch_id, folder)
+    files = [f for _, _, names in os.walk(folder + "/files") for f in names if f.endswith(".parquet")]
+    assert len(files) == 4 * membership.BUCKETS
+    # New ids open nothing, a stored one the file it is in, and a batch does not see itself.
+    assert membership.files_to_open(ids(spark, *range(50_000, 52_000)), 9, folder) == []
+    one = membership.files_to_open(ids(spark, 2005, 60_000), 9, folder)
+    assert len(one) == 1 and "/batch_id=2/" in one[0]
+    assert membership.files_to_open(ids(spark, 2005), 2, folder) == []
+    asked = ids(spark, 5, 699, 700, 1005, 3699, 3700, 60_000)
+    found = membership.stored_ids(asked, 9, folder)
+    assert sorted(r.id for r in found.collect()) == [U(5), U(699), U(1005), U(3699)]
+    assert len(found.inputFiles()) == len(membership.files_to_open(asked, 9, folder)) <= 4
+    # Null and empty.
+    assert membership.stored_ids(spark.createDataFrame([(None,)], "id string"), 9, folder).count() == 0
+    membership.remember(ids(spark).where("false"), 7, folder)
+    assert membership.stored_ids(asked, 9, folder).count() == 4
+
+
+def test_compacted_index(spark, tmp_path):
+    folder = str(tmp_path / "ids")
+    for batch_id in range(5):
+        membership.remember(ids(spark, *range(100 * batch_id, 100 * batch_id + 100)), batch_id, folder)
+    membership.compact(spark, folder, 4)
+    asked = ids(spark, *range(0, 700, 7))
+    assert sorted(r.id for r in membership.stored_ids(asked, 9, folder).collect()) == [U(n) for n in range(0, 500, 7)]
+    assert {f.split("/batch_id=")[1].split("/")[0] for f in membership.files_to_open(asked, 9, folder)} == {"3", "4"}
+    # The latest batch is replayed with fewer ids.
+    membership.remember(ids(spark, 401), 4, folder)
+    assert sorted(r.id for r in membership.stored_ids(ids(spark, 1, 400, 401), 9, folder).collect()) == [U(1), U(401)]
+
+
+def test_a_range_of_time_opens_its_dates_only(spark, tmp_path):
+    path, day = str(tmp_path / "events"), 86_400_000
+    texts = [message(id=U(i), deviceId=D(i % 3), timestamp=T + i * day) for i in range(8)] + [message(id=U(99), timestamp=2**62)]
+    store_batch(batch(spark, *texts), 0, path, str(tmp_path / "dlq"))
+    assert read_events(spark, path).count() == 9 and read_events(spark, path).columns == STORED_EVENT.fieldNames()
+    found = read_events(spark, path, T + 2 * day, T + 4 * day + 1)
+    assert sorted(r.id for r in found.collect()) == [U(2), U(3), U(4)]
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(event_date" in scan and "PushedFilters" in scan
+    read = found.select("id").inputFiles()
+    assert len(read) == 9  # the files of the table; those of other dates are pruned when it runs
+    metrics = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    found._jdf.queryExecution().executedPlan().executeCollect()
+    assert metrics.apply("numPartitions").value() == 3 and metrics.apply("numFiles").value() == 3

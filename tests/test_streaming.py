@@ -7,14 +7,16 @@ import random
 import pytest
 from gaugeflow.operators.admission import publish_payload, to_topic_records
 from gaugeflow.operators.idempotency import idempotency_outcomes
-from gaugeflow.operators.parse import parse_events
+from gaugeflow.operators.parse import delivered_events, parse_events
+from gaugeflow.operators.rate import rate_usage
 from gaugeflow.operators.request_metrics import batch_duration_histogram
-from gaugeflow.operators.window_stats import window_stats
+from gaugeflow.operators.window_stats import pane_window_stats, window_stats
 from gaugeflow.sources.readers import read_events, read_raw_stream, read_requests
 from gaugeflow.sources.writers import start_stream, write_topic, write_topic_stream
 from gaugeflow.streaming.aggregate import live_feed, start_live_totals, stream_window_stats, write_window_stats
-from gaugeflow.streaming.dedup import dedup_stream
+from gaugeflow.streaming.dedup import dedup_stream, first_deliveries
 from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
+from gaugeflow.streaming.rate import stream_rate_usage
 from gaugeflow.streaming.storage import batch_log, run_storage
 from gaugeflow.schemas import REQUEST_LOG, WINDOW_STATS
 from pyspark.sql import functions as F
@@ -214,3 +216,70 @@ def test_requests_topic_and_live_feed(spark, tmp_path):
     query = start_live_totals(parse_events(raw), "cards", trigger=ONCE)
     query.awaitTermination()
     assert tuple(spark.table("cards").first()) == (5, "24.5", None)
+
+
+def test_first_deliveries(spark, tmp_path):
+    """Whatever the micro-batches, the first delivery by partition and offset stays, with all its columns."""
+    def sent(n, minute, value, offset, partition=0):
+        return (message(id=U(n), value=value, timestamp=T + minute * MINUTE, metadata={"k": "é", "n": offset}), partition, offset)
+
+    parts = [
+        [sent(1, 0, 2.0, 2**60 + 7), sent(1, 3, 1.0, 2**60 + 5), sent(2, 0, 5.0, None), sent(2, 0, 6.0, 9), sent(3, 0, 7.0, 4, 1), sent(3, 0, 8.0, 5, 0)],
+        [sent(1, 9, 3.0, 1), sent(4, 9, 4.0, 2**60 + 1), ("bad", 0, 3), (message(drop=("id",)), 0, 4)],
+        [sent(4, 10, 9.0, 3), sent(9, 3 * 24 * 60, 1.0, 6)],
+        # Three days on, the first id counts as new again; an event before the watermark is late.
+        [sent(1, 3 * 24 * 60, 4.0, 8), sent(5, 0, 1.0, 9)],
+    ]
+    kept = {(1, 1.0, 2**60 + 5), (2, 5.0, None), (3, 8.0, 5), (4, 4.0, 2**60 + 1), (9, 1.0, 6), (1, 4.0, 8)}
+    for files in (False, True):
+        folder = tmp_path / str(files)
+        for rows in parts:
+            spark.createDataFrame(rows, "value string, partition int, offset long").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            if not files:
+                stream = spark.readStream.schema("value string, partition int, offset long").parquet(f"{folder}/in")
+                out = first_deliveries(delivered_events(stream))
+                start_stream(out, f"{folder}/out", f"{folder}/cp", trigger=ONCE).awaitTermination()
+        if files:
+            stream = spark.readStream.schema("value string, partition int, offset long").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+            out = first_deliveries(delivered_events(stream))
+            start_stream(out, f"{folder}/out", f"{folder}/cp", trigger=ONCE).awaitTermination()
+        got = spark.read.schema(out.schema).parquet(f"{folder}/out").collect()
+        found = {(int(r.id[-12:]), r.value, r.offset) for r in got}
+        assert found - {(1, 4.0, 8), (5, 1.0, 9)} == kept - {(1, 4.0, 8)} and len(got) == len(found), files
+        assert all(r.metadata["k"] == "é" and r.event_time for r in got)
+        if not files:
+            assert found == kept
+
+
+def test_rate_usage_stream(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "request_id long, received_at_ms long, client_id string, client_ip string, used string"
+    rows = [(2**60 + i, T + rng.randrange(200_000) // rng.choice([1, 50, 5_000]), rng.choice(["a", "a", "b", None]), rng.choice(["ip", "", None]), "mine") for i in range(400)]
+    rows.sort(key=lambda r: r[1])
+    source = str(tmp_path / "in")
+    for lo, hi in ((0, 150), (150, 151), (151, 320), (320, 400)):
+        spark.createDataFrame(rows[lo:hi], schema).drop("used").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema.replace(", used string", "")).option("maxFilesPerTrigger", "1").parquet(source)
+    out = stream_rate_usage(stream, 60, 20)
+    start_stream(out, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).select("request_id", "caller", "used", "limited")
+    table = rate_usage(spark.createDataFrame(rows, schema).drop("used"), 60, 20).select("request_id", "caller", "used", "limited")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_panes_hold_a_fifth_of_the_state(spark, tmp_path):
+    """Events that are far apart: each is in one pane of state, where it was in five windows."""
+    rng = random.Random(5)
+    rows = [(U(i), rng.choice("ab"), float(rng.randrange(9)), T + rng.randrange(30_000) * MINUTE) for i in range(2_000)]
+    layout = "id string, eventType string, value double, timestamp long"
+    spark.createDataFrame(rows, layout).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(layout).parquet(str(tmp_path / "in"))
+    found, state = [], []
+    for k, windowed in enumerate((window_stats, pane_window_stats)):
+        stats = windowed(stream)
+        query = write_window_stats(stats, str(tmp_path / f"o{k}"), str(tmp_path / f"c{k}"), trigger=ONCE)
+        query.awaitTermination()
+        found.append(sorted(map(tuple, spark.read.schema(stats.schema).parquet(str(tmp_path / f"o{k}")).collect())))
+        state.append(max(sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress))
+    assert found[0] == found[1] and len(found[0]) > 1_000
+    assert state[1] <= state[0] / 4, state
