@@ -46,16 +46,23 @@ def blocks_of(batches: Iterable[pa.RecordBatch], text: str = "text", at_once: in
         yield batch.slice(begin)
 
 
-def numbered(
-    df: DataFrame, keys: list[str], spread_by: list[str], order_by: list[str], name: str, buckets: int = 64
-) -> DataFrame:
-    """Add gapless numbers from 0 within ``keys``.
-
-    Rows of a key are dealt over ``buckets`` by a hash of ``spread_by``, numbered there in ``order_by`` and
-    shifted by the counts of the buckets before, so a key with a third of all rows is not one task. ``df`` is
-    evaluated twice: pass a written table. Keys must not be null.
+#: A row's number in a written table, for ``numbered``.
+ROW_NUMBER = "_row_number"
+
+
+def with_row_number(df: DataFrame) -> DataFrame:
+    """``df`` with a number that tells its rows apart, even exact copies; write it before use, so that it stays."""
+    return df.withColumn(ROW_NUMBER, F.monotonically_increasing_id())
+
+
+def numbered(df: DataFrame, keys: list[str], order_by: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """Add gapless numbers from 0 within ``keys``, and drop the row number.
+
+    Rows of a key are dealt over ``buckets`` by a hash of their row number, numbered there in ``order_by`` and
+    shifted by the counts of the buckets before, so neither a key with a third of all rows nor exact copies are one task. ``df`` is
+    evaluated twice: pass a written table of ``with_row_number``. Keys must not be null.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(ROW_NUMBER), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_bucket")
     offsets = (
         dealt.groupBy(*keys, "_bucket")
@@ -63,10 +70,10 @@ def numbered(
         .withColumn("_before", F.sum("_rows").over(before) - F.col("_rows"))
         .drop("_rows")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by, ROW_NUMBER)
     return (
         dealt.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long"))
-        .drop("_bucket", "_before", "_inside")
+        .drop("_bucket", "_before", "_inside", ROW_NUMBER)
     )

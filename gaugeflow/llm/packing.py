@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import blocks_of, numbered
+from gaugeflow.llm.common import blocks_of, numbered, with_row_number
 from gaugeflow.materialize import written_table
 
 LENGTH, END = 2048, 0
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_id
     often as they occur; a null doc_id stays null. An empty table gives an empty result. ``with_ids`` adds the ids as
     little-endian 32-bit integers.
     """
-    pieces = written_table(tokenized_pieces(docs, path, length, with_ids), "pieces")
+    pieces = written_table(with_row_number(tokenized_pieces(docs, path, length, with_ids)), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows
     runs: dict[int, list] = {}
     for size, *run in pack_counts(counts, length):
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_id
         list(runs.items()), "length long, runs array<struct<first:long,sequence:long,per:long,offset:long>>"
     )
     order = ["doc_id", "piece", "ids_crc32"]
-    numbers = numbered(pieces, ["length"], ["doc_id", "piece"], order, "number")
+    numbers = numbered(pieces, ["length"], order, "number")
     run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("number")), -1)
     inside = F.col("number") - F.col("run.first")
     return (

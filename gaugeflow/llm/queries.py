@@ -51,21 +51,32 @@ WITH plain AS (
          coalesce(nullif(trim(replace(coalesce(role, ''), '<|', '< |')), ''), 'unnamed') AS name
   FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, name AS perspective FROM plain WHERE name <> 'system'),
+counted AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, text) - 1) AS place FROM plain),
+cut AS (
+  SELECT conv_id, name, text, place, place // 64 AS part, max(place // 64) OVER (PARTITION BY conv_id) AS last,
+         place < 64 AND name = 'system' AS opens FROM counted),
+shown AS (
+  SELECT conv_id, part, 2 AS kind, place, name, text FROM cut
+  UNION ALL SELECT conv_id, unnest(range(1, last + 1)), 0, place, name, text FROM cut WHERE opens
+  UNION ALL SELECT conv_id, part + 1, 1, place, name, text FROM cut
+            WHERE part < last AND place >= (part + 1) * 64 - 8 AND NOT opens),
 pieces AS (
-  SELECT p.conv_id, s.perspective, coalesce(p.turn // 64, -1) AS part, p.turn, p.name, p.text,
+  SELECT p.conv_id, s.perspective, p.part, p.kind, p.place AS turn, p.name, p.text,
+         p.kind = 2 AND p.name = s.perspective AS own,
          CASE WHEN p.name = 'system' THEN '<|system|>' WHEN p.name = s.perspective THEN '<|assistant|>'
               ELSE '<|user:' || p.name || '|>' END || chr(10) AS head
-  FROM plain p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+  FROM shown p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
 placed AS (
   SELECT *, head || text || '<|end|>' || chr(10) AS whole,
          row_number() OVER w AS place,
          coalesce(sum(length(head || text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn, name, text))
-SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns,
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY kind, turn))
+SELECT conv_id, perspective, part, CAST(count(*) FILTER (WHERE kind = 2) AS INTEGER) AS n_turns,
        string_agg(whole, '' ORDER BY place) AS text,
        coalesce(string_agg(CAST(start + length(head) AS BIGINT) || ':' || CAST(start + length(whole) - 1 AS BIGINT), ',' ORDER BY place)
-                FILTER (WHERE name = perspective), '') AS mask,
-       CAST(coalesce(sum(length(whole) - 1 - length(head)) FILTER (WHERE name = perspective), 0) AS INTEGER) AS n_masked
+                FILTER (WHERE own), '') AS mask,
+       CAST(coalesce(sum(length(whole) - 1 - length(head)) FILTER (WHERE own), 0) AS INTEGER) AS n_masked
 FROM placed GROUP BY conv_id, perspective, part
 """
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import numbered
+from gaugeflow.llm.common import numbered, with_row_number
 from gaugeflow.materialize import written_table
 
 SHARDS, OVERHEAD = 24, 8
@@ -122,18 +122,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "documents",
     )
-    groups = written_table(rows.groupBy("same").agg(F.sum("size").alias("bytes")), "groups")
+    groups = written_table(with_row_number(rows.groupBy("same").agg(F.sum("size").alias("bytes"))), "groups")
     counts = [(r["bytes"], r["count"]) for r in groups.groupBy("bytes").count().toLocalIterator()]
     runs: dict[int, list] = {}
     for size, first, shard in plan_shards(counts, shards):
         runs.setdefault(size, []).append((first, shard))
     plan = docs.sparkSession.createDataFrame(list(runs.items()), "bytes long, runs array<struct<first:long,shard:int>>")
     placed = (
-        numbered(groups, ["bytes"], ["same"], ["same"], "number")
+        numbered(groups, ["bytes"], ["same"], "number")
         .join(plan, "bytes")
         .select("same", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("number")), -1)["shard"].alias("shard"))
     )
-    sharded = written_table(rows.join(placed, "same").select("doc_id", "size", "text_crc32", "shard"), "sharded")
-    return numbered(sharded, ["shard"], ["doc_id", "text_crc32"], ["doc_id", "text_crc32", "size"], "slot").select(
+    sharded = written_table(with_row_number(rows.join(placed, "same").select("doc_id", "size", "text_crc32", "shard")), "sharded")
+    return numbered(sharded, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

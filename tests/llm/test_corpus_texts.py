@@ -270,32 +270,37 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert whole and key(leaks.find_leaks(docs, benchmark)) == whole
 
 
-def slow_chat(rows, turns=64):
-    plain = lambda s: (s or "").replace("<|", "< |")
-    talks = defaultdict(list)
+def slow_chat(rows, turns=64, context=8):
+    plain = lambda t: (t or "").replace("<|", "< |")
+    convs = {}
     for conv, turn, role, text in rows:
-        talks[conv].append((turn, plain(role).strip(" ") or "unnamed", plain(text)))
+        convs.setdefault(conv, []).append(((turn is not None, turn or 0), plain(role).strip(" ") or "unnamed", plain(text)))
     out = Counter()
-    for conv, said in talks.items():
-        for speaker in {n for _, n, _ in said} - {"system"}:
-            parts = defaultdict(list)
-            for turn, name, text in said:
-                parts[-1 if turn is None else turn // turns].append((turn, name, text))
-            for part, own in parts.items():
-                whole, mask, masked = "", [], 0
-                for _, name, text in sorted(own, key=lambda t: (t[0] is not None, t)):
-                    head = "<|system|>\n" if name == "system" else "<|assistant|>\n" if name == speaker else f"<|user:{name}|>\n"
-                    if name == speaker:
-                        mask.append(f"{len(whole + head)}:{len(whole + head + text + '<|end|>')}")
-                        masked += len(text + "<|end|>")
-                    whole += head + text + "<|end|>\n"
-                out[conv, speaker, part, len(own), whole, ",".join(mask), masked] += 1
+    for conv, found in convs.items():
+        said = [(name, text) for _, name, text in sorted(found)]
+        opening = [(name, text) for name, text in said[:turns] if name == "system"]
+        for who in {name for name, _ in said} - {"system"}:
+            for begin in range(0, len(said), turns):
+                own = said[begin : begin + turns]
+                before = [] if not begin else [s for k, s in enumerate(said[begin - context : begin], begin - context) if k >= turns or s[0] != "system"]
+                text, mask, masked = "", [], 0
+                for k, (name, words) in enumerate((opening if begin else []) + before + own):
+                    head = "<|system|>\n" if name == "system" else "<|assistant|>\n" if name == who else f"<|user:{name}|>\n"
+                    if name == who and k >= len((opening if begin else []) + before):
+                        lo, hi = len(text) + len(head), len(text) + len(head) + len(words) + 7
+                        mask.append(f"{lo}:{hi}")
+                        masked += hi - lo
+                    text += head + words + "<|end|>\n"
+                out[(conv, who, begin // turns, len(own), text, ",".join(mask), masked)] += 1
     return out
 
 
 def test_chat(spark):
     rng = random.Random(31)
     rows = [(n % 9, rng.randrange(200), rng.choice(["user", "assistant", "system", "Bob", None, " "]), rng.choice(["hi", "é😀", "", None, "<|assistant|> no"])) for n in range(500)]
+    # A dialogue of 200 turns, and null conversations and turns in great number.
+    rows += [(30, n, "system" if n in (0, 5, 60, 70) else rng.choice(["user", "Ann"]), f"turn {n}") for n in range(200)]
+    rows += [(None, None if n % 2 else n % 5, rng.choice(["user", "Bob", "system"]), str(n % 7)) for n in range(700)]
     rows += [(None, None, "user", "x"), (None, 1, "Bob", "y"), (3, None, "user", "late"), (20, 0, "system", "alone"), (21, 0, "user", "w" * 200_000)] + [(22, 5, "user", "same")] * 3
     chats = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
     columns = ("conv_id", "perspective", "part", "n_turns", "text", "mask", "n_masked")
