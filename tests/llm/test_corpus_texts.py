@@ -262,6 +262,57 @@ def test_excerpts_of_long_items(spark):
     assert {r["doc_id"] for r in leaks.decontaminate(docs, benchmark).collect()} == {d for d, _ in rows if d >= 900}
 
 
+def test_short_items_and_torn_copies(spark):
+    rng = random.Random(14)
+    item, tiny = words(rng, 30), words(rng, 6)
+    torn = [w for k, own in enumerate(item) for w in ([own, words(rng, 1)[0]] if k % 2 else [own])]
+    rows = [(1, "Alpha, beta gamma delta!"), (2, "alpha beta gamma delta epsilon"), (3, "x alpha beta gamma delta"), (4, " ".join(torn)), (5, " ".join(words(rng, 20) + torn + words(rng, 20)))]
+    rows += [(6, " ".join(tiny[:3] + ["new"] + tiny[3:])), (7, " ".join([tiny[0], "odd", *tiny[2:]])), (8, " ".join(tiny[:2] + tiny[3:])), (9, " ".join(tiny[:2])), (10, "yes"), (11, "no yes")]
+    docs = table(spark, rows)
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, " ".join(item)), (3, " ".join(tiny)), (4, "Yes."), (5, "...")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, benchmark).collect()}
+    assert found == {(1, 1), (4, 2), (5, 2), (6, 3), (7, 3), (8, 3), (10, 4)}
+
+
+def test_recall_of_plain_alignment(spark):
+    """Every copy that plain Smith-Waterman finds on the given tables: documents that share no word pair with an item can't be one."""
+    import numpy as np
+
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, benchmark).collect()}
+    numbers = {}
+    number = lambda text: np.array([numbers.setdefault(w, len(numbers)) for w in re.findall(r"\w+", text.lower())], np.int64)
+    texts = {r["doc_id"]: number(r["text"]) for r in docs.collect()}
+    expected = set()
+    for r in benchmark.collect():
+        own = number(r["text"])
+        for doc, words_of in texts.items():
+            # No alignment scores more than the words that both have.
+            shared = sum((Counter(own.tolist()) & Counter(words_of.tolist())).values())
+            if shared >= 0.6 * len(own) and leaks.alignment(own, words_of)[0] >= min(0.6, 50 / len(own)):
+                expected.add((doc, r["item_id"]))
+    assert expected and len(found & expected) >= 0.9 * len(expected) and found <= expected
+    assert found == expected
+
+
+def test_torn_copies_at_random(spark):
+    rng = random.Random(4)
+    items = {i: words(rng, rng.choice([5, 7, 9, 12, 30, 60, 84])) for i in range(60)}
+    rows, expected = [], set()
+    for n in range(500):
+        i = rng.randrange(60)
+        copy, edits = [], rng.choice([0.1, 0.25, 0.4])
+        for w in items[i]:
+            kind = rng.random()
+            copy += [w] if kind > edits else [w, *words(rng, 1)] if kind > edits / 3 else [] if kind > edits / 6 else words(rng, 1)
+        own = words(rng, rng.randrange(30)) + copy + words(rng, rng.randrange(30))
+        rows.append((n, " ".join(own)))
+        expected |= {(n, j) for j, item in items.items() if len(set(item) & set(own)) > 2 and slow_alignment(item, own) >= min(0.6, 50 / len(item))}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(table(spark, rows), benchmark).collect()}
+    assert found == expected and len(expected) > 200
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted(tuple(r) for r in df.collect())
