@@ -154,41 +154,60 @@ def at_least(hits: Column, trials: Column, share: Column, confidence: float = CO
 
 
 def candidate_terms(docs: DataFrame, scanned: DataFrame, total: int, rarity: float, generalise: float = GENERALISE) -> DataFrame:
-    """(row, entities, term, term_docs, places): terms rare enough to disclose an entity, in the rows that hold identifiers.
+    """(row, term, term_docs, places): terms rare enough to disclose an entity, in the rows that hold identifiers.
 
     ``rarity`` is the largest share of documents that one entity has. A term in more than rarity ** generalise of them
     can't reach ``generalise`` for any entity, as an entity has at most all of its own documents in common with it.
     """
     most = F.lit(total * rarity**generalise * (1 + 1e-9))
     terms = docs.select("text").mapInArrow(_count_terms, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
-    words = scanned.select("row", "entities", F.explode("words").alias("word")).select("row", "entities", "word.term", "word.places")
+    words = scanned.select("row", F.explode("words").alias("word")).select("row", "word.term", "word.places")
     return written_table(words.join(terms.where(F.col("term_docs") <= most), "term"), "personal-terms")
 
 
-def disclosing_terms(
-    candidates: DataFrame, entities: DataFrame, total: int, confidence: float = CONFIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
+def _same_documents(found: DataFrame, name: str, docs: str) -> DataFrame:
+    """(name, docs, like): the least of those that stand in the same documents, for each ``name`` of ``found(row, name, docs)``.
+
+    Two names with equal documents have equal counts with everything. Sets are compared by their size and two sums of digests.
+    """
+    one, two = (F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20,0)")).alias(f"set{seed}") for seed in (1, 2))
+    sets = found.groupBy(name).agg(F.max(docs).alias(docs), F.count(F.lit(1)).alias("held"), one, two)
+    alike = ["held", docs, "set1", "set2"]
+    least = sets.groupBy(*alike).agg(F.min(name).alias("like"))
+    return sets.join(least, alike).select(name, docs, "like")
+
+
+def disclosed(
+    candidates: DataFrame, scanned: DataFrame, total: int, confidence: float = CONFIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """(entity, term, removed): terms that disclose ``generalise`` of the entity's information, or ``remove`` of it.
+    """(row, term, removed, places): terms that disclose ``generalise`` of an entity of their row, or ``remove`` of it.
 
     With P = P(entity | term) the share is 1 + log P / information, so a share s is reached where P reaches
-    P(entity) ** (1 - s). Both stand anywhere in the same document.
+    P(entity) ** (1 - s). Both stand anywhere in the same document. Entities with the same documents are counted as one, and so
+    are terms: a list of addresses that occurs once is one entity with one term, however long.
     """
-    both = F.count(F.lit(1)).alias("both")
-    pairs = (
-        candidates.select(F.explode("entities").alias("entity"), "term", "term_docs")
-        .groupBy("entity", "term")
-        .agg(both, F.max("term_docs").alias("term_docs"))
+    entities = scanned.select("row", F.explode("entities").alias("entity")).withColumn("one", F.lit(1))
+    like_entity = _same_documents(entities.select("row", "entity", "one"), "entity", "one")
+    docs_of = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
+    # (row, entity) for the least of the entities that are alike.
+    held = written_table(
+        entities.select("row", "entity").join(like_entity.where("entity = like").select("entity"), "entity").join(docs_of, "entity"), "personal-entities"
     )
+    like_term = written_table(_same_documents(candidates.select("row", "term", "term_docs"), "term", "term_docs"), "personal-alike")
+    named = candidates.select("row", "term").join(like_term.where("term = like").select("term", "term_docs"), "term")
+    met = written_table(held.join(named, "row"), "personal-pairs")
     rarity = F.col("entity_docs") / F.lit(total)
 
     def reached(share: float) -> Column:
         return at_least(F.col("both"), F.col("term_docs"), F.pow(rarity, F.lit(1 - share)), confidence)
 
-    return (
-        pairs.join(entities, "entity")
-        .where((rarity < 1) & reached(generalise))
-        .select("entity", "term", reached(remove).alias("removed"))
+    pairs = met.groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("both"), F.max("term_docs").alias("term_docs"), F.max("entity_docs").alias("entity_docs")
     )
+    found = pairs.where((rarity < 1) & reached(generalise)).select("entity", "term", reached(remove).alias("removed"))
+    in_rows = met.join(found, ["entity", "term"]).groupBy("row", F.col("term").alias("like")).agg(F.max("removed").alias("removed"))
+    words = candidates.select("row", "term", "places").join(like_term.select("term", "like"), "term")
+    return words.join(in_rows, ["row", "like"]).select("row", "term", "removed", "places")
 
 
 def find_personal_data(
@@ -199,7 +218,7 @@ def find_personal_data(
     ``base`` lists the identifiers as kind:start:end, ``terms`` the disclosing terms as an array of (start, end, kind).
     ``row`` is a digest of doc_id and text. Null texts are empty. Repeated rows stay, and each counts as a document. An empty
     table gives an empty result; other columns are ignored. Terms of one entity are never gathered: words meet the counts of rare
-    terms by a join on the term, rows meet disclosing terms by one on (entity, term), and one row's terms by its digest.
+    terms by a join on the term, entities and terms of a row meet on the row, one for all that stand in the same documents.
     """
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), "text")
     schema = (
@@ -210,13 +229,9 @@ def find_personal_data(
     entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     total, largest = scanned.count(), entities.agg(F.max("entity_docs")).first()[0] or 0
     candidates = candidate_terms(docs, scanned, total, largest / max(1, total), generalise)
-    disclosing = disclosing_terms(candidates, entities, total, confidence, generalise, remove)
     place = F.split(F.col("place"), ":")
     terms = (
-        candidates.select("row", F.explode("entities").alias("entity"), "term", "places")
-        .join(disclosing, ["entity", "term"])
-        .groupBy("row", "term")
-        .agg(F.max("removed").alias("removed"), F.min("places").alias("places"))
+        disclosed(candidates, scanned, total, confidence, generalise, remove)
         .select("row", "removed", F.explode(F.split("places", " ")).alias("place"))
         .groupBy("row")
         .agg(

@@ -56,39 +56,87 @@ def test_base_spans_on_long_texts(text):
     assert len(pii.base_spans(text)) <= 100_000
 
 
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6))) for _ in range(n)]
+
+
 def person(n):
     return f"Wrote Zanziba{'rst'[n % 3]}okin about it , mail {'abc'[n % 3]}.known@host{n % 3}.example.com now please thing{n % 7} of the"
 
 
-def slow_terms(texts, support, generalise, remove):
+def slow_reached(hits, trials, share):
+    """Chernoff: the chance of so large a rate, were the share the true one, is at most 15 %."""
+    rate = hits / trials
+    divergence = rate * math.log(rate / share) + ((1 - rate) * math.log((1 - rate) / (1 - share)) if hits < trials else 0)
+    return rate > share and math.exp(-trials * divergence) <= 0.15 * (1 + 1e-9)
+
+
+def slow_terms(texts, generalise, remove):
+    """Every term of a document against every identifier of it, counted over whole documents."""
     places, both, terms, entities = [], Counter(), Counter(), Counter()
     for text in texts:
         spans = slow_spans(text)
         terms.update(set(re.findall(r"[^\W\d_]{3,}", text.lower())))
-        names = [(k, text[lo:hi].lower()) for lo, hi, k in spans]
-        entities.update(set(names))
-        words = [m for m in re.finditer(r"[^\W\d_]{3,}", text) if not any(lo < m.end() and m.start() < hi for lo, hi, _ in spans)]
-        near = defaultdict(set)
-        for (lo, _, _), name in zip(spans, names):
-            before = [m for m in words if m.start() < lo][-8:]
-            for m in before + [m for m in words if m.start() >= lo][:8]:
-                near[name, m[0].lower()].add(m.span())
-        both.update(near.keys())
-        places.append(near)
+        digits = lambda k, t: t.lower() if k == "email" else t if k == "ip" else re.sub("[^0-9]", "", t)
+        names = {(k, digits(k, text[lo:hi])) for lo, hi, k in spans}
+        entities.update(names)
+        own = defaultdict(list)
+        if spans:
+            for m in re.finditer(r"[^\W\d_]{3,}", "".join(" " if any(lo <= k < hi for lo, hi, _ in spans) else c for k, c in enumerate(text))):
+                own[m[0].lower()].append(m.span())
+        both.update((name, term) for name in names for term in own)
+        places.append((names, own))
     out = []
-    for near in places:
-        share = {}
-        for (name, term), spans in near.items():
-            information = math.log2(len(texts) / entities[name])
-            if both[name, term] >= support and information > 0:
-                value = math.log2(both[name, term] * len(texts) / (entities[name] * terms[term])) / information
-                if value >= generalise:
-                    for span in spans:
-                        share[span] = max(value, share.get(span, 0))
-        out.append([(lo, hi, "term" if v >= remove else "general") for (lo, hi), v in share.items()])
+    for names, own in places:
+        found = []
+        for term, spans in own.items():
+            kinds = set()
+            for name in names:
+                rarity = entities[name] / len(texts)
+                hits = both[name, term], terms[term]
+                if rarity < 1 and slow_reached(*hits, rarity ** (1 - generalise)):
+                    kinds.add("term" if slow_reached(*hits, rarity ** (1 - remove)) else "general")
+            found += [(lo, hi, "term" if "term" in kinds else "general") for lo, hi in spans if kinds]
+        out.append(found)
     return out
 
 
+def all_spans(text, terms):
+    kinds = ["email", "ip", "card", "phone", "general", "term"]
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted([*slow_spans(text), *terms], key=lambda s: (s[0], kinds.index(s[2]))))
+
+
+def test_terms_of_random_texts(spark):
+    """Identifiers and names of all frequencies, alone and together, near and far, in lists and copies."""
+    rng = random.Random(12)
+    people = [(f"{w}@{v}.example.org", f"10.0.{n}.7", f"+1 415 555 01{n:02d}") for n, (w, v) in enumerate(zip(words(rng, 30), words(rng, 30)))]
+    names = [w.capitalize() + "on" for w in words(rng, 60)]
+    common = words(rng, 25)
+    texts = []
+    for n in range(500):
+        text = rng.choices(common, k=rng.randrange(3, 40))
+        if rng.random() < 0.3:
+            who = int(rng.random() ** 2 * 30)
+            for thing in (rng.choice(people[who]), names[who], *(rng.choices(names, k=1) if rng.random() < 0.2 else [])):
+                for _ in range(rng.choice([1, 1, 2])):
+                    text.insert(rng.randrange(len(text) + 1), thing)
+        texts.append(" ".join(text))
+    texts += [" ".join(f"{a}{k}@list.example.net {b}{k}x" for k, (a, b) in enumerate(zip(words(rng, 200), words(rng, 200))))] * 2
+    texts += texts[:20]
+    found = pii.op1_pii(table(spark, list(enumerate(texts)))).collect()
+    expected = {n: all_spans(t, terms) for n, (t, terms) in enumerate(zip(texts, slow_terms(texts, 0.6, 0.9)))}
+    assert {r["doc_id"]: r["spans"] for r in found} == expected
+    assert sum("general" in s for s in expected.values()) > 20 and any("term:" in s for s in expected.values())
+
+
+def test_a_list_of_addresses_is_one_entity(spark):
+    """Two thousand addresses with a word each, in one text: pairs are counted for one of either."""
+    text = " ".join(f"u{k}@list{k % 7}.example.com wordof{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(2_000))
+    rows = [(0, text)] + [(n, f"plain text {n}") for n in range(1, 300)]
+    found = {r["doc_id"]: r for r in pii.op1_pii(table(spark, rows)).collect()}
+    assert found[0]["n_email"] == 2_000 and found[0]["spans"].count("general:") == 2_000 and found[1]["spans"] == ""
+
+
 def test_op1(spark):
     texts = [person(n) for n in range(24)] + [f"the plain of it now text number thing{n % 7}" for n in range(60)] + ["zanzibarokin elsewhere"] * 3
     rows = [(n, t) for n, t in enumerate(texts)] + [(900, None), (901, ""), (None, "call +1 (415) 555-0132"), (902, "ab " * 90_000 + "1.2.3.4"), (902, "ab " * 90_000 + "1.2.3.4")]
@@ -96,7 +144,7 @@ def test_op1(spark):
     texts = [t or "" for _, t in rows]
     expected = []
     kinds = ["email", "ip", "card", "phone", "general", "term"]
-    found_terms = slow_terms(texts, 3, 0.6, 0.9)
+    found_terms = slow_terms(texts, 0.6, 0.9)
     for (doc, _), text, terms in zip(rows, texts, found_terms):
         spans = slow_spans(text)
         base = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
@@ -211,10 +259,6 @@ def test_alignment():
         assert leaks.alignment(np.array(a), np.array(b))[0] == slow_alignment(a, b)
 
 
-def words(rng, n):
-    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6))) for _ in range(n)]
-
-
 def test_find_leaks(spark):
     rng = random.Random(21)
     items = [(i, words(rng, rng.randrange(15, 60))) for i in range(30)] + [(77, words(rng, 400))]
