@@ -91,44 +91,25 @@ def running_type_avg(
     return joined.select("id", "eventType", "timestamp", mean.alias("running_avg"))
 
 
-def _last_seconds(seconds: DataFrame, series: int, n: int) -> int | None:
-    """The earliest of the last ``n`` seconds of a series."""
-    tail = seconds.where(F.col("series") == series).orderBy(F.desc("second_ms")).limit(n)
-    return tail.agg(F.min("second_ms")).first()[0]
-
-
 def trailing_chart(
     events: DataFrame, points: int = CHART_POINTS, first_type: str = CARD_TYPES[0]
 ) -> DataFrame:
     """The last ``points`` seconds with an event: both series, a missing value filled with the last one.
 
-    Everything that is not ``first_type`` belongs to the second series; of several values in a second the
-    latest counts. Each series is cut to its last ``points + 1`` seconds first: the extra one is the value a
-    gap at the left edge is filled with. The cut is found from the times alone and then reaches the scan as a
-    plain comparison, so only the tail of the data is read with its values.
+    Everything that is not ``first_type`` belongs to the second series; of several values in a second the latest counts. One scan
+    reduces the events to seconds, map side; of these each task keeps the last ``points + 1`` of each series, before they
+    meet. The extra one is the value a gap at the left edge is filled with.
     """
-    timed = events.where(F.col("timestamp").isNotNull()).withColumn(
-        "series", F.when(F.col("eventType") == first_type, 1).otherwise(2)
-    )
-    seconds = timed.select(floor_to(F.col("timestamp"), 1000).alias("second_ms"), "series").distinct()
-    cuts = {n: _last_seconds(seconds, n, points + 1) for n in (1, 2)}
-    in_tail = F.lit(False)
-    for n, cut in cuts.items():
-        if cut is not None:
-            in_tail = in_tail | ((F.col("series") == n) & (F.col("timestamp") >= cut))
-    earliest = min((cut for cut in cuts.values() if cut is not None), default=0)
-    of_series = {
-        f"series_{n}": F.max_by(
-            F.when(F.col("series") == n, F.col("value")),
-            F.when(F.col("series") == n, F.struct("timestamp", "id")),
-        )
-        for n in cuts
-    }
-    latest = (
-        timed.where((F.col("timestamp") >= earliest) & in_tail)
-        .groupBy(floor_to(F.col("timestamp"), 1000).alias("second_ms"))
-        .agg(*[value.alias(name) for name, value in of_series.items()])
+    series = F.when(F.col("eventType") == first_type, 1).otherwise(2).alias("series")
+    seconds = (
+        events.where(F.col("timestamp").isNotNull())
+        .groupBy(floor_to(F.col("timestamp"), 1000).alias("second_ms"), series)
+        .agg(F.max_by("value", F.struct("timestamp", "id")).alias("value"))
     )
+    newest = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("second_ms")))
+    tail = seconds.withColumn("rank", newest).where(F.col("rank") <= points + 1)
+    of_series = {f"series_{n}": F.max(F.when(F.col("series") == n, F.col("value"))) for n in (1, 2)}
+    latest = tail.groupBy("second_ms").agg(*[value.alias(name) for name, value in of_series.items()])
     # At most 2 * (points + 1) rows are left.
     so_far = Window.orderBy("second_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (

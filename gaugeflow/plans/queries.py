@@ -12,7 +12,7 @@ from gaugeflow.materialize import written_table
 from gaugeflow.operators import admission as adm
 from gaugeflow.operators import live, rules
 from gaugeflow.operators.clients import attach_client, upsert_clients_if_absent
-from gaugeflow.operators.counters import pipeline_counters
+from gaugeflow.operators.counters import batch_counters
 from gaugeflow.operators.dedup import dedup_first, new_only
 from gaugeflow.operators.idempotency import RESULT_COLUMNS, idempotency_outcomes, latest_runs
 from gaugeflow.operators.lookup import device_type_lookup, latest
@@ -64,10 +64,10 @@ def _log_with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.request_log(spark, sf_dir).withColumn("status_code", F.col("handler_status"))
 
 
-def _new_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    good, bad = split_dlq(inputs.topic_messages(spark, sf_dir))
+def _new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = split_dlq(inputs.topic_messages(spark, sf_dir))
     batch = dedup_first(stored_events(good, "offset"), "id", ["offset"]).drop("offset")
-    return good, bad, new_only(batch, inputs.stored_before(spark, sf_dir))
+    return new_only(batch, inputs.stored_before(spark, sf_dir))
 
 
 def events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +169,11 @@ def dlq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _new_batch(spark, sf_dir)[2]
+    return _new_batch(spark, sf_dir)
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline_counters(*_new_batch(spark, sf_dir))
+    return batch_counters(inputs.topic_messages(spark, sf_dir), inputs.stored_before(spark, sf_dir))
 
 
 def first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:

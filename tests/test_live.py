@@ -74,4 +74,6 @@ def test_trailing_chart(spark, seed):
         points.append((second, last[1], last[2]))
     out = live.trailing_chart(frame(spark, rows)).collect()
     assert sorted((r.second_ms, r.series_1, r.series_2) for r in out) == points[-25:]
+    plan = live.trailing_chart(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 1
     assert out[0].label == "12:0" + f"{(out[0].second_ms - T) // 60_000}:{(out[0].second_ms - T) // 1_000 % 60:02d}"

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from gaugeflow.operators.counters import pipeline_counters
+from gaugeflow.operators.counters import batch_counters, pipeline_counters
 from gaugeflow.operators.dedup import dedup_first, new_only
 from gaugeflow.operators.lookup import device_type_lookup, latest
 from gaugeflow.operators.storage_rules import split_dlq, stored_events
@@ -112,6 +112,11 @@ def test_counters(spark):
     good, bad = split_dlq(batch(spark, message(value=1), message(value=2), message(id=U(2)), "bad"))
     new = new_only(dedup_first(stored_events(good, "offset"), "id", ["offset"]), spark.createDataFrame([(U(2),)], "id string"))
     assert tuple(pipeline_counters(good, bad, new).first()) == (3, 1, 1, 2)
+    messages, stored = batch(spark, message(value=1), message(value=2), message(id=U(2)), "bad"), spark.createDataFrame([(U(2),), (None,)], "id string")
+    one = batch_counters(messages, stored)
+    assert one.columns == ["processed", "failed", "inserted", "duplicates"] and tuple(one.first()) == (3, 1, 1, 2)
+    assert tuple(batch_counters(messages.where("false"), stored).first()) == (0, 0, 0, 0)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_lookups(spark, tmp_path):
