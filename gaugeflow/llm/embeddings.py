@@ -1,10 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a direction; a vector belongs to every filter whose direction it exceeds a threshold on. Directions come
-from ``CODES`` product codes: each rotates the vector at random and cuts it in two halves, each half has ``CODEWORDS``
+from ``CODES`` product codes: each rotates the vector at random and cuts it in two halves, each half has some
 random unit words, and every pair of words is a direction. A vector's filters are list-decoded from its scores on the
-2 x ``CODEWORDS`` words of each code: pairs of words whose scores add up to the threshold. Several codes even out vectors
+words of each code: pairs of words whose scores add up to the threshold. Several codes even out vectors
 that happen to lie far from the words of one. Vectors of one label that share a filter are compared in double precision.
+The words are chosen by the vectors of the largest label: as many directions more as there are vectors, so a filter
+keeps its number of vectors, and slightly more filters to a vector, so linked ones still meet.
 """
 
 from __future__ import annotations
@@ -24,39 +26,51 @@ from gaugeflow.llm.components import connected_components
 from gaugeflow.materialize import written_table
 
 SIMILARITY = 0.93
-#: Product codes, and words per half: 8 codes of 128 x 128 are 131,072 filters. Raise the words with the vectors per label.
-CODES, CODEWORDS = 8, 128
+#: Product codes, and words per half: 8 codes of 128 x 128 are 131,072 filters, for labels of up to ``VECTORS`` vectors.
+CODES, CODEWORDS, VECTORS = 8, 128, 32_768
+#: Words of a half at most: filters are numbered in 31 bits.
+MOST_WORDS = 8_192
+#: A vector's filters grow by this power of the directions.
+GROWTH = 0.25
 #: Filters of a vector if directions were spread evenly; about 24 in practice.
 FILTERS = 40
 SEED = 20_240_601
 VECTORS_AT_ONCE = 256
 
 
+def codewords(vectors: int) -> int:
+    """Words per half for a label of so many vectors: a power of two, doubled for every four times the vectors."""
+    words = CODEWORDS
+    while words < MOST_WORDS and vectors > VECTORS * (words // CODEWORDS) ** 2:
+        words *= 2
+    return words
+
+
 @lru_cache(maxsize=8)
-def product_codes(dimensions: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def product_codes(dimensions: int, count: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rotation, first words, second words) of every code; the same on every worker."""
     codes, split = [], dimensions - dimensions // 2
     for number in range(CODES):
         draw = np.random.Generator(np.random.PCG64([SEED, dimensions, number]))
         rotation = np.linalg.qr(draw.standard_normal((dimensions, dimensions)))[0]
-        words = [draw.standard_normal((CODEWORDS, width)) for width in (split, dimensions - split)]
+        words = [draw.standard_normal((count, width)) for width in (split, dimensions - split)]
         codes.append((rotation, *(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9) for w in words)))
     return codes
 
 
-def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decode(unit: np.ndarray, words: int = CODEWORDS) -> tuple[np.ndarray, np.ndarray]:
     """(vector number, filter number) of all filters that the unit vectors exceed, by vector and filter."""
     dimensions = unit.shape[1]
-    share = min(FILTERS / CODES / CODEWORDS**2, 0.5)
+    share = min(FILTERS * (words / CODEWORDS) ** (2 * GROWTH) / CODES / words**2, 0.5)
     reach = NormalDist().inv_cdf(1 - share) * np.sqrt(2 / dimensions)
     rows, filters = [], []
-    for number, (rotation, first, second) in enumerate(product_codes(dimensions)):
+    for number, (rotation, first, second) in enumerate(product_codes(dimensions, words)):
         turned = unit @ rotation
         a, b = turned[:, : first.shape[1]] @ first.T, turned[:, first.shape[1] :] @ second.T
         row, i = np.nonzero(a >= reach - b.max(1)[:, None])
         hit, j = np.nonzero(b[row] >= reach - a[row, i][:, None])
         rows.append(row[hit])
-        filters.append((number * CODEWORDS + i[hit]) * CODEWORDS + j)
+        filters.append((number * words + i[hit]) * words + j)
     row, code = np.concatenate(rows), np.concatenate(filters)
     order = np.lexsort((code, row))
     return row[order], code[order]
@@ -90,14 +104,14 @@ def _by_size(raw: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarr
         yield own, _unit(np.frombuffer(b"".join(raw[k] for k in own), kind).reshape(len(own), -1).astype(np.float64))
 
 
-def _decoded_from(kind: str):
+def _decoded_from(kind: str, words: int):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, VECTORS_AT_ONCE):
                 part = batch.slice(begin, VECTORS_AT_ONCE)
                 lists: list = [None] * part.num_rows
                 for own, unit in _by_size(part.column("bytes").to_pylist(), kind):
-                    row, code = decode(unit)
+                    row, code = decode(unit, words)
                     cuts = np.searchsorted(row, np.arange(len(own) + 1))
                     for at, k in enumerate(own):
                         lists[k] = code[cuts[at] : cuts[at + 1]].astype(np.int32).tobytes()
@@ -164,7 +178,7 @@ def _kernel_at(similarity: float, kind: str):
     return kernel
 
 
-def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, most: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, most: int = 1024, words: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding, label, ...)``.
 
     Only rows of one non-null label are compared. A vector that is null, empty, zero or holds a null, NaN or
@@ -186,8 +200,10 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, most: int =
         .withColumn("cid", F.monotonically_increasing_id()),
         "vector-classes",
     )
+    if words is None:
+        words = codewords(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     decoded = classes.select("cid", "label", "copies", "bytes").mapInArrow(
-        _decoded_from(kind), "cid long, label long, copies long, bytes binary, filters binary"
+        _decoded_from(kind, words), "cid long, label long, copies long, bytes binary, filters binary"
     )
     dealt = decoded.mapInArrow(_exploded, "cid long, label long, copies long, bytes binary, filters binary, filter long")
     schema = StructType([StructField(x, LongType()) for x in "abn"])

@@ -9,6 +9,7 @@ import xxhash
 from gaugeflow.llm import simhash
 from gaugeflow.llm.buckets import star_links
 from gaugeflow.llm.components import connected_components
+from gaugeflow.llm import embeddings
 from gaugeflow.llm.embeddings import near_vectors
 from gaugeflow.llm.simhash import block_pairs, fingerprint, fingerprint_components, keep_one, op2_simhash, shifted_pairs
 
@@ -175,3 +176,27 @@ def test_near_vectors_recall_on_a_table(spark):
     found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(table).collect())
     assert sum(n for _, n, _ in found) >= 0.97 * sum(n for _, n, _ in expected)
     assert near_vectors(table.limit(0)).count() == 0
+
+
+def test_codewords_follow_the_vectors():
+    assert [embeddings.codewords(n) for n in (0, 32_768, 32_769, 131_073, 10**12, 10**18)] == [128, 128, 256, 512, 8_192, 8_192]
+    sizes = [n * embeddings.FILTERS / (embeddings.CODES * embeddings.codewords(n) ** 2) for n in (32_768, 131_072, 10**6, 10**7)]
+    assert max(sizes) <= 4 * min(sizes)
+
+
+@pytest.mark.parametrize("words", [256, 512])
+def test_filters_of_larger_labels_find_the_same_links(words):
+    """Pairs near the threshold share a filter at the settings for four and sixteen times the vectors."""
+    rng = np.random.default_rng(words)
+    first = embeddings._unit(rng.standard_normal((1_000, 64)))
+    aside = rng.standard_normal((1_000, 64))
+    aside = embeddings._unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    cosine = rng.uniform(0.93, 0.96, (1_000, 1))
+    second = cosine * first + np.sqrt(1 - cosine**2) * aside
+    lists = []
+    for side in (first, second):
+        row, code = embeddings.decode(side, words)
+        lists.append([set(code[row == k].tolist()) for k in range(1_000)])
+    met = sum(bool(a & b) for a, b in zip(*lists)) / 1_000
+    assert met >= 0.97, met
+    assert np.mean([len(x) for x in lists[0]]) < 80
