@@ -8,6 +8,7 @@ pieces of its length. The result is that of placing the pieces one by one.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from gaugeflow.materialize import written_table
 LENGTH, END = 2048, 0
 #: Distinct cuts whose ids a worker remembers.
 REMEMBERED = 400_000
-#: The tokenizer's cuts: a fixed pattern of its vocabulary file.
-_CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What a vocabulary file does to a text before it cuts it, for its cuts to be remembered.
+_NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Separators that the two pattern engines take differently, and letters with a special lower case.
 _UNUSUAL = regex.compile("[\x1c-\x1f\x85\u180eΣİ]")
 
@@ -108,20 +109,36 @@ def _tokenizer(path: str):
     return made
 
 
+def _cuts(path: str) -> tuple[regex.Pattern | None, str]:
+    """The pattern of a vocabulary file's cuts and the ending of a cut's last token; no pattern where its rules are others."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    normaliser, (first, *rest) = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    suffix = spec["model"].get("end_of_word_suffix") or ""
+    split = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
+    plain = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+    if split and plain and suffix and normaliser.get("normalizers") == _NORMALISED:
+        return regex.compile(first["pattern"]["Regex"]), suffix
+    return None, suffix
+
+
 class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
     The tokenizer puts a text in lower case, cuts it by a pattern and encodes each cut on its own. Here the cuts are
     made first, and the ids of a cut are remembered, so a cut that occurs again costs one look-up. Texts that change when
-    normalised, or have letters whose lower case depends on their neighbours, go to the tokenizer whole.
+    normalised, or have letters whose lower case depends on their neighbours, go to the tokenizer whole, and so do all texts under a
+    vocabulary file with other rules.
     """
 
     def __init__(self, path: str) -> None:
         self.model, self.known = _tokenizer(path), {}
         vocabulary = self.model.get_vocab()
+        self.cuts, suffix = _cuts(path)
         #: Whether a token ends a cut.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        if suffix:
+            self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _learn(self, cuts: list[str]) -> None:
         """Remember the ids of cuts, encoded as one text with white space between them: each ends with one end token."""
@@ -139,9 +156,9 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _UNUSUAL.search(text) or not unicodedata.is_normalized("NFC", text):
+        if self.cuts is None or _UNUSUAL.search(text) or not unicodedata.is_normalized("NFC", text):
             return self._plain(text)
-        cuts, known = _CUTS.findall(text.lower()), self.known
+        cuts, known = self.cuts.findall(text.lower()), self.known
         if len(known) > REMEMBERED:
             known.clear()
         new = [cut for cut in dict.fromkeys(cuts) if cut not in known]

@@ -169,7 +169,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> QualityModel:
     """Fit on at most ``rows`` labelled documents, in one task. Without labels every document scores one half."""
-    sample = training_rows(docs, labels, "quality", rows).withColumn("n_chars", F.char_length("text").cast("long"))
+    sample = training_rows(_with_length(docs), labels, "quality", rows, "n_chars")
     features = sample.mapInArrow(_features, "doc_id long, y int, features binary, amounts binary")
     found = features.repartition(1).mapInArrow(_fit, "bias double, linear binary, factors binary").first()
     if found is None:

@@ -183,3 +183,14 @@ def test_shard_edge_cases(spark):
     check_shards(docs.collect(), out)
     assert len({r["shard"] for r in out if r["doc_id"] in (1, 5)}) == 1 and len({r["shard"] for r in out if r["size"] == 12}) == 1
     assert shard_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_any_vocabulary(name):
+    """Cuts are taken from the file; a file with other rules is used as it is."""
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
+    encode = Encoder(public_tokenizers.path(name))
+    assert (encode.cuts is None) == (name == "byte_bpe_50k.json")
+    for text in ["", "It's  two\nlines, café 12 <|endoftext|> don't", "A  B\tC" * 50, "日本語 text!!", "İstanbul Σ"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
