@@ -9,6 +9,8 @@ replaces it; a batch never looks at its own directories.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +58,13 @@ def remember(ids: DataFrame, batch_id: int, folder: str) -> None:
     dealt = ids.where(F.col("id").isNotNull()).select("id", _bucket(F.col("id")).alias("bucket"))
     files = dealt.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "id")
     files.write.partitionBy("bucket").mode("overwrite").parquet(_files(folder, batch_id))
-    # A power of two, so that few sizes occur over all batches.
-    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_IDS), F.lit(1))))).cast("int")
-    sizes = dealt.groupBy("bucket").agg(blocks.alias("blocks"))
-    # At most one row to a bucket.
-    marked = dealt.join(F.broadcast(sizes), "bucket").select(
-        "bucket", "blocks", _block(F.col("id"), F.col("blocks")).alias("block"), F.explode(_probes(F.col("id"))).alias("position")
+    # A power of two, so that few sizes occur over all batches; the hash deals the ids evenly over the buckets.
+    blocks = 1 << max(0, math.ceil(ids.count() / BUCKETS / BLOCK_IDS) - 1).bit_length()
+    marked = dealt.select(
+        "bucket",
+        F.lit(blocks).alias("blocks"),
+        _block(F.col("id"), F.lit(blocks)).alias("block"),
+        F.explode(_probes(F.col("id"))).alias("position"),
     )
     made = marked.groupBy("bucket", "blocks", "block").agg(F.bitmap_construct_agg("position").alias("bits"))
     made.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/filters/batch_id={batch_id}")
