@@ -77,7 +77,9 @@ def _fold_small_keys(df: DataFrame, lock_ms: int, ttl_ms: int, earlier: DataFram
         F.col("__run.start").alias("at"), F.col("__run.request_id").alias("seq"), *columns, "__run", "__eligible"
     )
     of_key = F.concat(F.lit("key:"), "__key")
-    alone_id = F.concat(F.lit("row:"), F.col("__run.request_id").cast("string"))
+    # Rows without an id, however many, are told apart by their place.
+    place = F.concat(F.lit("place:"), F.monotonically_increasing_id().cast("string"))
+    alone_id = F.coalesce(F.concat(F.lit("row:"), F.col("__run.request_id").cast("string")), place)
     grouped = df.groupBy(F.coalesce(of_key, alone_id).alias("__group")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     if earlier is None:
         grouped = grouped.withColumn("__earlier", F.lit(None).cast(RUN))

@@ -138,3 +138,13 @@ def test_requests_before_the_earlier_run(spark, max_key_rows):
     late = [(2, U(1), T - 50, 10, 202), (3, U(1), T - 20, 10, 202), (4, U(1), T + 200, 10, 202), (5, U(1), T + 86_400_100, 10, 202)]
     out = idempotency_outcomes(spark.createDataFrame(late, LAYOUT), earlier=latest_runs(first), max_key_rows=max_key_rows)
     assert result(out) == {2: (C, 1, None), 3: (C, 1, None), 4: (R, 1, 202), 5: (E, 5, None)}
+
+
+def test_rows_without_id_and_key_are_groups_of_their_own(spark):
+    layout = "request_id long, idempotency_key string, received_at_ms long, duration_ms long, handler_status int"
+    rows = [(None, None, T, 5, 202)] * 300 + [(1, U(1), T, 5, 202), (None, U(1), T + 50, 5, 202)]
+    out = idempotency_outcomes(spark.createDataFrame(rows, layout))
+    assert out.count() == 302 and out.where("outcome is null").count() == 300
+    assert sorted(r.outcome for r in out.where("outcome is not null").collect()) == ["EXECUTE", "REPLAY"]
+    grouped = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in grouped
