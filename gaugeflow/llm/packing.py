@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,8 +26,8 @@ from gaugeflow.llm.common import blocks_of, numbered, with_row_number
 from gaugeflow.materialize import written_table
 
 LENGTH, END = 2048, 0
-#: Distinct cuts whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words and cuts whose ids a worker remembers, about.
+REMEMBERED = 1_000_000
 #: What a vocabulary file does to a text before it cuts it, for its cuts to be remembered.
 _NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Separators that the two pattern engines take differently, and letters with a special lower case.
@@ -125,14 +126,15 @@ def _cuts(path: str) -> tuple[regex.Pattern | None, str]:
 class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
-    The tokenizer puts a text in lower case, cuts it by a pattern and encodes each cut on its own. Here the cuts are
-    made first, and the ids of a cut are remembered, so a cut that occurs again costs one look-up. Texts that change when
+    The tokenizer puts a text in lower case, cuts it by a pattern and encodes each cut on its own. No cut holds white space, so the ids
+    of a word between white space are those of its cuts; they are remembered, and a word that occurs again costs one look-up,
+    without being cut. Texts that change when
     normalised, or have letters whose lower case depends on their neighbours, go to the tokenizer whole, and so do all texts under a
     vocabulary file with other rules.
     """
 
     def __init__(self, path: str) -> None:
-        self.model, self.known = _tokenizer(path), {}
+        self.model, self.known, self.words = _tokenizer(path), {}, {}
         vocabulary = self.model.get_vocab()
         self.cuts, suffix = _cuts(path)
         #: Whether a token ends a cut.
@@ -152,19 +154,30 @@ class Encoder:
             for cut in cuts:
                 self.known[cut] = self._plain(cut)
 
+    def _learn_words(self, words: list[str]) -> None:
+        if len(self.words) + len(self.known) > REMEMBERED:
+            self.known.clear()
+        cuts = [self.cuts.findall(word) for word in words]
+        new = [cut for cut in dict.fromkeys(chain.from_iterable(cuts)) if cut not in self.known]
+        if new:
+            self._learn(new)
+        for word, own in zip(words, cuts):
+            self.words[word] = b"".join(map(self.known.__getitem__, own))
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.cuts is None or _UNUSUAL.search(text) or not unicodedata.is_normalized("NFC", text):
             return self._plain(text)
-        cuts, known = self.cuts.findall(text.lower()), self.known
+        words, known = text.lower().split(), self.words
         if len(known) > REMEMBERED:
             known.clear()
-        new = [cut for cut in dict.fromkeys(cuts) if cut not in known]
-        if new:
-            self._learn(new)
-        return b"".join(map(known.__getitem__, cuts))
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            self._learn_words([word for word in dict.fromkeys(words) if word not in known])
+        return b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=1)

@@ -29,7 +29,7 @@ SENTENCE_WORDS = 40
 PREFIXES = (3, 4, 5)
 #: A feature must occur in this many training documents.
 SUPPORT = 4
-EPOCHS, BATCHES, RATE, SHRINK, START = 24, 24, 0.4, 1e-4, -3.0
+EPOCHS, BATCHES, RATE, SHRINK, START = 24, 24, 0.4, 1e-4, -4.0
 #: Log-odds of every sentence where no document is labelled toxic.
 UNTRAINED = -30.0
 REMEMBERED = 200_000
