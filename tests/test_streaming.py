@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from gaugeflow.operators.admission import publish_payload, to_topic_records
 from gaugeflow.operators.idempotency import idempotency_outcomes
@@ -15,11 +16,12 @@ from gaugeflow.sources.readers import read_events, read_raw_stream, read_request
 from gaugeflow.sources.writers import start_stream, write_topic, write_topic_stream
 from gaugeflow.streaming.aggregate import live_feed, start_live_totals, stream_window_stats, write_window_stats
 from gaugeflow.streaming.dedup import dedup_stream, first_deliveries
-from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
+from gaugeflow.streaming.idempotency import RUNS, _on_requests, stream_idempotency_outcomes
 from gaugeflow.streaming.rate import stream_rate_usage
 from gaugeflow.streaming.storage import batch_log, run_storage
 from gaugeflow.schemas import REQUEST_LOG, WINDOW_STATS
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from telemetry import MINUTE, T, U, message, request
 from test_idempotency import brute, random_requests, result
 
@@ -283,3 +285,42 @@ def test_panes_hold_a_fifth_of_the_state(spark, tmp_path):
         state.append(max(sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress))
     assert found[0] == found[1] and len(found[0]) > 1_000
     assert state[1] <= state[0] / 4, state
+
+
+def test_keys_share_state_rows_and_calls(spark, tmp_path):
+    """Groups of keys, however many keys; ids beyond 2^53 stay exact beside null ones."""
+    layout = "request_id long, idempotency_key string, received_at_ms long, duration_ms long, handler_status int"
+    rows = [(2**60 + r[0], *r[1:]) for r in sorted(random_requests(5, 400, 90, 3 * 86_400_000), key=lambda r: (r[2], r[0]))]
+    nulls = [(None, f"null {i}", T + i, None if i % 2 else 5, 202) for i in range(20)]
+    for lo, hi in ((0, 150), (150, 400)):
+        sent = spark.createDataFrame(rows[lo:hi] + nulls * (lo == 0), layout)
+        sent.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    out = stream_idempotency_outcomes(stream, key_groups=4)
+    query = start_stream(out, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE)
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) == 4
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
+    assert result(got.where("request_id is not null")) == brute(rows)
+    assert [r.outcome for r in got.where("request_id is null").collect()] == ["EXECUTE"] * 20
+
+
+def test_runs_of_a_group_are_dropped_one_by_one():
+    """Each run goes when its own time is over, also when the group is called for nothing else."""
+    def state(value, watermark, timed_out):
+        return GroupState(value, watermark, watermark, GroupStateTimeout.EventTimeTimeout, timed_out, True, value is not None, False, False, -1, b"", RUNS)
+
+    def sent(key, at, arrived):
+        return {"key": key, "request_id": 1, "start": at, "end": at + 5, "status": 202, "response": None, "arrived": arrived}
+
+    call = _on_requests(1_000, 10_000)
+    first = state(None, 0, False)
+    texts = [json.dumps(sent("a", 100, 50_000)), json.dumps(sent("b", 100, 50_000)), json.dumps(sent("b", 9_100, 50_000))]
+    (pdf,) = call(("key:1",), iter([pd.DataFrame({"__request": texts, "__row": None})]), first)
+    assert pdf["outcome"].tolist() == ["EXECUTE", "EXECUTE", "REPLAY"]
+    assert first.get[0] == ["a", "b"] and first.get[-1] == [60_005, 51_005] and first._timeout_timestamp == 51_005
+    second = state(first.get, 51_006, True)
+    assert list(call(("key:1",), iter([]), second)) == []
+    assert second.get[0] == ["a"] and second._timeout_timestamp == 60_005
+    third = state(second.get, 60_006, True)
+    assert list(call(("key:1",), iter([]), third)) == [] and not third.exists
