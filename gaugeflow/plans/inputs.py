@@ -5,6 +5,8 @@ Plain modulo arithmetic on the event id, so that the same rows can be written in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,9 +183,23 @@ def unusual_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("idempotency_key")
 
 
-def in_parts(table: DataFrame, part: Column, parts: int, folder: str) -> None:
-    """Write ``table`` below ``folder`` as one file per part, each younger than the one before: a file stream takes them in turn."""
-    held = table.withColumn("__part", part)
+#: Rows that one task writes to a file of a part.
+PART_FILE_ROWS = 100_000
+
+
+def in_parts(table: DataFrame, part: Column, parts: int, folder: str) -> str:
+    """Write ``table`` below ``folder`` part by part, each younger than the one before and all in the same number of files.
+
+    A file stream of ``folder/*`` that takes the returned number of files at a time takes a part in each micro-batch. The number
+    follows the largest part, so that no task holds a part that grows with the table.
+    """
+    spark, held = table.sparkSession, table.withColumn("__part", part)
+    rows = dict(map(tuple, held.groupBy("__part").count().collect()))
+    files = max(1, *(-(-rows.get(k, 0) // PART_FILE_ROWS) for k in range(parts)))
     for k in range(parts):
-        rows = held.where(F.col("__part") == k).drop("__part").coalesce(1)
-        rows.write.mode("append").parquet(folder)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        held.where(F.col("__part") == k).drop("__part").repartition(files).write.parquet(path)
+        # A task without rows writes no file: a small part is filled up with empty ones.
+        for _ in range(files - len(spark.read.schema(table.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], table.schema).coalesce(1).write.mode("append").parquet(path)
+    return str(files)

@@ -74,8 +74,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = inputs.topic_messages(spark, sf_dir)
     later = (F.unix_millis("timestamp") >= NEXT_RUN_MS).cast("int")
     again = (F.col("offset") >= inputs.RETRIES["in flight"]).cast("int")
-    inputs.in_parts(messages, 2 * later + again, 4, f"{folder}/in")
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    files = inputs.in_parts(messages, 2 * later + again, 4, f"{folder}/in")
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
     found = _finished(first_deliveries(delivered_events(stream)), "dedup")
     metadata = F.col("metadata")["k"].alias("metadata_k")
     return found.select("id", "deviceId", "eventType", "value", "timestamp", metadata, "partition", "offset")
@@ -92,8 +92,8 @@ def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inputs.raw_events(spark, sf_dir).drop("metadata")
     part = sum(((F.col("timestamp") >= cut).cast("int") for cut in LATE_CUTS_MS), F.lit(0))
     late = (F.substring("id", -12, 12).cast("long") % LATE_EVERY == 0).cast("int")
-    inputs.in_parts(events, F.least(part + late, F.lit(len(LATE_CUTS_MS))), len(LATE_CUTS_MS) + 1, f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    files = inputs.in_parts(events, F.least(part + late, F.lit(len(LATE_CUTS_MS))), len(LATE_CUTS_MS) + 1, f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
     stats = window_stats(stream, watermark=LATE_DELAY)
     write_window_stats(stats, f"{folder}/out", f"{folder}/checkpoint", trigger=ONCE).awaitTermination()
     written = _written(spark, stats.schema, f"{folder}/out")
@@ -114,8 +114,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = attach_client(inputs.request_log(spark, sf_dir), inputs.clients(spark, sf_dir))
     calls = log.select("request_id", "received_at_ms", "client_id", "client_ip")
     part = sum(((F.col("received_at_ms") >= cut).cast("int") for cut in LATE_CUTS_MS), F.lit(0))
-    inputs.in_parts(calls, part, len(LATE_CUTS_MS) + 1, f"{folder}/in")
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    files = inputs.in_parts(calls, part, len(LATE_CUTS_MS) + 1, f"{folder}/in")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
     used = _finished(stream_rate_usage(stream, RATE_WINDOW_S, RATE_LIMIT), "usage")
     return used.select("request_id", "caller", "used", "limited")
 
@@ -138,8 +138,8 @@ def _gateway(spark: SparkSession, sf_dir: str) -> str:
     log, clients = event_requests(spark, sf_dir), inputs.clients(spark, sf_dir)
     part = sum(((F.col("received_at_ms") >= cut).cast("int") for cut in LATE_CUTS_MS), F.lit(0))
     for first in (0, 2):
-        inputs.in_parts(log, part - first, 2, f"{folder}/log")
-        requests = read_requests(spark, f"{folder}/log", streaming=True, maxFilesPerTrigger="1")
+        files = inputs.in_parts(log, part - first, 2, f"{folder}/log")
+        requests = read_requests(spark, f"{folder}/log/*", streaming=True, maxFilesPerTrigger=files)
         run_admission(requests, clients, folder, f"{folder}/checkpoint", trigger=ONCE).awaitTermination()
     return folder
 
@@ -160,8 +160,8 @@ def batch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The write times of the storage consumer's batches, how many fell under each bound left out: times differ from run to run."""
     folder = _folder(spark, "batches")
     messages = inputs.topic_messages(spark, sf_dir)
-    inputs.in_parts(messages.drop("topic"), (F.col("offset") >= inputs.RETRIES["in flight"]).cast("int"), 2, f"{folder}/in")
-    stream = spark.readStream.schema(messages.drop("topic").schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    files = inputs.in_parts(messages.drop("topic"), (F.col("offset") >= inputs.RETRIES["in flight"]).cast("int"), 2, f"{folder}/in")
+    stream = spark.readStream.schema(messages.drop("topic").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
     run_storage(stream, f"{folder}/events", f"{folder}/dlq", f"{folder}/checkpoint", ONCE, log_path=f"{folder}/log").awaitTermination()
     log = batch_log(spark, f"{folder}/log")
     counted = log.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"))

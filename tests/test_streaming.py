@@ -5,6 +5,7 @@ import os
 import random
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from gaugeflow.operators.admission import publish_payload, to_topic_records
 from gaugeflow.operators.idempotency import idempotency_outcomes
@@ -12,6 +13,7 @@ from gaugeflow.operators.parse import delivered_events, parse_events
 from gaugeflow.operators.rate import rate_usage
 from gaugeflow.operators.request_metrics import batch_duration_histogram
 from gaugeflow.operators.window_stats import pane_window_stats, window_stats
+from gaugeflow.plans import inputs
 from gaugeflow.sources.readers import read_events, read_raw_stream, read_requests
 from gaugeflow.sources.writers import start_stream, write_topic, write_topic_stream
 from gaugeflow.streaming.aggregate import live_feed, start_live_totals, stream_window_stats, write_window_stats
@@ -287,6 +289,25 @@ def test_panes_hold_a_fifth_of_the_state(spark, tmp_path):
     assert state[1] <= state[0] / 4, state
 
 
+def test_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A part is several files and still one micro-batch, also an empty one and one smaller than the number of files."""
+    monkeypatch.setattr(inputs, "PART_FILE_ROWS", 100)
+    table = spark.range(1_200).withColumnRenamed("id", "n")
+    part = F.when(F.col("n") < 1_000, 0).when(F.col("n") < 1_003, 2).when(F.col("n") < 1_190, 3)
+    files = inputs.in_parts(table, part, 4, f"{tmp_path}/in")
+    taken = []
+    for of in sorted((tmp_path / "in").iterdir(), key=lambda f: f.stat().st_mtime):
+        taken.append(len(list(of.glob("*.parquet"))))
+    assert files == "10" and taken == [10] * 4
+    sizes = [pq.read_metadata(f).num_rows for f in (tmp_path / "in").glob("*/*.parquet")]
+    assert max(sizes) <= 200 and sum(sizes) == 1_190
+    batches = {}
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in/*")
+    writer = stream.writeStream.foreachBatch(lambda batch, k: batches.update({k: sorted(r.n for r in batch.collect())}))
+    writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start().awaitTermination()
+    assert batches == {0: list(range(1_000)), 1: [], 2: [1_000, 1_001, 1_002], 3: list(range(1_003, 1_190))}
+
+
 def test_keys_share_state_rows_and_calls(spark, tmp_path):
     """Groups of keys, however many keys; ids beyond 2^53 stay exact beside null ones."""
     layout = "request_id long, idempotency_key string, received_at_ms long, duration_ms long, handler_status int"
