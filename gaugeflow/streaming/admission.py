@@ -1,7 +1,7 @@
 """Continuous admission: each micro-batch of requests is answered, published and remembered.
 
-The latest run of each idempotency key is keyed state: a micro-batch reads and writes the state of its own keys, whatever came
-before. Answers are written to ``batch_id=`` directories in overwrite mode, and topic records and live feed derive from the
+The latest run of each idempotency key is keyed state, a row for each group of keys: a micro-batch reads and writes the groups
+of its own keys. Answers are written to ``batch_id=`` directories in overwrite mode, and topic records and live feed derive from the
 written answers, so a batch that is replayed after a failure decides as before and replaces what it wrote. Folder and
 checkpoint belong together: a new checkpoint has no state and counts its batches from zero, and needs a new folder.
 """
@@ -20,7 +20,7 @@ from gaugeflow.operators.admission import answers, before_limit, gate, publish_p
 from gaugeflow.schemas import DISPOSITION, REQUEST_LOG
 from gaugeflow.sources.writers import start_stream
 from gaugeflow.streaming.aggregate import live_feed
-from gaugeflow.streaming.idempotency import stream_idempotency_outcomes
+from gaugeflow.streaming.idempotency import KEY_GROUPS, stream_idempotency_outcomes
 from gaugeflow.streaming.rate import stream_rate_usage
 
 _BATCH = T.StructField("batch_id", T.LongType())
@@ -44,7 +44,7 @@ def create_tables(spark: SparkSession, path: str) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(_partition(path, name, -1))
 
 
-def stream_admit(requests: DataFrame, clients: DataFrame) -> DataFrame:
+def stream_admit(requests: DataFrame, clients: DataFrame, key_groups: int = KEY_GROUPS) -> DataFrame:
     """The answer to each request of a stream, as ``admit`` gives for a table, from keyed state.
 
     A boolean column ``limited`` marks calls over the rate limit, see ``limited_requests``.
@@ -59,6 +59,7 @@ def stream_admit(requests: DataFrame, clients: DataFrame) -> DataFrame:
         response_col="run_errors",
         eligible=F.col("refusal_reason").isNull(),
         carry=flat.columns,
+        key_groups=key_groups,
     )
     refusal = F.when(F.col("refusal_reason").isNotNull(), F.struct(F.col("refusal_status").alias("status"), F.col("refusal_reason").alias("reason")))
     return answers(decided.withColumn("refusal", refusal), columns)
@@ -85,6 +86,7 @@ def run_admission(
     checkpoint: str,
     trigger: dict | None = None,
     publish: Publish | None = None,
+    key_groups: int = KEY_GROUPS,
 ) -> StreamingQuery:
     """Start the gateway over a stream of ``REQUEST_LOG`` rows, or of ``LIMITED_LOG`` rows where calls are limited.
 
@@ -93,13 +95,14 @@ def run_admission(
 
     Batches taken one after the other give what ``admit`` gives for the whole log, as long as no request comes in a
     later batch than its successors; such a one is decided from the state they left. Every request gets its answer.
+    ``key_groups`` is fixed for a checkpoint, see ``stream_idempotency_outcomes``.
     """
     create_tables(requests.sparkSession, path)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         write_answers(batch, batch_id, path, publish)
 
-    found = stream_admit(requests.select(*[c for c in LIMITED_LOG.fieldNames() if c in requests.columns]), clients)
+    found = stream_admit(requests.select(*[c for c in LIMITED_LOG.fieldNames() if c in requests.columns]), clients, key_groups)
     writer = found.select(*DISPOSITION.fieldNames()).writeStream.option("checkpointLocation", checkpoint).foreachBatch(answer)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
